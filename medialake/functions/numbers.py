@@ -62,11 +62,12 @@ def parse_shutter(text, bad: str = "zero") -> Column:
         s = F.regexp_replace(t, "s+$", "")
     else:
         raise ValueError(bad)
-    parts = F.split(s, "/")
-    val = F.when(
-        F.size(parts) == 2,
-        F.try_divide(to_float(F.get(parts, 0)), F.nullif(to_float(F.get(parts, 1)), F.lit(0.0))),
-    ).when(F.size(parts) == 1, to_float(s))
+    one_slash = s.rlike("^[^/]*/[^/]*$")
+    num = F.substring_index(s, "/", 1).try_cast("double")
+    den = F.substring_index(s, "/", -1).try_cast("double")
+    val = F.when(one_slash, F.try_divide(num, F.nullif(den, F.lit(0.0)))) \
+        .when(~s.contains("/"), s.try_cast("double"))
+    val = F.nanvl(val, F.lit(None).cast("double"))
     if bad == "zero":
         return F.when(t.isNull() | (t == ""), F.lit(0.0)).otherwise(F.coalesce(val, F.lit(0.0)))
     return val

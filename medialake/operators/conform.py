@@ -46,11 +46,15 @@ def conform_media(tags: DataFrame) -> DataFrame:
     control characters before any parsing.
     """
     t = _with_raw_columns(tags).where(F.col("SourceFile").isNotNull() & (F.col("SourceFile") != ""))
-    s = {f.name: (clean_text(F.col(f.name)) if f.dataType.typeName() == "string" else F.col(f.name))
-         for f in schemas.RAW_TAGS.fields}
+    # stage 1: cleaned tags plus the per-row keys every later column depends on
+    t = t.select(*[(clean_text(F.col(f.name)) if f.dataType.typeName() == "string" else F.col(f.name)).alias(f.name)
+                   for f in schemas.RAW_TAGS.fields])
+    t = t.withColumn("_ft", paths.filetype(F.col("SourceFile")))
+    t = t.withColumn("_kind", kind_of(F.col("_ft")))
+    s = {f.name: F.col(f.name) for f in schemas.RAW_TAGS.fields}
     src = s["SourceFile"]
-    ft = paths.filetype(src)
-    kind = kind_of(ft)
+    ft = F.col("_ft")
+    kind = F.col("_kind")
     is_img, is_vid = kind == "image", kind == "video"
     media = is_img | is_vid
 
@@ -66,7 +70,7 @@ def conform_media(tags: DataFrame) -> DataFrame:
         return F.when(is_vid, c)
 
     duration = s["Duration"]
-    return t.select(
+    cols = [
         paths.stem(src).alias("name"),
         ft.alias("filetype"),
         numbers.first_truthy(s["Directory"], paths.dirname(src), zero="").alias("directory"),
@@ -93,7 +97,13 @@ def conform_media(tags: DataFrame) -> DataFrame:
         .alias("duration_ms"),
         vid(numbers.first_truthy(s["VideoCodecID"], s["CompressorID"], zero="")).alias("codec"),
         vid(F.when(~F.isnan(s["VideoFrameRate"]), s["VideoFrameRate"])).alias("frame_rate"),
-    )
+    ]
+    # Evaluate the conform expressions once per row: a one-element ``inline``
+    # is a plan boundary that predicates on the derived columns are not
+    # rewritten through. Without it, a filter on e.g. ``shutter_speed`` is
+    # substituted back onto the raw tags, repeating the suffix/kind/format
+    # expressions per reference until the generated method exceeds 64 KB.
+    return t.select(F.inline(F.array(F.struct(*cols))))
 
 
 def split_kinds(media: DataFrame) -> dict[str, DataFrame]:

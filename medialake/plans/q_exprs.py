@@ -83,22 +83,25 @@ def shutter_format(spark, sf_dir):
                     numbers.format_shutter(F.col("exposure_time")).alias("shutter_speed"))
 
 
-SHUTTER_ZERO_SQL = """CASE WHEN t IS NULL OR t = '' THEN 0.0 ELSE coalesce(
-  CASE WHEN len(string_split(replace(lower(t), 's', ''), '/')) = 2
-       THEN TRY_CAST(string_split(replace(lower(t), 's', ''), '/')[1] AS DOUBLE)
-            / nullif(TRY_CAST(string_split(replace(lower(t), 's', ''), '/')[2] AS DOUBLE), 0)
-       WHEN len(string_split(replace(lower(t), 's', ''), '/')) = 1
-       THEN TRY_CAST(replace(lower(t), 's', '') AS DOUBLE) END, 0.0) END"""
+def shutter_zero_sql(t: str) -> str:
+    """SQL twin of ``parse_shutter(bad='zero')`` over column ``t``."""
+    s = f"replace(lower({t}), 's', '')"
+    parts = f"string_split({s}, '/')"
+    return (f"CASE WHEN {t} IS NULL OR {t} = '' THEN 0.0 ELSE coalesce("
+            f"CASE WHEN len({parts}) = 2 THEN TRY_CAST({parts}[1] AS DOUBLE) / nullif(TRY_CAST({parts}[2] AS DOUBLE), 0) "
+            f"WHEN len({parts}) = 1 THEN TRY_CAST({s} AS DOUBLE) END, 0.0) END")
 
-SHUTTER_NULL_SQL = """CASE WHEN len(string_split(regexp_replace(t, 's+$', ''), '/')) = 2
-       THEN TRY_CAST(string_split(regexp_replace(t, 's+$', ''), '/')[1] AS DOUBLE)
-            / nullif(TRY_CAST(string_split(regexp_replace(t, 's+$', ''), '/')[2] AS DOUBLE), 0)
-       WHEN len(string_split(regexp_replace(t, 's+$', ''), '/')) = 1
-       THEN TRY_CAST(regexp_replace(t, 's+$', '') AS DOUBLE) END"""
+
+def shutter_null_sql(t: str) -> str:
+    """SQL twin of ``parse_shutter(bad='null')`` over column ``t``."""
+    s = f"regexp_replace({t}, 's+$', '')"
+    parts = f"string_split({s}, '/')"
+    return (f"CASE WHEN len({parts}) = 2 THEN TRY_CAST({parts}[1] AS DOUBLE) / nullif(TRY_CAST({parts}[2] AS DOUBLE), 0) "
+            f"WHEN len({parts}) = 1 THEN TRY_CAST({s} AS DOUBLE) END")
 
 
 @query("shutter_parse", with_media(f"""
-SELECT full_path, t AS shutter_speed, {SHUTTER_ZERO_SQL} AS seconds_filter, {SHUTTER_NULL_SQL} AS seconds_chart
+SELECT full_path, t AS shutter_speed, {shutter_zero_sql('t')} AS seconds_filter, {shutter_null_sql('t')} AS seconds_chart
 FROM (SELECT full_path, shutter_speed AS t FROM images)
 """))
 def shutter_parse(spark, sf_dir):
