@@ -1,64 +1,146 @@
-"""Skew-safe ranks and exact quantiles.
+"""Skew-safe ranks, running sums and exact quantiles.
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task,
 so one hot key (a folder holding a third of all files) becomes one straggler.
-``rank_within`` instead range-partitions on ``(keys, order)``: the sampler
-splits a hot key over several partitions. Each row's rank is its position in
-its partition plus the number of rows of the same key in earlier partitions;
-those offsets come from a per-(key, partition) count table whose size is
-bounded by ``#keys + #partitions`` and whose window has at most
-``#partitions`` rows per key.
-
-``order`` must be a total order (add tie-breakers) so a recomputed task gives
-the same ranks.
+Here a hot key is cut into order-contiguous buckets first:
+
+1. a bounded random sample (at most ``SAMPLE_ROWS`` rows reach the driver)
+   finds the keys holding more than ``1/n`` of the rows and, for each, split
+   points of its order values;
+2. the split points form a small table (bounded by the sample size), joined
+   by broadcast on the key with a range condition on the order: the row's
+   bucket (0 for keys that are not hot);
+3. the window runs per (key, bucket), so no task holds more than about
+   ``1/n`` of the rows; per-(key, bucket) totals, prefix-summed over the
+   buckets of a key (at most ``n`` rows per key), give each bucket's offset.
+
+Every step is a deterministic function of the data and the fixed split table,
+so a recomputed task (lost executor) gives the same result.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import math
+from collections import defaultdict
+from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SAMPLE_ROWS = 50_000  # upper bound of the sample collected to plan the split
 
-def _cols(cs) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cs]
 
+def _sort_key(v):
+    return tuple((x is not None, x) for x in v)
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of the row within its ``keys`` group,
-    by ``order`` (ascending). ``keys=[]`` ranks the whole table."""
+
+def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int) -> Optional[DataFrame]:
+    """(keys..., _bkt, _lo, _hi) rows cutting each hot key into buckets."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(keys)
-    order_cols = _cols(order)
-    r = (df.repartitionByRange(n, *_cols(keys), *order_cols)
-         .sortWithinPartitions(*_cols(keys), *order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    stats = r.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    cond = [r["_pid"] == stats["_pid"]] + [r[k].eqNullSafe(stats[k]) for k in keys]
-    j = r.join(stats, cond, "inner")
-    return j.select(
-        *[r[c] for c in df.columns],
-        (r["_mid"] - stats["_first"] + stats["_before"]).cast("bigint").alias(out),
-    )
+    total = df.count()
+    if total == 0 or n <= 1:
+        return None
+    frac = min(1.0, SAMPLE_ROWS / total)
+    sample = (df.select(*[F.col(k) for k in keys], F.struct(*[F.col(c) for c in order]).alias("_o"))
+              .sample(withReplacement=False, fraction=frac, seed=17).limit(2 * SAMPLE_ROWS).collect())
+    if not sample:
+        return None
+    groups: dict[tuple, list] = defaultdict(list)
+    for r in sample:
+        groups[tuple(r[k] for k in keys)].append(tuple(r["_o"]))
+    m = len(sample)
+    rows = []
+    for key, vals in groups.items():
+        share = len(vals) / m
+        buckets = min(n, math.ceil(share * n))
+        if buckets < 2:
+            continue
+        vals.sort(key=_sort_key)
+        cuts = []
+        for b in range(1, buckets):
+            c = vals[(b * len(vals)) // buckets]
+            if not cuts or _sort_key(c) > _sort_key(cuts[-1]):
+                cuts.append(c)
+        bounds = [None] + cuts + [None]
+        for b in range(len(bounds) - 1):
+            rows.append((*key, b, bounds[b], bounds[b + 1]))
+    if not rows:
+        return None
+    ostruct = df.select(F.struct(*[F.col(c) for c in order]).alias("_o")).schema["_o"].dataType
+    schema = T.StructType([T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+                          + [T.StructField("_bkt", T.IntegerType()), T.StructField("_lo", ostruct),
+                             T.StructField("_hi", ostruct)])
+    return spark.createDataFrame(rows, schema)
+
+
+def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: Optional[int] = None) -> DataFrame:
+    """Add ``_bkt``: 0 for ordinary keys, an order-contiguous bucket for hot keys."""
+    keys, order = list(keys), list(order)
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = _split_table(df, keys, order, n)
+    if split is None:
+        return df.withColumn("_bkt", F.lit(0))
+    o = F.struct(*[F.col(c) for c in order])
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    cond += [F.col("_lo").isNull() | (o >= F.col("_lo")), F.col("_hi").isNull() | (o < F.col("_hi"))]
+    j = df.join(F.broadcast(split), cond, "left")
+    return j.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("_bkt"), F.lit(0)).alias("_bkt"))
+
+
+def _offsets(d: DataFrame, keys: list[str], weight: Optional[Column]) -> DataFrame:
+    """Per (key, bucket): sum of weights in the key's earlier buckets."""
+    w = weight if weight is not None else F.lit(1)
+    sk = [f"_s{i}" for i in range(len(keys))]
+    tot = d.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, sk)], F.col("_bkt").alias("_sb")).agg(
+        F.sum(w).alias("_tot"))
+    win = Window.partitionBy(*sk).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    return tot.select(*sk, "_sb", F.coalesce(F.sum("_tot").over(win), F.lit(0)).alias("_before"))
+
+
+def _attach(d: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
+    sk = [f"_s{i}" for i in range(len(keys))]
+    cond = [F.col("_bkt") == F.col("_sb")] + [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, sk)]
+    return d.join(off, cond, "inner")
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
+                num_partitions: Optional[int] = None) -> DataFrame:
+    """Add ``out`` = 0-based position of the row within its ``keys`` group by
+    ``order`` (ascending; rows tied on ``order`` get distinct consecutive
+    ranks). ``keys=[]`` ranks the whole table."""
+    keys, order = list(keys), list(order)
+    d = with_buckets(df, keys, order, num_partitions)
+    win = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    loc = d.withColumn("_loc", F.row_number().over(win) - 1)
+    j = _attach(loc, _offsets(d, keys, None), keys)
+    return j.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_before")).cast("bigint").alias(out))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, out: str,
+                inclusive: bool = False, num_partitions: Optional[int] = None) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` over earlier rows of the key (``order``
+    must be unique within a key); ``inclusive`` adds the row's own weight."""
+    keys, order = list(keys), list(order)
+    d = with_buckets(df, keys, order, num_partitions)
+    end = Window.currentRow if inclusive else -1
+    win = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    loc = d.withColumn("_loc", F.coalesce(F.sum(weight).over(win), F.lit(0)))
+    j = _attach(loc, _offsets(d, keys, F.col(weight)), keys)
+    return j.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_before")).alias(out))
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str = "q") -> DataFrame:
     """One-row table of exact quantiles with linear interpolation between
     closest ranks (the ``percentile`` / ``quantile_cont`` definition).
 
-    Values are first reduced to (value, count) with a partial aggregate, then
-    ranked with cumulative counts on a range partitioning, so no task ever
-    holds all values. Columns: ``{prefix}0, {prefix}1, ...`` and ``n``.
+    Values are reduced to (value, count) by a partial aggregate, then
+    cumulative counts come from :func:`running_sum` over the value order, so
+    no task holds all values. Columns ``{prefix}0, {prefix}1, ...`` and ``n``.
     """
     x = F.col(col)
     counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = _cum_counts(counts)
+    ranked = running_sum(counts, [], ["_v"], "_c", "_before")
     total = counts.agg(F.sum("_c").alias("_n"))
     pos = ranked.crossJoin(F.broadcast(total))
     aggs = []
@@ -72,18 +154,3 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str =
         frac = F.first(p - lo_i)
         aggs.append(F.when(v_lo == v_hi, v_lo).otherwise(v_lo + frac * (v_hi - v_lo)).alias(f"{prefix}{i}"))
     return pos.agg(*aggs, F.first("_n").alias("n"))
-
-
-def _cum_counts(counts: DataFrame) -> DataFrame:
-    """``_before`` = sum of ``_c`` over smaller ``_v`` (global, distributed)."""
-    spark = counts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (counts.repartitionByRange(n, "_v").withColumn("_pid", F.spark_partition_id()))
-    w_local = Window.partitionBy("_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_local", F.coalesce(F.sum("_c").over(w_local), F.lit(0)))
-    tot = r.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: bounded by the partition count, safe to broadcast
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_pc").over(w), F.lit(0))).select("_pid", "_off")
-    r = r.join(F.broadcast(tot), "_pid")
-    return r.select("_v", "_c", (F.col("_local") + F.col("_off")).alias("_before"))

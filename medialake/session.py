@@ -29,6 +29,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode: the driver is the only JVM
+        b = b.config("spark.driver.memory", os.environ.get("MEDIALAKE_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) is None:
