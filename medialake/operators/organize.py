@@ -42,6 +42,7 @@ from medialake import schemas
 from medialake.functions import dates, numbers, paths
 from medialake.functions.text import sanitize_folder_name
 from medialake.operators.ranking import rank_within
+from medialake.session import materialize
 
 # Folder names of the layout.
 NO_INFO = "No Info"
@@ -258,7 +259,11 @@ def plan_organize(df: DataFrame, root: str, options: LayoutOptions, existing: Op
 
     ``existing`` lists files already present under ``root`` (column ``path``).
     """
-    plan = plan_layout(df, root, options, path_col, kind_col, has_meta_col)
+    # the plan feeds several passes (hot-key split, ranks, family checks):
+    # materialize it once in the shared checkpoint folder
+    plan = materialize(plan_layout(df, root, options, path_col, kind_col, has_meta_col))
+    if existing is not None:
+        existing = materialize(existing.select("path").distinct())
     if options.on_exist == "skip":
         return resolve_skip(plan, existing, order)
     return resolve_rename(plan, existing, order)

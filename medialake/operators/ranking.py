@@ -4,9 +4,10 @@
 so one hot key (a folder holding a third of all files) becomes one straggler.
 Here a hot key is cut into order-contiguous buckets first:
 
-1. a bounded random sample (at most ``SAMPLE_ROWS`` rows reach the driver)
-   finds the keys holding more than ``1/n`` of the rows and, for each, split
-   points of its order values;
+1. one partial aggregate finds the keys holding more than ``1/n`` of the
+   rows (at most ``n`` keys); only if there are any, a bounded random sample
+   of their rows (at most ``SAMPLE_ROWS`` reach the driver) gives split
+   points of each hot key's order values;
 2. the split points form a small table (bounded by the sample size), joined
    by broadcast on the key with a range condition on the order: the row's
    bucket (0 for keys that are not hot);
@@ -29,31 +30,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 50_000  # upper bound of the sample collected to plan the split
+# a key is split only when it exceeds both 1/n of the rows and this many rows
+# (a window task handles a million rows comfortably); tests lower it
+MIN_SPLIT_ROWS = 1_000_000
 
 
 def _sort_key(v):
     return tuple((x is not None, x) for x in v)
 
 
+def _hot_keys(df: DataFrame, keys: list[str], n: int) -> list:
+    """Keys holding more than ``1/n`` of the rows, with their row counts
+    (at most ``n`` of them). One partial aggregate over ``df``; the total is
+    joined from the same aggregate (reused exchange)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    tot = counts.agg(F.sum("_n").alias("_tot"))
+    hot = counts.crossJoin(F.broadcast(tot)).where((F.col("_n") * n > F.col("_tot"))
+                                                   & (F.col("_n") > MIN_SPLIT_ROWS))
+    return hot.limit(n + 1).collect()
+
+
 def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int) -> Optional[DataFrame]:
     """(keys..., _bkt, _lo, _hi) rows cutting each hot key into buckets."""
     spark = df.sparkSession
-    total = df.count()
-    if total == 0 or n <= 1:
+    if n <= 1:
+        return None
+    hot = _hot_keys(df, keys, n)
+    if not hot:
         return None
-    frac = min(1.0, SAMPLE_ROWS / total)
-    sample = (df.select(*[F.col(k) for k in keys], F.struct(*[F.col(c) for c in order]).alias("_o"))
+    hot_rows = sum(r["_n"] for r in hot)
+    frac = min(1.0, SAMPLE_ROWS / hot_rows)
+    cand = df
+    if keys:
+        hk = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot],
+                                   T.StructType([df.schema[k] for k in keys]))
+        cand = df.join(F.broadcast(hk), [F.col(k).eqNullSafe(hk[k]) for k in keys], "left_semi")
+    sample = (cand.select(*[F.col(k) for k in keys], F.struct(*[F.col(c) for c in order]).alias("_o"))
               .sample(withReplacement=False, fraction=frac, seed=17).limit(2 * SAMPLE_ROWS).collect())
     if not sample:
         return None
+    counts = {tuple(r[k] for k in keys): r["_n"] for r in hot}
+    total = hot[0]["_tot"]
     groups: dict[tuple, list] = defaultdict(list)
     for r in sample:
         groups[tuple(r[k] for k in keys)].append(tuple(r["_o"]))
-    m = len(sample)
     rows = []
     for key, vals in groups.items():
-        share = len(vals) / m
-        buckets = min(n, math.ceil(share * n))
+        buckets = min(n, math.ceil(counts.get(key, 0) * n / max(total, 1)))
         if buckets < 2:
             continue
         vals.sort(key=_sort_key)

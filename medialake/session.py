@@ -61,3 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage: reliable checkpoint into the shared checkpoint folder.
+
+    Used where a planned frame is read by several passes (collision ranks),
+    so the upstream (conform, layout) runs once and a lost executor re-reads
+    the checkpoint instead of recomputing it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
