@@ -270,11 +270,13 @@ def plan_organize(df: DataFrame, root: str, options: LayoutOptions, existing: Op
 
 
 def organized_rows(manifest: DataFrame, kind_col: str = "kind", has_meta_col: Optional[str] = None,
-                   size_col: str = "size_bytes") -> dict[str, DataFrame]:
+                   size_col: str = "size_bytes", carry: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Catalog rows for placed files (O6): copied and skipped rows are
     recorded; images/videos with metadata keep their tags with the path
     fields rewritten to the destination (E15); anything else becomes a
-    minimal ``other`` row (missing or zero size -> 0.0 MB)."""
+    minimal ``other`` row (missing or zero size -> 0.0 MB). ``carry`` names
+    manifest columns kept next to the canonical ones (e.g. the source order
+    for a later keep-last merge)."""
     m = manifest.where(F.col("status").isin("copied", "skipped"))
     dest = F.col("destination")
     has_meta = F.col(has_meta_col) if has_meta_col else F.lit(True)
@@ -284,13 +286,17 @@ def organized_rows(manifest: DataFrame, kind_col: str = "kind", has_meta_col: Op
     rest = m.where(~(has_meta & F.col(kind_col).isin("image", "video")))
     size = F.col(size_col)
     others = rest.select(
+        *[F.col(c) for c in carry],
         paths.stem(dest).alias("name"), paths.filetype(dest).alias("filetype"), paths.dirname(dest).alias("directory"),
         dest.alias("full_path"), size.cast("bigint").alias("size_bytes"),
         F.when(size.isNull() | (size == 0), F.lit(0.0)).otherwise(numbers.size_mb(size)).alias("size_mb"))
+    def canon(df, sch):
+        return schemas.conform(df, sch, keep=tuple(carry))
+
     return {
-        "image": schemas.conform(media.where(F.col(kind_col) == "image"), schemas.IMAGE),
-        "video": schemas.conform(media.where(F.col(kind_col) == "video"), schemas.VIDEO),
-        "other": schemas.conform(others, schemas.OTHER),
+        "image": canon(media.where(F.col(kind_col) == "image"), schemas.IMAGE),
+        "video": canon(media.where(F.col(kind_col) == "video"), schemas.VIDEO),
+        "other": canon(others, schemas.OTHER),
     }
 
 

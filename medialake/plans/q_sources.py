@@ -1 +1,119 @@
-"""Registered queries (q_sources)."""
+"""Queries for sources and sinks (S1-S7, K1-K3, T1)."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from medialake import schemas
+from medialake.operators import conform
+from medialake.plans import common
+from medialake.plans.registry import query
+from medialake.session import scratch_path
+from medialake.sinks import export
+from medialake.sources import catalog, fixture, listing, tags
+from medialake.streaming import ingest
+from oracle_sql import IMAGE_EXT, VIDEO_EXT, with_media, with_raw
+
+LISTING_SQL = """SELECT source_file AS path, file_size AS length,
+       DATE '2024-01-01' + CAST(file_size % 700 AS INT) AS modification_date FROM media_raw"""
+EXT_SQL = "lower(regexp_extract(regexp_extract(path, '[^/]*$', 0), '^\\.*[^.].*(\\.[^.]*)$', 1))"
+KIND_SQL = f"CASE WHEN {EXT_SQL} IN {IMAGE_EXT} THEN 'image' WHEN {EXT_SQL} IN {VIDEO_EXT} THEN 'video' ELSE 'other' END"
+
+
+@query("scan_listing", with_raw(LISTING_SQL))
+def scan_listing(spark, sf_dir):
+    """Listing variant over the fixture (the directory scan itself is
+    ``sources.listing.scan_listing``, tested on real folders)."""
+    return fixture.media_listing(spark, sf_dir)
+
+
+@query("kind_split", with_raw(f"SELECT path, {KIND_SQL} AS kind FROM ({LISTING_SQL})"))
+def kind_split(spark, sf_dir):
+    return listing.kind_split(fixture.media_listing(spark, sf_dir)).select("path", "kind")
+
+
+@query("other_rows", with_raw(f"""
+SELECT CASE WHEN e = '' THEN b ELSE substr(b, 1, length(b) - length(e)) END AS name, lower(e) AS filetype,
+       regexp_replace(regexp_extract(path, '^(.*/)', 1), '/+$', '') AS directory, path AS full_path,
+       length AS size_bytes, round_even(length / 1048576.0, 2) AS size_mb
+FROM (SELECT path, length, b, regexp_extract(b, '^\\.*[^.].*(\\.[^.]*)$', 1) AS e
+      FROM (SELECT path, length, regexp_extract(path, '[^/]*$', 0) AS b FROM ({LISTING_SQL})
+            WHERE {KIND_SQL} = 'other'))
+"""))
+def other_rows(spark, sf_dir):
+    lst = listing.kind_split(fixture.media_listing(spark, sf_dir)).where(F.col("kind") == "other")
+    return conform.other_rows(lst)
+
+
+@query("extract_tags", with_raw(f"""
+SELECT path AS SourceFile, regexp_extract(path, '^(.*)/', 1) AS Directory FROM ({LISTING_SQL})
+WHERE {KIND_SQL} <> 'other'
+"""))
+def extract_tags(spark, sf_dir):
+    lst = fixture.media_listing(spark, sf_dir)
+    t = tags.extract_tags(lst, tags.path_only_extractor, batch_size=500)
+    return t.select("SourceFile", "Directory")
+
+
+@query("read_tags", with_raw("""
+SELECT source_file AS SourceFile, file_size AS FileSize, model AS Model, iso AS ISO, exposure_time AS ExposureTime
+FROM media_raw WHERE source_file IS NOT NULL AND source_file <> ''
+"""))
+def read_tags(spark, sf_dir):
+    raw = fixture.raw_tags(spark, sf_dir)
+    js = raw.select(F.to_json(F.struct(*raw.columns)).alias("json"))
+    return tags.parse_tags(js).select("SourceFile", "FileSize", "Model", "ISO", "ExposureTime")
+
+
+@query("link_column", with_media("SELECT full_path, 'file:///' || full_path AS link FROM media"))
+def link_column(spark, sf_dir):
+    return export.with_link(common.media(spark, sf_dir)).select("full_path", "link")
+
+
+def _widths_sql():
+    cols = [f.name for f in schemas.IMAGE.fields if f.dataType.typeName() in ("string", "long", "date")]
+    parts = [f"SELECT '{c}' AS \"column\", CAST(greatest(coalesce(max(length(CAST({c} AS VARCHAR))), 0), "
+             f"{len(c)}) + 2 AS BIGINT) AS width FROM images" for c in cols]
+    return "\nUNION ALL\n".join(parts), cols
+
+
+@query("column_widths", with_media(_widths_sql()[0]))
+def column_widths(spark, sf_dir):
+    i = common.images(spark, sf_dir).select(*_widths_sql()[1])
+    return export.column_widths(i)
+
+
+@query("export_counts", with_media("""
+SELECT CASE kind WHEN 'image' THEN 'images' WHEN 'video' THEN 'videos' ELSE 'others' END AS "table",
+       count(*) AS n_rows FROM media GROUP BY kind
+"""))
+def export_counts(spark, sf_dir):
+    out = scratch_path(spark, "export")
+    export.export_tables(common.kinds(spark, sf_dir), out)
+    back = {k: spark.read.parquet(os.path.join(out, t)) for k, t in schemas.TABLE_BY_KIND.items()}
+    return export.counts(back)
+
+
+@query("catalog_roundtrip", with_media("SELECT kind, full_path, date_taken, size_mb FROM media"))
+def catalog_roundtrip(spark, sf_dir):
+    root = scratch_path(spark, "catalog")
+    catalog.write_catalog(common.kinds(spark, sf_dir), root)
+    back = catalog.read_catalog(spark, root)
+    return schemas.union_kinds({k: v.select("full_path", "size_mb", *(["date_taken"] if k != "other" else []))
+                                for k, v in back.items()}).select("kind", "full_path", "date_taken", "size_mb")
+
+
+@query("stream_ingest", with_media("SELECT kind, full_path, size_mb FROM media"))
+def stream_ingest(spark, sf_dir):
+    """Tag dumps written as JSON files, ingested by the streaming job (two
+    halves, the second replayed), then read back from the catalog."""
+    base = scratch_path(spark, "stream")
+    raw = fixture.raw_tags(spark, sf_dir)
+    h = F.xxhash64("SourceFile") % 2
+    raw.where(h == 0).write.mode("append").json(f"{base}/tags")
+    ingest.ingest_available(spark, f"{base}/tags", f"{base}/catalog", f"{base}/ckpt", multi_line=False)
+    raw.where(h != 0).write.mode("append").json(f"{base}/tags")
+    frames = ingest.ingest_available(spark, f"{base}/tags", f"{base}/catalog", f"{base}/ckpt", multi_line=False)
+    return ingest.with_kind_column(frames)

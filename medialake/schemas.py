@@ -64,9 +64,10 @@ TABLE_BY_KIND = {"image": "images", "video": "videos", "other": "others"}
 DISPLAY_NAMES = {"full_path": "Full path", "size_mb": "size (MB)"}
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, keep: tuple = ()) -> DataFrame:
     """Select exactly ``schema``: canonical order, stray columns dropped,
-    missing ones added as typed NULL, present ones cast (``try_cast``)."""
+    missing ones added as typed NULL, present ones cast (``try_cast``).
+    ``keep`` names extra columns carried after the canonical ones."""
     present = set(df.columns)
     cols: list[Column] = []
     for f in schema.fields:
@@ -77,7 +78,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             cols.append(c.alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *[F.col(c) for c in keep])
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
