@@ -62,9 +62,10 @@ def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int) -> Op
     frac = min(1.0, SAMPLE_ROWS / hot_rows)
     cand = df
     if keys:
-        hk = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot],
-                                   T.StructType([df.schema[k] for k in keys]))
-        cand = df.join(F.broadcast(hk), [F.col(k).eqNullSafe(hk[k]) for k in keys], "left_semi")
+        hk = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], T.StructType(
+            [T.StructField(f"_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)]))
+        cand = df.join(F.broadcast(hk), [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)],
+                       "left_semi")
     sample = (cand.select(*[F.col(k) for k in keys], F.struct(*[F.col(c) for c in order]).alias("_o"))
               .sample(withReplacement=False, fraction=frac, seed=17).limit(2 * SAMPLE_ROWS).collect())
     if not sample:
