@@ -47,11 +47,19 @@ def conform_media(tags: DataFrame) -> DataFrame:
     """
     t = _with_raw_columns(tags).where(F.col("SourceFile").isNotNull() & (F.col("SourceFile") != ""))
     # stage 1: cleaned tags plus the per-row keys every later column depends on
+    names = schemas.RAW_TAGS.fieldNames()
     t = t.select(*[(clean_text(F.col(f.name)) if f.dataType.typeName() == "string" else F.col(f.name)).alias(f.name)
                    for f in schemas.RAW_TAGS.fields])
     t = t.withColumn("_ft", paths.filetype(F.col("SourceFile")))
     t = t.withColumn("_kind", kind_of(F.col("_ft")))
-    s = {f.name: F.col(f.name) for f in schemas.RAW_TAGS.fields}
+    # Plan boundary: a one-element ``inline`` of plain column references.
+    # Predicates on conformed columns are not rewritten below it, so the
+    # cleaning/suffix/kind expressions stay evaluated once per row instead of
+    # being repeated per reference inside pushed-down filters (which grows
+    # generated code past the 64 KB method limit). The struct holds only
+    # attribute references, so its generated code stays small.
+    t = t.select(F.inline(F.array(F.struct(*[F.col(c) for c in names + ["_ft", "_kind"]]))))
+    s = {n: F.col(n) for n in names}
     src = s["SourceFile"]
     ft = F.col("_ft")
     kind = F.col("_kind")
@@ -98,12 +106,7 @@ def conform_media(tags: DataFrame) -> DataFrame:
         vid(numbers.first_truthy(s["VideoCodecID"], s["CompressorID"], zero="")).alias("codec"),
         vid(F.when(~F.isnan(s["VideoFrameRate"]), s["VideoFrameRate"])).alias("frame_rate"),
     ]
-    # Evaluate the conform expressions once per row: a one-element ``inline``
-    # is a plan boundary that predicates on the derived columns are not
-    # rewritten through. Without it, a filter on e.g. ``shutter_speed`` is
-    # substituted back onto the raw tags, repeating the suffix/kind/format
-    # expressions per reference until the generated method exceeds 64 KB.
-    return t.select(F.inline(F.array(F.struct(*cols))))
+    return t.select(*cols)
 
 
 def split_kinds(media: DataFrame) -> dict[str, DataFrame]:

@@ -18,6 +18,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; let
+    # whole-stage codegen fall back for such stages instead of running them
+    # interpreted (the value the Spark configuration docs suggest for HotSpot)
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -33,10 +37,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         # local mode: the driver is the only JVM
         b = b.config("spark.driver.memory", os.environ.get("MEDIALAKE_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
+    apply_defaults(spark)
+    return spark
+
+
+def apply_defaults(spark: SparkSession) -> None:
+    """Set ``DEFAULTS`` except where the deployment configured a value."""
+    explicit = spark.sparkContext.getConf()
     for k, v in DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
+        if not explicit.contains(k):
             spark.conf.set(k, v)
-    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
