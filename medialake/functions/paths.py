@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 # extension = last dot of the base name, with a non-dot character before it
 EXT_PATTERN = r"^\.*[^.].*(\.[^.]*)$"
 
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
+
 def basename(path) -> Column:
     """Part after the last ``/`` (the whole text when there is none)."""
     return F.substring_index(_c(path), "/", -1)
 
+
 def dirname(path) -> Column:
     """Everything before the last ``/``; trailing slashes dropped unless the
     head is made of slashes only (``/c`` -> ``/``, ``c`` -> ``''``)."""
@@ -28,26 +31,31 @@ def dirname(path) -> Column:
     stripped = F.rtrim(head, F.lit("/"))
     return F.when(stripped == "", head).otherwise(stripped)
 
+
 def _ext_of_base(base: Column) -> Column:
     after = F.substring_index(base, ".", -1)
     before = base.substr(F.lit(1), F.length(base) - F.length(after) - 1)
     # a dot counts only with a non-dot character before it (".bashrc": none)
     return F.when(base.contains(".") & (F.ltrim(before, F.lit(".")) != ""), F.concat(F.lit("."), after)).otherwise(F.lit(""))
 
+
 def extension(path) -> Column:
     """Suffix with its dot, case kept; ``''`` when there is none."""
     return _ext_of_base(basename(path))
 
+
 def stem(path) -> Column:
     """Base name without its extension."""
     base = basename(path)
     ext = _ext_of_base(base)
     return base.substr(F.lit(1), F.length(base) - F.length(ext))
 
+
 def filetype(path) -> Column:
     """Lower-cased suffix with dot."""
     return F.lower(extension(path))
 
+
 def normalize_path(path, case_insensitive: bool = False, base: str = "/") -> Column:
     """Absolute, normalized path key: ``.``, ``..`` and repeated slashes
     collapsed; relative paths resolved against ``base``. With
@@ -69,10 +77,12 @@ def normalize_path(path, case_insensitive: bool = False, base: str = "/") -> Col
     )
     return F.concat(lead, F.array_join(parts, "/"))
 
+
 def link(path) -> Column:
     """Hyperlink text ``file:///<path>``; NULL path gives NULL."""
     return F.concat(F.lit("file:///"), _c(path))
 
+
 def relative_to(path, root: str) -> Column:
     """Path relative to ``root`` (which must be a prefix); NULL otherwise."""
     r = root.rstrip("/") + "/"
