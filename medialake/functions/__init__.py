@@ -1,3 +1,3 @@
 """Column-level helpers (``Column -> Column``), all built-in Spark functions."""
 
-from medialake.functions import dates, numbers, paths, text, ticks  # noqa: F401
+from medialake.functions import dates, numbers, paths, scalars, text, ticks  # noqa: F401

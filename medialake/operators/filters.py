@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.functions import numbers
+from medialake.functions.scalars import with_scalars
 
 # Tag names accepted by the generic tag selector.
 SELECT_FIELDS = ("Model", "LensModel", "ISOSpeedRatings", "FNumber", "ExposureTime",
@@ -152,11 +153,11 @@ def dashboard_mask(images: DataFrame, month_range: Optional[tuple[date, date]] =
 
     The month mask applies only when the dated images span more than one
     month; it then also drops undated images. ``month_range=None`` selects the
-    whole span. The span comes from a one-row aggregate, broadcast to the rows.
+    whole span. The span comes from a one-row aggregate (scalar subquery).
     """
     d = F.col("date_taken")
     span = images.agg(F.min(d).alias("_dmin"), F.max(d).alias("_dmax"))
-    df = images.crossJoin(F.broadcast(span))
+    df = with_scalars(images, span)
     n_months = F.months_between(F.trunc("_dmax", "MM"), F.trunc("_dmin", "MM")) + 1
     if month_range is None:
         lo, hi = F.trunc("_dmin", "MM"), F.trunc("_dmax", "MM")

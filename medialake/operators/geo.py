@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.functions import numbers
+from medialake.functions.scalars import with_scalars
 
 
 def geo_points(images: DataFrame, extra=("camera", "date_taken", "name")) -> DataFrame:
@@ -45,7 +46,7 @@ def hexbin(points: DataFrame, x: str = "longitude", y: str = "latitude", gridsiz
     ext = ext.select("_xmin", "_y0",
                      ((F.col("_xmax") - F.col("_xmin")) / F.lit(float(nx))).alias("_sx"),
                      ((F.col("_y1") - F.col("_y0")) / F.lit(float(ny))).alias("_sy"))
-    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(ext))
+    p = with_scalars(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), ext)
     u = (F.col(x) - F.col("_xmin")) / F.col("_sx")
     v = (F.col(y) - F.col("_y0")) / F.col("_sy")
     p = p.select("_xmin", "_y0", "_sx", "_sy", u.alias("_u"), v.alias("_v"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.functions import numbers, ticks
+from medialake.functions.scalars import with_scalars
 from medialake.operators.ranking import exact_quantiles
 
 # Per-setting parser of the chart path.
@@ -34,7 +35,7 @@ def trim_quantile(df: DataFrame, col: str, lo_q: float, hi_q: float,
     name = out or col
     d = df.withColumn(name, x) if parser or out else df
     q = exact_quantiles(d, name, [lo_q, hi_q], prefix="_q")
-    j = d.crossJoin(F.broadcast(q.select("_q0", "_q1")))
+    j = with_scalars(d, q.select("_q0", "_q1"))
     v = F.col(name)
     return j.where((v > F.col("_q0")) & (v <= F.col("_q1")) & (v > 0)).drop("_q0", "_q1")
 
@@ -53,7 +54,7 @@ def equal_width_bins(values: DataFrame, col: str, nbins: int) -> DataFrame:
     def edge(i: Column) -> Column:
         return F.when(i >= n, F.col("_hi")).otherwise(i * F.col("_step") + F.col("_lo"))
 
-    j = values.where(v.isNotNull()).crossJoin(F.broadcast(st))
+    j = with_scalars(values.where(v.isNotNull()), st)
     j = j.withColumn("_i0", F.least(
         F.floor((v - F.col("_lo")) * (n / (F.col("_hi") - F.col("_lo")))).cast("bigint"), n - 1))
     i0 = F.col("_i0")
@@ -110,8 +111,7 @@ def hist_ticks(images: DataFrame, setting: str, mode: str = "plot") -> DataFrame
     if mode == "plot":
         mn = raw.agg(F.min("_x").alias("_mn"))
         q = exact_quantiles(raw, "_x", [0.97], prefix="_q")
-        st = mn.crossJoin(q.select("_q0"))
-        j = tt.crossJoin(F.broadcast(st))
+        j = with_scalars(with_scalars(tt, mn), q.select("_q0"))
         sel = j.where((F.col("value") >= F.col("_mn") * 0.9) & (F.col("value") <= F.col("_q0") * 1.1))
         from pyspark.sql import Window
         w = Window.partitionBy("setting").orderBy("pos")  # bounded: one tick table
@@ -121,7 +121,7 @@ def hist_ticks(images: DataFrame, setting: str, mode: str = "plot") -> DataFrame
     else:
         t = trim_quantile(raw, "_x", 0.01, 0.99)
         st = t.agg(F.min(F.log10("_x")).alias("_lmn"), F.max(F.log10("_x")).alias("_lmx"))
-        j = tt.crossJoin(F.broadcast(st))
+        j = with_scalars(tt, st)
         lv = F.log10("value")
         sel = j.where((F.col("_lmn") * 0.9 <= lv) & (lv <= F.col("_lmx") * 1.1))
     return sel.select("setting", F.round("value", 9).alias("value"), "label")

@@ -23,8 +23,11 @@ blockers. Hence:
   skew-safe ``rank_within`` so a folder holding a third of all files is
   still spread over many tasks;
 * a family of interacting stems (``IMG_5`` next to ``IMG_5_1``) is solved by
-  the sequential rule in ``applyInPandas``, one family per group, seeded with
-  its pre-existing names.
+  the sequential rule in one sorted ``mapInPandas`` pass, seeded with its
+  pre-existing names. A family is a connected component of the
+  parent/child links among the planned stems of a folder: a stem's family
+  root is the top of its unbroken chain of present ancestors (``IMG_5_1`` ->
+  ``IMG_5`` -> ``IMG`` stops at the first absent one).
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from pyspark.sql import types as T
 from medialake import schemas
 from medialake.functions import dates, numbers, paths
 from medialake.functions.text import sanitize_folder_name
-from medialake.operators.ranking import rank_within
+from medialake.operators.ranking import hot_keys, rank_within
 from medialake.session import materialize
 
 # Folder names of the layout.
@@ -53,6 +56,7 @@ FIELD_COLUMNS = {"Year": "lay_year", "Month": "lay_month", "Model": "lay_model",
 MAX_TARGETS = 64  # organize_multi broadcasts its target table; keep it bounded
 
 CHILD_RE = r"^(.*)_([1-9][0-9]*)$"
+TAIL_RE = r"((?:_[1-9][0-9]*)+)$"
 
 
 @dataclass(frozen=True)
@@ -163,29 +167,76 @@ def resolve_skip(plan: DataFrame, existing: Optional[DataFrame], order: Sequence
     return r.select(*cols, F.when(F.col("_r") == 0, F.lit("copied")).otherwise(F.lit("skipped")).alias("status"))
 
 
-def _family_root(stem: Column) -> Column:
-    return F.regexp_replace(stem, "(_[0-9]+)+$", "")
+def _ancestors(stem: Column) -> Column:
+    """Array of ``stem`` with 1, 2, ... trailing ``_k`` parts removed
+    (``IMG_5_1`` -> [``IMG_5``, ``IMG``]); empty without such parts."""
+    tail = F.regexp_extract(stem, TAIL_RE, 1)
+    parts = F.split(tail.substr(F.lit(2), F.length(tail)), "_")
+    n = F.size(parts)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: stem.substr(
+        F.lit(1), F.length(stem) - F.length(F.concat(F.lit("_"), F.array_join(F.slice(parts, n - i + 1, i), "_")))))
+    return F.when(tail == "", F.array().cast("array<string>")).otherwise(cut)
 
 
-def _greedy_family(files: pd.DataFrame, existing: pd.DataFrame, order: list) -> pd.DataFrame:
-    """Sequential rename rule for one family, files in input order."""
-    if files.empty:
-        return files.assign(_new_stem=pd.Series(dtype="object"))
-    taken = set(zip(existing["_stem"], existing["_ext"])) if not existing.empty else set()
-    files = files.sort_values(order, kind="stable")
-    out, next_k = [], {}
-    for stem, ext in zip(files["_stem"], files["_ext"]):
-        name = stem
-        if (name, ext) in taken:
-            # names are never freed, so the first free index only grows
-            k = next_k.get((stem, ext), 1)
-            while (f"{stem}_{k}", ext) in taken:
-                k += 1
-            name = f"{stem}_{k}"
-            next_k[(stem, ext)] = k + 1
-        taken.add((name, ext))
-        out.append(name)
-    return files.assign(_new_stem=out)
+def _families(stems: DataFrame) -> DataFrame:
+    """Planned stems (distinct ``_dir, _ext, _stem``) that belong to a family
+    of two or more interacting stems, with the family root ``_root``."""
+    keys = ["_dir", "_ext", "_stem"]
+    s = F.col("_stem")
+    anc = stems.select(*keys, F.posexplode(_ancestors(s)).alias("_lvl", "_anc"))
+    present = stems.select("_dir", "_ext", F.col("_stem").alias("_anc"), F.lit(True).alias("_present"))
+    anc = anc.join(present, ["_dir", "_ext", "_anc"], "left")
+    # chain length = levels before the first absent ancestor
+    chain = anc.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("_present").isNull(), F.col("_lvl"))), F.max("_lvl") + 1).alias("_up"))
+    parents = anc.where((F.col("_lvl") == 0) & F.col("_present")).select(
+        "_dir", "_ext", F.col("_anc").alias("_stem"), F.lit(0).alias("_up"))
+    linked = chain.where(F.col("_up") > 0).unionByName(parents).groupBy(*keys).agg(F.max("_up").alias("_up"))
+    root = F.when(F.col("_up") == 0, s).otherwise(F.element_at(_ancestors(s), F.col("_up")))
+    return linked.select(*keys, root.alias("_root"))
+
+
+def _solve_families(hard: DataFrame, existing: DataFrame, order: Sequence[str],
+                    schema: T.StructType) -> DataFrame:
+    """Sequential rename rule over each family of interacting stems.
+
+    Family rows and the family's pre-existing names are hash-partitioned by
+    family and sorted (names first, then files in input order); one
+    ``mapInPandas`` pass walks the sorted rows, keeping only the current
+    family's taken names, so a task holds one family's state at a time and
+    many small families cost no per-group call."""
+    fam = ["_dir", "_ext", "_root"]
+    n = int(hard.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = hard.withColumn("_file", F.lit(1)).unionByName(existing.withColumn("_file", F.lit(0)),
+                                                          allowMissingColumns=True)
+    rows = rows.repartition(n, *fam).sortWithinPartitions(*fam, "_file", *order)
+    out_cols = schema.fieldNames()
+
+    def walk(batches):
+        cur, taken, next_k = None, set(), {}
+        for pdf in batches:
+            new = [None] * len(pdf)
+            it = zip(pdf["_dir"], pdf["_ext"], pdf["_root"], pdf["_file"], pdf["_stem"])
+            for i, (d, e, r, is_file, stem) in enumerate(it):
+                if (d, e, r) != cur:
+                    cur, taken, next_k = (d, e, r), set(), {}
+                if not is_file:
+                    taken.add(stem)
+                    continue
+                name = stem
+                if name in taken:
+                    # names are never freed, so the first free index only grows
+                    k = next_k.get(stem, 1)
+                    while f"{stem}_{k}" in taken:
+                        k += 1
+                    name = f"{stem}_{k}"
+                    next_k[stem] = k + 1
+                taken.add(name)
+                new[i] = name
+            pdf = pdf.assign(_new_stem=new)
+            yield pdf[pdf["_file"] == 1][out_cols]
+
+    return rows.mapInPandas(walk, schema)
 
 
 def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequence[str]) -> DataFrame:
@@ -198,34 +249,40 @@ def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequen
         "*", F.col("target_dir").alias("_dir"), base_ext.alias("_ext"),
         F.when(base_ext == "", fname).otherwise(fname.substr(F.lit(1), F.length(fname) - F.length(base_ext)))
         .alias("_stem"))
-    p = p.withColumn("_root", _family_root(F.col("_stem")))
     keys = ["_dir", "_ext", "_stem"]
 
-    # families whose stems include a parent/child pair
-    stems = p.select("_dir", "_ext", "_stem", "_root").distinct()
-    child = stems.select("_dir", "_ext", "_root", F.regexp_extract("_stem", CHILD_RE, 1).alias("_parent")) \
-        .where(F.col("_parent") != "")
-    edges = child.join(stems.select("_dir", "_ext", F.col("_stem").alias("_parent")), ["_dir", "_ext", "_parent"])
-    complex_fams = edges.select("_dir", "_ext", "_root").distinct()
-    simple = p.join(complex_fams, ["_dir", "_ext", "_root"], "left_anti")
-    hard = p.join(complex_fams, ["_dir", "_ext", "_root"], "left_semi")
+    # stems in a family of interacting stems (a parent/child pair); the
+    # family table is read by every branch below, so it is written once
+    # (it is small: only stems with a parent or child among the planned ones)
+    fams = materialize(_families(materialize(p.select(*keys).distinct())))
+    pj = p.join(fams, keys, "left")
+    simple = pj.where(F.col("_root").isNull()).drop("_root")
+    hard = pj.where(F.col("_root").isNotNull())
 
     ex = _split_existing(existing)
-    # simple stems: rank files, then shift past blocked candidate indices
-    ranked = rank_within(simple, keys, list(order), out="_r")
     if ex is not None:
         own = ex.select("_dir", "_ext", "_stem", F.lit(0).cast("bigint").alias("_k"))
         kid = ex.select("_dir", "_ext", F.regexp_extract("_stem", CHILD_RE, 1).alias("_stem"),
                         F.regexp_extract("_stem", CHILD_RE, 2).cast("bigint").alias("_k")).where(F.col("_stem") != "")
-        blockers = own.unionByName(kid).join(simple.select(*keys).distinct(), keys, "left_semi").distinct()
-        bj = rank_within(blockers, keys, ["_k"], out="_j").select(
+        blocker_keys = own.unionByName(kid)
+    # one hot-key pass, over the (materialized) plan rows and the blocker
+    # keys, serves all ranks below: they share the (_dir, _ext, _stem) keys
+    hot_src = p.select(*keys)
+    if ex is not None:
+        hot_src = hot_src.unionByName(blocker_keys.select(*keys))
+    hot = hot_keys(hot_src, keys)
+    # simple stems: rank files, then shift past blocked candidate indices
+    ranked = rank_within(simple, keys, list(order), out="_r", hot=hot)
+    if ex is not None:
+        blockers = blocker_keys.join(simple.select(*keys).distinct(), keys, "left_semi").distinct()
+        bj = rank_within(blockers, keys, ["_k"], out="_j", hot=hot).select(
             *keys, (F.col("_k") - F.col("_j")).alias("_key"), F.lit(0).alias("_type"))
         blocked_stems = bj.select(*keys).distinct()
         rb = ranked.join(blocked_stems, keys, "left_semi")
         free = ranked.join(blocked_stems, keys, "left_anti").withColumn("_x", F.col("_r"))
         merged = rb.withColumn("_key", F.col("_r")).withColumn("_type", F.lit(1)).unionByName(
             bj, allowMissingColumns=True)
-        mr = rank_within(merged, keys, ["_key", "_type"], out="_x").where(F.col("_type") == 1)
+        mr = rank_within(merged, keys, ["_key", "_type"], out="_x", hot=hot).where(F.col("_type") == 1)
         ranked = free.unionByName(mr.drop("_key", "_type"))
     else:
         ranked = ranked.withColumn("_x", F.col("_r"))
@@ -237,14 +294,25 @@ def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequen
     fam = ["_dir", "_ext", "_root"]
     hard_schema = T.StructType(hard.schema.fields + [T.StructField("_new_stem", T.StringType())])
     if ex is not None:
-        exf = ex.withColumn("_root", _family_root(F.col("_stem"))).join(
-            hard.select(*fam).distinct(), fam, "left_semi").select(*fam, "_stem")
+        # an existing name matters to the family holding its stem or its parent
+        own = ex.select("_dir", "_ext", F.col("_stem").alias("_member"), "_stem")
+        kid = ex.select("_dir", "_ext", F.regexp_extract("_stem", CHILD_RE, 1).alias("_member"), "_stem") \
+            .where(F.col("_member") != "")
+        members = fams.select("_dir", "_ext", F.col("_stem").alias("_member"), F.col("_root").alias("_root"))
+        exf = own.unionByName(kid).join(members, ["_dir", "_ext", "_member"]) \
+            .select(*fam, "_stem").distinct()
     else:
         exf = spark.createDataFrame([], "_dir string, _ext string, _root string, _stem string")
-    order_cols = list(order)
-    solved = hard.groupBy(*fam).cogroup(exf.groupBy(*fam)).applyInPandas(
-        lambda a, b: _greedy_family(a, b, order_cols), schema=hard_schema)
-    hard_out = solved.select(*cols, "_new_stem", "_dir", "_ext")
+    if "_rid" in hard.columns:
+        # only the row id, keys, stem and order cross into Python; the wide
+        # rows get their new stem back by the (stored, stable) row id
+        narrow = hard.select("_rid", *fam, "_stem", *order)
+        nschema = T.StructType(narrow.schema.fields + [T.StructField("_new_stem", T.StringType())])
+        solved = _solve_families(narrow, exf, order, nschema).select("_rid", "_new_stem")
+        hard_out = hard.join(solved, "_rid").select(*cols, "_new_stem", "_dir", "_ext")
+    else:
+        solved = _solve_families(hard, exf, order, hard_schema)
+        hard_out = solved.select(*cols, "_new_stem", "_dir", "_ext")
 
     out = simple_out.unionByName(hard_out)
     dest = F.concat(F.col("_dir"), F.lit("/"), F.col("_new_stem"), F.col("_ext"))
@@ -261,12 +329,14 @@ def plan_organize(df: DataFrame, root: str, options: LayoutOptions, existing: Op
     """
     # the plan feeds several passes (hot-key split, ranks, family checks):
     # materialize it once in the shared checkpoint folder
-    plan = materialize(plan_layout(df, root, options, path_col, kind_col, has_meta_col))
+    # ``_rid`` is assigned before the write, so it is stored, not recomputed
+    plan = materialize(plan_layout(df, root, options, path_col, kind_col, has_meta_col)
+                       .withColumn("_rid", F.monotonically_increasing_id()))
     if existing is not None:
         existing = materialize(existing.select("path").distinct())
     if options.on_exist == "skip":
-        return resolve_skip(plan, existing, order)
-    return resolve_rename(plan, existing, order)
+        return resolve_skip(plan, existing, order).drop("_rid")
+    return resolve_rename(plan, existing, order).drop("_rid")
 
 
 def organized_rows(manifest: DataFrame, kind_col: str = "kind", has_meta_col: Optional[str] = None,
@@ -323,19 +393,19 @@ class Target:
 def organize_multi(df: DataFrame, targets: Sequence[Target], path_col: str = "full_path",
                    kind_col: str = "kind", has_meta_col: Optional[str] = None,
                    order: Sequence[str] = ("full_path", "size_bytes")) -> DataFrame:
-    """Every file tested against every target (J4): one scan, the bounded
-    target table broadcast, per-target predicate and layout folded into CASE
-    expressions; collisions resolved per target (distinct roots)."""
+    """Every file tested against every target (J4): one scan, each row
+    fanned out to the (bounded) target ids, per-target predicate and layout
+    folded into CASE expressions; collisions resolved per target (distinct
+    roots)."""
     if len(targets) > MAX_TARGETS:
         raise ValueError(f"at most {MAX_TARGETS} targets per run")
     roots = [t.root.rstrip("/") for t in targets]
     if len(set(roots)) != len(roots):
         raise ValueError("target roots must be distinct")
-    spark = df.sparkSession
-    tdf = spark.createDataFrame([(i, t.root, t.catalog or t.root) for i, t in enumerate(targets)],
-                                "target_id int, target_root string, catalog string")
-    x = df.crossJoin(F.broadcast(tdf))
     tid = F.col("target_id")
+    x = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(targets) - 1))).alias("target_id"))
+    x = x.select("*", F.element_at(F.array(*[F.lit(t.root) for t in targets]), tid + 1).alias("target_root"),
+                 F.element_at(F.array(*[F.lit(t.catalog or t.root) for t in targets]), tid + 1).alias("catalog"))
     keep = F.lit(False)
     for i, t in enumerate(targets):
         pred = t.spec.predicate() if t.spec is not None and not t.spec.is_empty() else F.lit(True)

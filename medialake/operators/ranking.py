@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medialake.functions.scalars import with_scalars
+
 SAMPLE_ROWS = 50_000  # upper bound of the sample collected to plan the split
 # a key is split only when it exceeds both 1/n of the rows and this many rows
 # (a window task handles a million rows comfortably); tests lower it
@@ -39,23 +41,29 @@ def _sort_key(v):
     return tuple((x is not None, x) for x in v)
 
 
-def _hot_keys(df: DataFrame, keys: list[str], n: int) -> list:
+def hot_keys(df: DataFrame, keys: Sequence[str], n: Optional[int] = None) -> list:
     """Keys holding more than ``1/n`` of the rows, with their row counts
-    (at most ``n`` of them). One partial aggregate over ``df``; the total is
-    joined from the same aggregate (reused exchange)."""
+    ``_n`` and the total ``_tot`` (at most ``n`` of them). Callers ranking
+    several frames over the same keys compute this once, on a materialized
+    superset of their rows, and pass it to :func:`rank_within`. One partial aggregate over ``df``; the total is
+    a scalar subquery over the same aggregate."""
+    keys = list(keys)
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     tot = counts.agg(F.sum("_n").alias("_tot"))
-    hot = counts.crossJoin(F.broadcast(tot)).where((F.col("_n") * n > F.col("_tot"))
+    hot = with_scalars(counts, tot).where((F.col("_n") * n > F.col("_tot"))
                                                    & (F.col("_n") > MIN_SPLIT_ROWS))
     return hot.limit(n + 1).collect()
 
 
-def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int) -> Optional[DataFrame]:
+def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int,
+                 hot: Optional[list] = None) -> Optional[DataFrame]:
     """(keys..., _bkt, _lo, _hi) rows cutting each hot key into buckets."""
     spark = df.sparkSession
     if n <= 1:
         return None
-    hot = _hot_keys(df, keys, n)
+    if hot is None:
+        hot = hot_keys(df, keys, n)
     if not hot:
         return None
     hot_rows = sum(r["_n"] for r in hot)
@@ -98,13 +106,16 @@ def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int) -> Op
     return spark.createDataFrame(rows, schema)
 
 
-def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: Optional[int] = None) -> DataFrame:
-    """Add ``_bkt``: 0 for ordinary keys, an order-contiguous bucket for hot keys."""
+def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: Optional[int] = None,
+                 hot: Optional[list] = None) -> DataFrame:
+    """Add ``_bkt``: 0 for ordinary keys, an order-contiguous bucket for hot
+    keys (``hot``: precomputed :func:`hot_keys`, else detected here).
+    Returns ``df`` itself when no key is split."""
     keys, order = list(keys), list(order)
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = _split_table(df, keys, order, n)
+    split = _split_table(df, keys, order, n, hot)
     if split is None:
-        return df.withColumn("_bkt", F.lit(0))
+        return df
     o = F.struct(*[F.col(c) for c in order])
     cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     cond += [F.col("_lo").isNull() | (o >= F.col("_lo")), F.col("_hi").isNull() | (o < F.col("_hi"))]
@@ -129,12 +140,16 @@ def _attach(d: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
-                num_partitions: Optional[int] = None) -> DataFrame:
+                num_partitions: Optional[int] = None, hot: Optional[list] = None) -> DataFrame:
     """Add ``out`` = 0-based position of the row within its ``keys`` group by
     ``order`` (ascending; rows tied on ``order`` get distinct consecutive
     ranks). ``keys=[]`` ranks the whole table."""
     keys, order = list(keys), list(order)
-    d = with_buckets(df, keys, order, num_partitions)
+    d = with_buckets(df, keys, order, num_partitions, hot)
+    if d is df:
+        # no key is split: the plain window is the rank (no offsets)
+        win = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(win) - 1).cast("bigint"))
     win = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     loc = d.withColumn("_loc", F.row_number().over(win) - 1)
     j = _attach(loc, _offsets(d, keys, None), keys)
@@ -148,6 +163,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
     keys, order = list(keys), list(order)
     d = with_buckets(df, keys, order, num_partitions)
     end = Window.currentRow if inclusive else -1
+    if d is df:
+        win = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(out, F.coalesce(F.sum(weight).over(win), F.lit(0)))
     win = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     loc = d.withColumn("_loc", F.coalesce(F.sum(weight).over(win), F.lit(0)))
     j = _attach(loc, _offsets(d, keys, F.col(weight)), keys)
@@ -166,7 +184,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str =
     counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_sum(counts, [], ["_v"], "_c", "_before")
     total = counts.agg(F.sum("_c").alias("_n"))
-    pos = ranked.crossJoin(F.broadcast(total))
+    pos = with_scalars(ranked, total)
     aggs = []
     for i, q in enumerate(qs):
         p = F.lit(float(q)) * (F.col("_n") - 1)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions import dates, numbers
+from medialake.functions.scalars import with_scalars
 
 # Labels of the kind counts, in display order.
 KIND_LABELS = {"image": "Images", "video": "Videos", "other": "Others"}
@@ -102,8 +103,10 @@ def timeline(images: DataFrame, group_by: str = "camera", time_by: str = "month"
     lumped = _lump_top(base, group_by, top)
     counts = lumped.groupBy("period", "group_name").agg(F.count(F.lit(1)).alias("n_photos"))
     periods = counts.select("period").distinct()
-    groups = counts.select("group_name").distinct()  # at most top + 1 rows
-    grid = periods.crossJoin(F.broadcast(groups))
+    # every period gets every group: the group names (at most top + 1) as
+    # one array, exploded next to each period
+    groups = counts.agg(F.array_sort(F.collect_set("group_name")).alias("_groups"))
+    grid = with_scalars(periods, groups).select("period", F.explode("_groups").alias("group_name"))
     return (grid.join(counts, ["period", "group_name"], "left")
             .select("period", "group_name", F.coalesce("n_photos", F.lit(0)).cast("bigint").alias("n_photos")))
 

@@ -74,10 +74,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, eager: bool = True):
-    """Cut the lineage: reliable checkpoint into the shared checkpoint folder.
-
-    Used where a planned frame is read by several passes (collision ranks),
-    so the upstream (conform, layout) runs once and a lost executor re-reads
-    the checkpoint instead of recomputing it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut the lineage: write ``df`` as a Parquet table under the shared
+    checkpoint folder and read it back.
+
+    Used where a planned frame is read by several passes (collision ranks,
+    family checks), so the upstream (conform, layout) runs once, a lost
+    executor re-reads the table instead of recomputing it, and every pass
+    still gets column pruning and filter pushdown (a checkpointed RDD would
+    deserialize all columns on each scan). ``eager`` is kept for callers;
+    the table is always written at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "materialized")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
