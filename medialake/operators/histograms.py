@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from medialake.functions import numbers, ticks
 from medialake.functions.scalars import with_scalars
 from medialake.operators.ranking import exact_quantiles
+from medialake.session import materialize
 
 # Per-setting parser of the chart path.
 PARSERS: dict[str, Callable[[Column], Column]] = {
@@ -40,9 +41,10 @@ def trim_quantile(df: DataFrame, col: str, lo_q: float, hi_q: float,
     return j.where((v > F.col("_q0")) & (v <= F.col("_q1")) & (v > 0)).drop("_q0", "_q1")
 
 
-def equal_width_bins(values: DataFrame, col: str, nbins: int) -> DataFrame:
+def equal_width_bins(values: DataFrame, col: str, nbins: int, weight: Optional[str] = None) -> DataFrame:
     """All ``nbins`` bins of ``col`` between its min and max:
-    (bin, lower, upper, n); empty input gives no rows."""
+    (bin, lower, upper, n); empty input gives no rows. ``weight`` names a
+    count column when ``values`` holds (distinct value, count) pairs."""
     v = F.col(col)
     st = values.agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
     st = st.where(F.col("_mn").isNotNull()).select(
@@ -62,7 +64,7 @@ def equal_width_bins(values: DataFrame, col: str, nbins: int) -> DataFrame:
     # bin, one at or above the upper edge moves up (the last bin is closed)
     j = j.withColumn("_i", F.when(v < edge(i0), i0 - 1)
                      .when((v >= edge(i0 + 1)) & (i0 != n - 1), i0 + 1).otherwise(i0))
-    counts = j.groupBy("_i").agg(F.count(F.lit(1)).alias("n"))
+    counts = j.groupBy("_i").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     grid = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("_b"))
     out = grid.join(F.broadcast(counts), grid["_b"] == counts["_i"], "left")
     b = F.col("_b")
@@ -77,14 +79,24 @@ def equal_width_bins(values: DataFrame, col: str, nbins: int) -> DataFrame:
 def setting_histogram(images: DataFrame, setting: str, nbins: int = 25, lo_q: float = 0.02,
                       hi_q: float = 0.98) -> DataFrame:
     """Log10 histogram of a camera setting after the quantile trim; shutter
-    values are negated so fast speeds sit left."""
+    values are negated so fast speeds sit left.
+
+    The setting texts are first reduced to (distinct text, count) pairs by a
+    partial aggregate, so only distinct texts are parsed; quantiles, trim,
+    range and bins all run on the small weighted (value, count) table, stored
+    once (same results as on the rows)."""
     parser = PARSERS[setting]
-    raw = images.select(parser(F.col(setting)).alias("_x")).where(F.col("_x").isNotNull())
-    t = trim_quantile(raw, "_x", lo_q, hi_q)
-    lv = F.log10(F.col("_x"))
+    texts = images.groupBy(F.col(setting).alias("_t")).agg(F.count(F.lit(1)).alias("_w"))
+    # stored once: the quantile, trim, range and bin passes all read it
+    vc = materialize(texts.select(parser(F.col("_t")).alias("_x"), "_w").where(F.col("_x").isNotNull())
+                     .groupBy("_x").agg(F.sum("_w").alias("_w")))
+    q = exact_quantiles(vc, "_x", [lo_q, hi_q], prefix="_q", weight="_w")
+    x = F.col("_x")
+    t = with_scalars(vc, q.select("_q0", "_q1")).where((x > F.col("_q0")) & (x <= F.col("_q1")) & (x > 0))
+    lv = F.log10(x)
     if setting == "shutter_speed":
         lv = -lv
-    return equal_width_bins(t.select(lv.alias("_lv")), "_lv", nbins)
+    return equal_width_bins(t.select(lv.alias("_lv"), "_w"), "_lv", nbins, weight="_w")
 
 
 def duration_histogram(videos: DataFrame, nbins: int = 50) -> DataFrame:

@@ -172,16 +172,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
     return j.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_before")).alias(out))
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str = "q",
+                    weight: Optional[str] = None) -> DataFrame:
     """One-row table of exact quantiles with linear interpolation between
     closest ranks (the ``percentile`` / ``quantile_cont`` definition).
 
     Values are reduced to (value, count) by a partial aggregate, then
     cumulative counts come from :func:`running_sum` over the value order, so
     no task holds all values. Columns ``{prefix}0, {prefix}1, ...`` and ``n``.
+    ``weight`` names a count column when ``df`` is already (distinct value,
+    count) pairs.
     """
     x = F.col(col)
-    counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    if weight is None:
+        counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        counts = df.where(x.isNotNull()).select(x.alias("_v"), F.col(weight).cast("bigint").alias("_c"))
     ranked = running_sum(counts, [], ["_v"], "_c", "_before")
     total = counts.agg(F.sum("_c").alias("_n"))
     pos = with_scalars(ranked, total)
