@@ -66,6 +66,11 @@ def normalize_path(path, case_insensitive: bool = False, base: str = "/") -> Col
         p = F.lower(F.regexp_replace(p, r"\\", "/"))
     base = base.rstrip("/") + "/"
     p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base), p))
+    # fast path: an absolute path without empty, '.' or '..' segments and
+    # without a trailing slash is already normal (CASE evaluates the
+    # segment walk below only for the other rows)
+    normal = (~p.contains("//") & ~p.contains("/./") & ~p.contains("/../") & ~p.endswith("/.")
+              & ~p.endswith("/..") & (~p.endswith("/") | (p == "/")))
     # POSIX keeps exactly two leading slashes, collapses three or more to one
     lead = F.when(p.rlike(r"^//[^/]") | (p == "//"), F.lit("//")).otherwise(F.lit("/"))
     parts = F.aggregate(
@@ -75,7 +80,7 @@ def normalize_path(path, case_insensitive: bool = False, base: str = "/") -> Col
         .when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    return F.concat(lead, F.array_join(parts, "/"))
+    return F.when(normal, p).otherwise(F.concat(lead, F.array_join(parts, "/")))
 
 
 def link(path) -> Column:
