@@ -130,3 +130,23 @@ def test_clean_and_sanitize(spark):
 def test_fix_month(spark):
     assert one(spark, dates.shift_month_text(F.col("v")), "2023:07:04 10:00:00") == "2023:06:04 10:00:00"
     assert one(spark, dates.shift_month_text(F.col("v")), "2023:08:04 10:00:00") == "2023:08:04 10:00:00"
+
+
+def test_normalize_path_matches_posix(spark):
+    """Fast path (already normal) and segment walk agree with ``posixpath.normpath``."""
+    import posixpath
+    import random
+
+    from medialake.functions import paths as P
+
+    rnd = random.Random(7)
+    segs = ["a", "b", ".", "..", "", "c.d", "e f"]
+    cases = ["/", "//", "///", "//a", "/a/", "/a/.", "/a/..", "a", "./a", "../a"]
+    for _ in range(300):
+        p = "/".join(rnd.choice(segs) for _ in range(rnd.randint(1, 6)))
+        cases.append(rnd.choice(["", "/", "//", "///"]) + p + rnd.choice(["", "/"]))
+    df = spark.createDataFrame([(c,) for c in cases], "p string")
+    got = dict(df.select("p", P.normalize_path(F.col("p")).alias("n")).collect())
+    for c in cases:
+        want = posixpath.normpath(c if c.startswith("/") else "/" + c)
+        assert got[c] == want, (c, got[c], want)

@@ -161,3 +161,35 @@ def test_organize_multi(spark):
     assert len(got) == 5
     with pytest.raises(ValueError):
         organize.organize_multi(media(spark), [t[0], t[0]])
+
+
+def random_deep_case(seed):
+    rnd = random.Random(seed)
+    stems = ["a", "a_1", "a_1_1", "a_1_1_1", "a_2", "a_10", "b", "b_1_1", "IMG_5", "IMG_5_1", "c_01", "c_0",
+             "x__1", "x_", "d_1"]
+    files = [(i, rnd.choice(["/o/x", "/o/y"]), rnd.choice(stems) + rnd.choice([".jpg", ".png", ""]))
+             for i in range(rnd.randint(1, 40))]
+    existing = {f"{rnd.choice(['/o/x', '/o/y'])}/{rnd.choice(stems)}{rnd.choice(['.jpg', ''])}"
+                for _ in range(rnd.randint(0, 10))}
+    return files, existing
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_rename_with_row_id_equals_sequential(spark, seed):
+    """The narrow family path (plan rows carry ``_rid``) gives the sequential answer."""
+    files, existing = random_deep_case(200 + seed)
+    plan = frame(spark, files).withColumn("_rid", F.col("size_bytes"))
+    ex = spark.createDataFrame([(p,) for p in existing], "path string") if existing else None
+    res = organize.resolve_rename(plan, ex, ["full_path", "size_bytes"])
+    got = {r["size_bytes"]: (r["destination"], r["status"]) for r in res.collect()}
+    assert got == sequential(files, existing, "rename")
+
+
+def test_families_are_link_components(spark):
+    stems = ["a", "a_1", "a_1_1", "a_2", "b_1_1", "b", "IMG_5", "IMG_5_1", "IMG_6", "c_0", "c", "x__1", "x_"]
+    df = spark.createDataFrame([("/d", ".jpg", s) for s in stems], "_dir string, _ext string, _stem string")
+    got = {r["_stem"]: r["_root"] for r in organize._families(df).collect()}
+    # b_1_1 has no present parent (b_1 absent); c_0 is no child (index 0);
+    # IMG_6 and IMG_5 have no parent IMG; x__1 is a child of x_
+    assert got == {"a": "a", "a_1": "a", "a_1_1": "a", "a_2": "a", "IMG_5": "IMG_5", "IMG_5_1": "IMG_5",
+                   "x_": "x_", "x__1": "x_"}
