@@ -66,10 +66,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
+    """A fresh path under the shared checkpoint folder, grouped per Spark
+    application (``<checkpoint dir>/medialake-<app id>/``) so the scratch of
+    a finished application can be removed as one folder."""
     import uuid
 
-    base = checkpoint_dir(spark)
+    base = os.path.join(checkpoint_dir(spark), f"medialake-{spark.sparkContext.applicationId}")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
