@@ -243,12 +243,9 @@ def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequen
     """``rename`` policy (see module doc); all rows ``copied``."""
     spark = plan.sparkSession
     cols = plan.columns
-    fname = paths.basename(F.col("destination"))
-    base_ext = F.regexp_extract(fname, paths.EXT_PATTERN, 1)
-    p = plan.select(
-        "*", F.col("target_dir").alias("_dir"), base_ext.alias("_ext"),
-        F.when(base_ext == "", fname).otherwise(fname.substr(F.lit(1), F.length(fname) - F.length(base_ext)))
-        .alias("_stem"))
+    dest = F.col("destination")
+    p = plan.select("*", F.col("target_dir").alias("_dir"), paths.extension(dest).alias("_ext"),
+                    paths.stem(dest).alias("_stem"))
     keys = ["_dir", "_ext", "_stem"]
 
     # stems in a family of interacting stems (a parent/child pair); the

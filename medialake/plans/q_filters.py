@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import functions as F
 
 from medialake.operators import filters, histograms, lookup
 from medialake.plans import common
