@@ -62,3 +62,14 @@ def test_summary_totals_hms(spark):
     o = spark.createDataFrame([(0.25,)], "size_mb double")
     r = stats.summary_totals(i, v, o).first()
     assert (r["total_files"], r["total_size_mb"], r["hours"], r["minutes"], r["seconds"]) == (5, 6.0, 1, 2, 3)
+
+
+def test_empty_inputs_give_empty_tables(spark):
+    """One-row aggregates of empty data are NULL scalars: no bins, no cells."""
+    from medialake.operators.ranking import exact_quantiles
+
+    empty = spark.createDataFrame([], "x double, latitude double, longitude double")
+    assert histograms.equal_width_bins(empty, "x", 5).count() == 0
+    assert geo.hexbin(empty).count() == 0
+    q = exact_quantiles(empty, "x", [0.5]).collect()
+    assert len(q) == 1 and q[0]["q0"] is None and q[0]["n"] is None
