@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import fingerprints, line_dedup, mixing, sharding
+from medialake.llm import fingerprints, line_dedup, mixing, near_dup, sharding
 from medialake.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,27 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(docs.select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                       "shard", "shard_depth", "shard_oversize")
+
+
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END)) AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT c, n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c < b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, b FROM reach JOIN both_ways ON reach.r = a),
+heads AS (SELECT c, min(r) AS h FROM reach GROUP BY c)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(h, d.doc_id) AS component_id, d.doc_id = coalesce(h, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes k ON d.s = k.s LEFT JOIN heads ON heads.c = k.c"""
+
+
+@_query(NEAR_DUP_SQL)
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
