@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import fingerprints, line_dedup, mixing, near_dup, sharding
+from medialake.llm import fingerprints, line_dedup, mixing, near_dup, quality, sharding
 from medialake.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.tail_edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Poisson counts at temperature 0.5 over as many documents as the table has.
 MIXED_SQL = r"""
 WITH RECURSIVE src AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
