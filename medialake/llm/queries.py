@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import fingerprints, line_dedup, mixing, near_dup, quality, sharding
+from medialake.llm import decontaminate, fingerprints, licenses, line_dedup, mixing, near_dup, quality, sharding
 from medialake.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,13 @@ FROM sets d LEFT JOIN classes k ON d.s = k.s LEFT JOIN heads ON heads.c = k.c"""
 @_query(NEAR_DUP_SQL)
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@_query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
