@@ -9,19 +9,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import mixing, sharding
+from medialake.llm import decontaminate, mixing, near_dup, quality, sharding
 from medialake.session import materialize
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on all of them, does not reject."""
+    return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8)."""
+    return near_dup.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target share asks for."""
     return mixing.poisson_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard."""
     return sharding.shard_rows(docs)
 
 
-STAGES = [("source mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source mixing", mix),
+    ("sharding", shard),
+]
 
 #: Learned scores and similarity components are not SQL.
 ORACLE_SQL = None
