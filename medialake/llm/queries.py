@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import decontaminate, fingerprints, licenses, line_dedup, mixing, near_dup, quality, sharding
+from medialake.llm import decontaminate, fingerprints, html, licenses, line_dedup, mixing, near_dup, quality, sharding
 from medialake.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
