@@ -309,3 +309,34 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     text = F.array_join("texts", "\n")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),
                        F.char_length(text).cast("long").alias("n_chars"))
+
+
+def visible_text(text: str | None) -> str:
+    """All text a reader sees, furniture included: blocks joined by a newline,
+    without scripts, styles and the head."""
+    hidden = frozenset("head script style noscript template iframe object embed svg math canvas title".split())
+    blocks: list[str] = []
+    run: list[str] = []
+
+    def flush() -> None:
+        t = _squeeze(run)
+        run.clear()
+        if t:
+            blocks.append(t)
+
+    todo: list[tuple[object, bool]] = [(parse(text), False)]
+    while todo:
+        node, leaving = todo.pop()
+        if isinstance(node, str):
+            run.append(node)
+        elif leaving:
+            flush()
+        elif node.tag == "br":
+            run.append(" ")
+        elif node.tag not in hidden:
+            if node.tag in BLOCK:
+                flush()
+                todo.append((node, True))
+            todo.extend((c, False) for c in reversed(node.children))
+    flush()
+    return "\n".join(blocks)

@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import decontaminate, fingerprints, html, licenses, line_dedup, mixing, near_dup, quality, sharding
+from medialake.llm import decontaminate, fingerprints, html, licenses, line_dedup, mixing, near_dup, quality, sharding, warc
 from medialake.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@_query()
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build_derivatives(warc.page_responses(table(spark, sf_dir, "pages")), id_col="page_id")
