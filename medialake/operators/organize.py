@@ -12,31 +12,30 @@ order (``order`` columns, default ``full path, size``):
   ``stem_2``, ... (free = not pre-existing, not given out earlier).
 
 ``rename`` is solved exactly without a global sequential pass. Names of a
-stem ``u`` are ``u`` and ``u_k``; two stems interact only when one is the
-other plus ``_k`` (a parent/child pair), and pre-existing names are static
-blockers. Hence:
-
-* a stem with no parent/child stem in its folder: the r-th file (0-based) gets
-  candidate index ``x`` = its position when the files (keyed by ``r``) are
-  merged with the blocked indices ``p_j`` (keyed by ``p_j - j``, first on
-  ties); with no blockers ``x = r``. These are plain ranks, computed with the
-  skew-safe ``rank_within`` so a folder holding a third of all files is
-  still spread over many tasks;
-* a family of interacting stems (``IMG_5`` next to ``IMG_5_1``) is solved by
-  the sequential rule in one sorted ``mapInPandas`` pass, seeded with its
-  pre-existing names. A family is a connected component of the
-  parent/child links among the planned stems of a folder: a stem's family
-  root is the top of its unbroken chain of present ancestors (``IMG_5_1`` ->
-  ``IMG_5`` -> ``IMG`` stops at the first absent one).
+stem ``u`` are ``u`` (index 0) and ``u_k``; pre-existing names block indices.
+Two planned stems share at most one name: index ``k`` of ``u`` is index 0 of
+the planned stem ``v = u_k``. Such a name is contested, and goes to whichever
+wants it first: ``v``'s first file, or the file of ``u`` that gets that far.
+
+1. One skew-safe running sum over (files of a stem, first files of its child
+   stems) gives each file its rank ``r`` in its stem, and each contested name
+   ``q`` = the number of ``u``'s files that come before ``v``'s first.
+2. With ``s`` blocked indices below ``k``, the file of ``u`` that wants ``k``
+   has rank ``k - s``: ``u`` takes the name if ``k - s < q``, else it is blocked
+   for ``u``. This is decided in ascending ``k`` by a pass over the contested
+   names alone (never over files), whose state is the count ``s``. Whether
+   ``u``'s own index 0 was taken is known from its parent, so the pass runs
+   once per nesting level of contested names.
+3. The file of rank ``r`` gets the ``r``-th index that is not blocked: ``r``
+   plus the number of blocked indices ``b_j`` with ``b_j - j <= r``, one more
+   running sum over the stems that have any.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 from typing import Optional, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +43,9 @@ from pyspark.sql import types as T
 from medialake import schemas
 from medialake.functions import dates, numbers, paths
 from medialake.functions.text import sanitize_folder_name
-from medialake.operators.ranking import hot_keys, rank_within
+from medialake.operators.ranking import rank_within, running_sum
 from medialake.session import materialize
+from medialake.sources import files
 
 # Folder names of the layout.
 NO_INFO = "No Info"
@@ -53,10 +53,10 @@ MEDIA_FOLDERS = {"image": "Photos", "video": "Videos"}
 STRUCTURE_FIELDS = ("Year", "Month", "Model", "Lens")
 # layout field -> column holding it (Spark names are case-insensitive: "Lens" would clash with "lens")
 FIELD_COLUMNS = {"Year": "lay_year", "Month": "lay_month", "Model": "lay_model", "Lens": "lay_lens"}
-MAX_TARGETS = 64  # organize_multi broadcasts its target table; keep it bounded
+# columns that name a stem: files of one stem compete for the same names
+STEM = ["_dir", "_ext", "_stem"]
 
 CHILD_RE = r"^(.*)_([1-9][0-9]*)$"
-TAIL_RE = r"((?:_[1-9][0-9]*)+)$"
 
 
 @dataclass(frozen=True)
@@ -146,174 +146,149 @@ def plan_layout(df: DataFrame, root: str, options: LayoutOptions, path_col: str
     return d.withColumn("destination", F.concat(F.col("target_dir"), F.lit("/"), paths.basename(F.col(path_col))))
 
 
-def _split_existing(existing: Optional[DataFrame], path_col: str = "path") -> Optional[DataFrame]:
-    if existing is None:
-        return None
-    p = F.col(path_col)
-    return existing.select(paths.dirname(p).alias("_dir"), paths.stem(p).alias("_stem"),
-                           paths.extension(p).alias("_ext"), p.alias("_dest")).distinct()
-
-
 def resolve_skip(plan: DataFrame, existing: Optional[DataFrame], order: Sequence[str]) -> DataFrame:
-    """``skip`` policy: rank claimants per destination (pre-existing files
-    first); rank 0 of a new file is ``copied``, everything else ``skipped``."""
+    """``skip`` policy: the first file by ``order`` that claims a destination
+    is ``copied`` unless the destination exists; everything else ``skipped``.
+
+    ``plan`` carries a stored unique ``_rid``. The winner of a destination is
+    the minimum of a narrow (order, row id) struct, combined map-side, so a
+    destination claimed by very many files is no hot key; the winners come back
+    to the wide rows by the unique row id."""
     cols = plan.columns
-    p = plan.withColumn("_pre", F.lit(1))
+    place = F.struct(*[F.col(c) for c in order], F.col("_rid").alias("_rid"))
+    first = plan.groupBy("destination").agg(F.min(place).alias("_first"))
     if existing is not None:
-        e = existing.select(F.col("path").alias("destination")).distinct().withColumn("_pre", F.lit(0))
-        p = p.unionByName(e, allowMissingColumns=True)
-    r = rank_within(p, ["destination"], ["_pre", *order], out="_r")
-    r = r.where(F.col("_pre") == 1)
-    return r.select(*cols, F.when(F.col("_r") == 0, F.lit("copied")).otherwise(F.lit("skipped")).alias("status"))
-
-
-def _ancestors(stem: Column) -> Column:
-    """Array of ``stem`` with 1, 2, ... trailing ``_k`` parts removed
-    (``IMG_5_1`` -> [``IMG_5``, ``IMG``]); empty without such parts."""
-    tail = F.regexp_extract(stem, TAIL_RE, 1)
-    parts = F.split(tail.substr(F.lit(2), F.length(tail)), "_")
-    n = F.size(parts)
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: stem.substr(
-        F.lit(1), F.length(stem) - F.length(F.concat(F.lit("_"), F.array_join(F.slice(parts, n - i + 1, i), "_")))))
-    return F.when(tail == "", F.array().cast("array<string>")).otherwise(cut)
-
-
-def _families(stems: DataFrame) -> DataFrame:
-    """Planned stems (distinct ``_dir, _ext, _stem``) that belong to a family
-    of two or more interacting stems, with the family root ``_root``."""
-    keys = ["_dir", "_ext", "_stem"]
-    s = F.col("_stem")
-    anc = stems.select(*keys, F.posexplode(_ancestors(s)).alias("_lvl", "_anc"))
-    present = stems.select("_dir", "_ext", F.col("_stem").alias("_anc"), F.lit(True).alias("_present"))
-    anc = anc.join(present, ["_dir", "_ext", "_anc"], "left")
-    # chain length = levels before the first absent ancestor
-    chain = anc.groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(F.col("_present").isNull(), F.col("_lvl"))), F.max("_lvl") + 1).alias("_up"))
-    parents = anc.where((F.col("_lvl") == 0) & F.col("_present")).select(
-        "_dir", "_ext", F.col("_anc").alias("_stem"), F.lit(0).alias("_up"))
-    linked = chain.where(F.col("_up") > 0).unionByName(parents).groupBy(*keys).agg(F.max("_up").alias("_up"))
-    root = F.when(F.col("_up") == 0, s).otherwise(F.element_at(_ancestors(s), F.col("_up")))
-    return linked.select(*keys, root.alias("_root"))
-
-
-def _solve_families(hard: DataFrame, existing: DataFrame, order: Sequence[str],
-                    schema: T.StructType) -> DataFrame:
-    """Sequential rename rule over each family of interacting stems.
-
-    Family rows and the family's pre-existing names are hash-partitioned by
-    family and sorted (names first, then files in input order); one
-    ``mapInPandas`` pass walks the sorted rows, keeping only the current
-    family's taken names, so a task holds one family's state at a time and
-    many small families cost no per-group call."""
-    fam = ["_dir", "_ext", "_root"]
-    n = int(hard.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = hard.withColumn("_file", F.lit(1)).unionByName(existing.withColumn("_file", F.lit(0)),
-                                                          allowMissingColumns=True)
-    rows = rows.repartition(n, *fam).sortWithinPartitions(*fam, "_file", *order)
-    out_cols = schema.fieldNames()
+        first = first.join(existing.select(F.col("path").alias("destination")).distinct(), "destination", "left_anti")
+    winners = first.select(F.col("_first._rid").alias("_rid"), F.lit(True).alias("_wins"))
+    won = plan.join(winners, "_rid", "left")
+    return won.select(*cols, F.when(F.col("_wins"), F.lit("copied")).otherwise(F.lit("skipped")).alias("status"))
+
+
+def _child_of(stem: Column) -> tuple[Column, Column]:
+    """(parent stem, index) of a stem ``u_k``; NULL for any other stem and for
+    an index beyond 64 bits, which no file can reach."""
+    k = F.regexp_extract(stem, CHILD_RE, 2)
+    return F.nullif(F.regexp_extract(stem, CHILD_RE, 1), F.lit("")), F.nullif(k, F.lit("")).try_cast("bigint")
+
+
+def _blocked_by_existing(existing: DataFrame, stems: DataFrame) -> DataFrame:
+    """(stem keys, _k) for indices of planned stems whose name exists."""
+    p = F.col("path")
+    ex = existing.select(paths.dirname(p).alias("_dir"), paths.stem(p).alias("_stem"), paths.extension(p).alias("_ext"))
+    parent, k = _child_of(F.col("_stem"))
+    own = ex.select("_dir", "_ext", "_stem", F.lit(0).cast("bigint").alias("_k"))
+    kid = ex.select("_dir", "_ext", parent.alias("_stem"), k.alias("_k")).where("_stem IS NOT NULL AND _k IS NOT NULL")
+    return own.unionByName(kid).distinct().join(stems.select(*STEM), STEM, "left_semi")
+
+
+def _decide(level: DataFrame) -> DataFrame:
+    """The contested names of one nesting level, with ``_took``: whether the
+    parent stem takes the name. Rows of a stem stay together in ascending
+    index; the only state is the number of indices blocked so far."""
+    spread = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = level.select(*STEM, "_k", "_free", "_q", "_lost").repartition(spread, *STEM).sortWithinPartitions(*STEM, "_k")
 
     def walk(batches):
-        cur, taken, next_k = None, set(), {}
+        stem, blocked = None, 0
         for pdf in batches:
-            new = [None] * len(pdf)
-            it = zip(pdf["_dir"], pdf["_ext"], pdf["_root"], pdf["_file"], pdf["_stem"])
-            for i, (d, e, r, is_file, stem) in enumerate(it):
-                if (d, e, r) != cur:
-                    cur, taken, next_k = (d, e, r), set(), {}
-                if not is_file:
-                    taken.add(stem)
-                    continue
-                name = stem
-                if name in taken:
-                    # names are never freed, so the first free index only grows
-                    k = next_k.get(stem, 1)
-                    while f"{stem}_{k}" in taken:
-                        k += 1
-                    name = f"{stem}_{k}"
-                    next_k[stem] = k + 1
-                taken.add(name)
-                new[i] = name
-            pdf = pdf.assign(_new_stem=new)
-            yield pdf[pdf["_file"] == 1][out_cols]
-
-    return rows.mapInPandas(walk, schema)
+            took = []
+            for d, e, s, free, q, lost in zip(pdf["_dir"], pdf["_ext"], pdf["_stem"], pdf["_free"], pdf["_q"], pdf["_lost"]):
+                if (d, e, s) != stem:
+                    stem, blocked = (d, e, s), int(lost)
+                took.append(free - blocked < q)
+                blocked += not took[-1]
+            yield pdf[[*STEM, "_k"]].assign(_took=took)
+
+    return rows.mapInPandas(walk, "_dir string, _ext string, _stem string, _k bigint, _took boolean")
+
+
+def _contest(contested: DataFrame) -> DataFrame:
+    """All contested names with ``_took``, level by level: a stem whose own
+    name is contested waits for its parent's decision."""
+    done = None
+    todo = contested
+    kid = [F.col("_dir"), F.col("_ext"), F.col("_kid").alias("_stem")]
+    while True:
+        waiting = todo.select(*kid)
+        level = todo.join(waiting, STEM, "left_anti")
+        lost = F.lit(0)
+        if done is not None:
+            taken = done.where("_took").select(*kid, F.lit(1).alias("_is_lost"))
+            level = level.join(taken, STEM, "left")
+            lost = F.coalesce("_is_lost", F.lit(0))
+        decided = _decide(level.withColumn("_lost", lost))
+        named = decided.join(todo.select(*STEM, "_k", "_kid"), [*STEM, "_k"])
+        done = materialize(named if done is None else done.unionByName(named))
+        todo = materialize(todo.join(waiting, STEM, "left_semi"))
+        if todo.isEmpty():
+            return done
 
 
 def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequence[str]) -> DataFrame:
-    """``rename`` policy (see module doc); all rows ``copied``."""
-    spark = plan.sparkSession
+    """``rename`` policy (see module doc); all rows ``copied``. ``plan`` carries
+    a stored unique ``_rid``."""
     cols = plan.columns
     dest = F.col("destination")
-    p = plan.select("*", F.col("target_dir").alias("_dir"), paths.extension(dest).alias("_ext"),
-                    paths.stem(dest).alias("_stem"))
-    keys = ["_dir", "_ext", "_stem"]
-
-    # stems in a family of interacting stems (a parent/child pair); the
-    # family table is read by every branch below, so it is written once
-    # (it is small: only stems with a parent or child among the planned ones)
-    fams = materialize(_families(materialize(p.select(*keys).distinct())))
-    pj = p.join(fams, keys, "left")
-    simple = pj.where(F.col("_root").isNull()).drop("_root")
-    hard = pj.where(F.col("_root").isNotNull())
-
-    ex = _split_existing(existing)
-    if ex is not None:
-        own = ex.select("_dir", "_ext", "_stem", F.lit(0).cast("bigint").alias("_k"))
-        kid = ex.select("_dir", "_ext", F.regexp_extract("_stem", CHILD_RE, 1).alias("_stem"),
-                        F.regexp_extract("_stem", CHILD_RE, 2).cast("bigint").alias("_k")).where(F.col("_stem") != "")
-        blocker_keys = own.unionByName(kid)
-    # one hot-key pass, over the (materialized) plan rows and the blocker
-    # keys, serves all ranks below: they share the (_dir, _ext, _stem) keys
-    hot_src = p.select(*keys)
-    if ex is not None:
-        hot_src = hot_src.unionByName(blocker_keys.select(*keys))
-    hot = hot_keys(hot_src, keys)
-    # simple stems: rank files, then shift past blocked candidate indices
-    ranked = rank_within(simple, keys, list(order), out="_r", hot=hot)
-    if ex is not None:
-        blockers = blocker_keys.join(simple.select(*keys).distinct(), keys, "left_semi").distinct()
-        bj = rank_within(blockers, keys, ["_k"], out="_j", hot=hot).select(
-            *keys, (F.col("_k") - F.col("_j")).alias("_key"), F.lit(0).alias("_type"))
-        blocked_stems = bj.select(*keys).distinct()
-        rb = ranked.join(blocked_stems, keys, "left_semi")
-        free = ranked.join(blocked_stems, keys, "left_anti").withColumn("_x", F.col("_r"))
-        merged = rb.withColumn("_key", F.col("_r")).withColumn("_type", F.lit(1)).unionByName(
-            bj, allowMissingColumns=True)
-        mr = rank_within(merged, keys, ["_key", "_type"], out="_x", hot=hot).where(F.col("_type") == 1)
-        ranked = free.unionByName(mr.drop("_key", "_type"))
-    else:
-        ranked = ranked.withColumn("_x", F.col("_r"))
-    simple_out = ranked.select(*cols, F.when(F.col("_x") == 0, F.col("_stem"))
-                               .otherwise(F.concat(F.col("_stem"), F.lit("_"), F.col("_x").cast("string")))
-                               .alias("_new_stem"), "_dir", "_ext")
-
-    # interacting families: sequential rule per family
-    fam = ["_dir", "_ext", "_root"]
-    hard_schema = T.StructType(hard.schema.fields + [T.StructField("_new_stem", T.StringType())])
-    if ex is not None:
-        # an existing name matters to the family holding its stem or its parent
-        own = ex.select("_dir", "_ext", F.col("_stem").alias("_member"), "_stem")
-        kid = ex.select("_dir", "_ext", F.regexp_extract("_stem", CHILD_RE, 1).alias("_member"), "_stem") \
-            .where(F.col("_member") != "")
-        members = fams.select("_dir", "_ext", F.col("_stem").alias("_member"), F.col("_root").alias("_root"))
-        exf = own.unionByName(kid).join(members, ["_dir", "_ext", "_member"]) \
-            .select(*fam, "_stem").distinct()
-    else:
-        exf = spark.createDataFrame([], "_dir string, _ext string, _root string, _stem string")
-    if "_rid" in hard.columns:
-        # only the row id, keys, stem and order cross into Python; the wide
-        # rows get their new stem back by the (stored, stable) row id
-        narrow = hard.select("_rid", *fam, "_stem", *order)
-        nschema = T.StructType(narrow.schema.fields + [T.StructField("_new_stem", T.StringType())])
-        solved = _solve_families(narrow, exf, order, nschema).select("_rid", "_new_stem")
-        hard_out = hard.join(solved, "_rid").select(*cols, "_new_stem", "_dir", "_ext")
+    place = [*order, "_rid"]
+    files_ = plan.select("_rid", F.col("target_dir").alias("_dir"), paths.extension(dest).alias("_ext"),
+                         paths.stem(dest).alias("_stem"), *order)
+    stems = materialize(files_.groupBy(*STEM).agg(F.min(F.struct(*place)).alias("_first"), F.count("*").alias("_files")))
+
+    parent, k = _child_of(F.col("_stem"))
+    kids = stems.select("_dir", "_ext", parent.alias("_stem"), k.alias("_k"), F.col("_stem").alias("_kid"), "_first").where(
+        "_stem IS NOT NULL AND _k IS NOT NULL")
+    contested = kids.join(stems.select(*STEM), STEM, "left_semi")
+    static = None
+    if existing is not None:
+        static = materialize(_blocked_by_existing(existing, stems))
+        contested = contested.join(static, [*STEM, "_k"], "left_anti")
+    contested = materialize(contested)
+
+    # ranks of files, and the files before each child stem's first one
+    none = F.lit(None)
+    marks = contested.select(none.cast("bigint").alias("_rid"), *STEM, "_k", *[F.col("_first").getField(c).alias(f"_o{i}")
+                                                                            for i, c in enumerate(place)], F.lit(0).cast("bigint").alias("_w"))
+    own = files_.select("_rid", *STEM, none.cast("bigint").alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(place)],
+                        F.lit(1).cast("bigint").alias("_w"))
+    ranked = running_sum(own.unionByName(marks), STEM, [f"_o{i}" for i in range(len(place))], "_w", "_r")
+    ranked = materialize(ranked.select("_rid", *STEM, "_k", "_r"))
+    ranks = ranked.where("_rid IS NOT NULL").drop("_k")
+
+    blocked = static
+    if not contested.isEmpty():
+        names = contested.select(*STEM, "_k", "_kid").join(
+            ranked.where("_rid IS NULL").select(*STEM, "_k", F.col("_r").alias("_q")), [*STEM, "_k"])
+        if static is None:
+            names = names.withColumn("_free", F.col("_k"))
+        else:  # index among those that no existing name blocks
+            both = names.withColumn("_w", F.lit(0).cast("bigint")).unionByName(
+                static.withColumn("_w", F.lit(1).cast("bigint")), allowMissingColumns=True)
+            names = running_sum(both, STEM, ["_k"], "_w", "_below").where("_w = 0").withColumn(
+                "_free", F.col("_k") - F.col("_below")).drop("_below", "_w")
+        decided = _contest(materialize(names.select(*STEM, "_k", "_kid", "_q", "_free")))
+        taken = decided.where("_took").select("_dir", "_ext", F.col("_kid").alias("_stem"), F.lit(0).cast("bigint").alias("_k"))
+        kept = decided.where(~F.col("_took")).select(*STEM, "_k")
+        blocked = taken.unionByName(kept) if blocked is None else blocked.unionByName(taken).unionByName(kept)
+    if blocked is None:
+        ranks = ranks.withColumn("_x", F.col("_r"))
     else:
-        solved = _solve_families(hard, exf, order, hard_schema)
-        hard_out = solved.select(*cols, "_new_stem", "_dir", "_ext")
-
-    out = simple_out.unionByName(hard_out)
-    dest = F.concat(F.col("_dir"), F.lit("/"), F.col("_new_stem"), F.col("_ext"))
-    return out.select(*[c for c in cols if c != "destination"], dest.alias("destination"),
+        # indices that some file gets as far as: b_j - j below the number of files
+        gaps = rank_within(blocked.distinct(), STEM, ["_k"], out="_j").select(*STEM, (F.col("_k") - F.col("_j")).alias("_gap"))
+        gaps = materialize(gaps.join(stems.select(*STEM, "_files"), STEM).where("_gap < _files").drop("_files"))
+        hit = gaps.select(*STEM).distinct()
+        free = ranks.join(hit, STEM, "left_anti").withColumn("_x", F.col("_r"))
+        merged = (ranks.join(hit, STEM, "left_semi").select("_rid", *STEM, F.col("_r").alias("_at"), F.lit(0).cast("bigint").alias("_w"))
+                  .unionByName(gaps.select(none.cast("bigint").alias("_rid"), *STEM, F.col("_gap").alias("_at"),
+                                           F.lit(1).cast("bigint").alias("_w")))
+                  .withColumn("_late", 1 - F.col("_w")))
+        moved = running_sum(merged, STEM, ["_at", "_late"], "_w", "_shift").where("_rid IS NOT NULL")
+        ranks = free.select("_rid", *STEM, "_x").unionByName(
+            moved.select("_rid", *STEM, (F.col("_at") + F.col("_shift")).alias("_x")))
+
+    name = F.when(F.col("_x") == 0, F.col("_stem")).otherwise(F.concat(F.col("_stem"), F.lit("_"), F.col("_x").cast("string")))
+    given = ranks.select("_rid", F.concat(F.col("_dir"), F.lit("/"), name, F.col("_ext")).alias("_given"))
+    out = plan.join(given, "_rid")
+    return out.select(*[c for c in cols if c != "destination"], F.col("_given").alias("destination"),
                       F.lit("copied").alias("status"))
 
 
@@ -324,7 +299,7 @@ def plan_organize(df: DataFrame, root: str, options: LayoutOptions, existing: Op
 
     ``existing`` lists files already present under ``root`` (column ``path``).
     """
-    # the plan feeds several passes (hot-key split, ranks, family checks):
+    # the plan feeds several passes (ranks, contested names, the join back):
     # materialize it once in the shared checkpoint folder
     # ``_rid`` is assigned before the write, so it is stored, not recomputed
     plan = materialize(plan_layout(df, root, options, path_col, kind_col, has_meta_col)
@@ -375,6 +350,7 @@ def organize_report(manifest: DataFrame) -> DataFrame:
 
 
 def excluded_files(manifest: DataFrame, path_col: str = "full_path") -> DataFrame:
+    """The files that were not placed, with the reason (skipped or error)."""
     return manifest.where(F.col("status").isin("skipped", "error")).select(path_col, "status")
 
 
@@ -389,68 +365,69 @@ class Target:
 
 def organize_multi(df: DataFrame, targets: Sequence[Target], path_col: str = "full_path",
                    kind_col: str = "kind", has_meta_col: Optional[str] = None,
-                   order: Sequence[str] = ("full_path", "size_bytes")) -> DataFrame:
-    """Every file tested against every target (J4): one scan, each row
-    fanned out to the (bounded) target ids, per-target predicate and layout
-    folded into CASE expressions; collisions resolved per target (distinct
-    roots)."""
-    if len(targets) > MAX_TARGETS:
-        raise ValueError(f"at most {MAX_TARGETS} targets per run")
+                   order: Sequence[str] = ("full_path", "size_bytes"),
+                   existing: Optional[DataFrame] = None) -> DataFrame:
+    """Every file tested against every target (J4) in one scan: a row is
+    exploded to the ids of the targets that want it, with the target's layout;
+    collisions are resolved per target (distinct roots). ``existing`` lists
+    files that already lie under any of the roots (column ``path``)."""
     roots = [t.root.rstrip("/") for t in targets]
     if len(set(roots)) != len(roots):
         raise ValueError("target roots must be distinct")
-    tid = F.col("target_id")
-    x = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(targets) - 1))).alias("target_id"))
-    x = x.select("*", F.element_at(F.array(*[F.lit(t.root) for t in targets]), tid + 1).alias("target_root"),
-                 F.element_at(F.array(*[F.lit(t.catalog or t.root) for t in targets]), tid + 1).alias("catalog"))
-    keep = F.lit(False)
+    wants = []
     for i, t in enumerate(targets):
-        pred = t.spec.predicate() if t.spec is not None and not t.spec.is_empty() else F.lit(True)
-        keep = F.when(tid == i, pred).otherwise(keep)
-    x = layout_fields(x.where(keep), kind_col, has_meta_col)
-    tdir = F.lit(None).cast("string")
+        all_rows = t.spec is None or t.spec.is_empty()
+        wants.append(F.when(F.lit(True) if all_rows else t.spec.predicate(), F.lit(i)))
+    ids = F.filter(F.array(*wants), lambda i: i.isNotNull())
+    tid = F.col("target_id")
+    x = layout_fields(df.select("*", F.explode(ids).alias("target_id")), kind_col, has_meta_col)
+    tdir, root, cat = (F.lit(None).cast("string") for _ in range(3))
     for i, t in enumerate(targets):
         tdir = F.when(tid == i, target_dir_expr(t.root, t.options, kind_col, has_meta_col)).otherwise(tdir)
-    plan = x.withColumn("target_dir", tdir).withColumn(
+        root = F.when(tid == i, F.lit(t.root)).otherwise(root)
+        cat = F.when(tid == i, F.lit(t.catalog or t.root)).otherwise(cat)
+    plan = x.withColumn("target_root", root).withColumn("catalog", cat).withColumn("target_dir", tdir).withColumn(
         "destination", F.concat(F.col("target_dir"), F.lit("/"), paths.basename(F.col(path_col))))
-    policies = {t.options.on_exist for t in targets}
-    outs = []
-    for pol in sorted(policies):
-        ids = [i for i, t in enumerate(targets) if t.options.on_exist == pol]
-        sub = plan.where(tid.isin(*ids))
-        outs.append(resolve_skip(sub, None, order) if pol == "skip" else resolve_rename(sub, None, order))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
-def apply_plan(manifest: DataFrame, source_col: str = "full_path") -> DataFrame:
+    plan = materialize(plan.withColumn("_rid", F.monotonically_increasing_id()))
+    if existing is not None:
+        existing = materialize(existing.select("path").distinct())
+    out = None
+    for policy, resolve in (("rename", resolve_rename), ("skip", resolve_skip)):
+        chosen = [i for i, t in enumerate(targets) if t.options.on_exist == policy]
+        if chosen:
+            part = resolve(plan.where(tid.isin(*chosen)), existing, order)
+            out = part if out is None else out.unionByName(part)
+    return out.drop("_rid")
+
+
+def apply_plan(manifest: DataFrame, source_col: str = "full_path", keep: Sequence[str] = ()) -> DataFrame:
     """Copy every ``copied`` row to its destination (O8), as a distributed
-    action. Each task copies to a temporary name in the destination folder
-    and renames it into place, so a retried task never leaves a partial
-    file; a destination already holding a same-size file counts as done.
-    Returns (source, destination, status) with status ``copied`` or
-    ``error``; one failure does not stop the others."""
-    import shutil
+    action: (``keep`` columns, src, dst, status) with status ``copied`` or
+    ``error``; one failure does not stop the others.
 
+    A file is never replaced (``files.copy_new``): where the destination holds
+    the same content, an earlier attempt has copied it; where it holds anything
+    else, the row is an ``error`` and both files stay as they are."""
     def copy_batches(it):
         for pdf in it:
-            status = []
-            for src, dst in zip(pdf["src"], pdf["dst"]):
-                try:
-                    if os.path.exists(dst) and os.path.getsize(dst) == os.path.getsize(src):
-                        status.append("copied")
-                        continue
-                    os.makedirs(os.path.dirname(dst), exist_ok=True)
-                    tmp = f"{dst}.part-{os.getpid()}"
-                    shutil.copy2(src, tmp)
-                    os.replace(tmp, dst)
-                    status.append("copied")
-                except OSError:
-                    status.append("error")
-            yield pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "status": status})
-
-    todo = manifest.where(F.col("status") == "copied").select(F.col(source_col).alias("src"),
+            yield pdf.assign(status=[files.copy_new(s, d) for s, d in zip(pdf["src"], pdf["dst"])])
+
+    todo = manifest.where(F.col("status") == "copied").select(*keep, F.col(source_col).alias("src"),
                                                               F.col("destination").alias("dst"))
-    return todo.mapInPandas(copy_batches, "src string, dst string, status string")
+    schema = T.StructType([*todo.schema.fields, T.StructField("status", T.StringType())])
+    return todo.mapInPandas(copy_batches, schema)
+
+
+def copy_listed(listing: DataFrame, target_dir: str, path_col: str = "path") -> DataFrame:
+    """Copy listed files flat into one folder: (path, destination, status).
+
+    Of several files of one name the first by path is copied; the others, and
+    files whose copy fails, are reported as ``skipped`` and ``error``."""
+    p = F.col(path_col)
+    dest = F.concat(F.lit(target_dir.rstrip("/") + "/"), paths.basename(p))
+    rows = materialize(listing.select(p.alias("full_path"), dest.alias("destination"))
+                       .withColumn("_rid", F.monotonically_increasing_id()))
+    plan = resolve_skip(rows, None, ["full_path"])
+    done = apply_plan(plan).select(F.col("src").alias("path"), F.col("dst").alias("destination"), "status")
+    rest = plan.where(F.col("status") == "skipped").select(F.col("full_path").alias("path"), "destination", "status")
+    return done.unionByName(rest)

@@ -2,174 +2,67 @@
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task,
 so one hot key (a folder holding a third of all files) becomes one straggler.
-Here a hot key is cut into order-contiguous buckets first:
-
-1. one partial aggregate finds the keys holding more than ``1/n`` of the
-   rows (at most ``n`` keys); only if there are any, a bounded random sample
-   of their rows (at most ``SAMPLE_ROWS`` reach the driver) gives split
-   points of each hot key's order values;
-2. the split points form a small table (bounded by the sample size), joined
-   by broadcast on the key with a range condition on the order: the row's
-   bucket (0 for keys that are not hot);
-3. the window runs per (key, bucket), so no task holds more than about
-   ``1/n`` of the rows; per-(key, bucket) totals, prefix-summed over the
-   buckets of a key (at most ``n`` rows per key), give each bucket's offset.
-
-Every step is a deterministic function of the data and the fixed split table,
-so a recomputed task (lost executor) gives the same result.
+Here the rows are range-partitioned by (keys, order) instead and stored once
+with their partition number: a partition holds a bounded, contiguous stretch,
+whatever the keys. Sums are taken within (partition, key). Only the first key
+of a partition can have begun in an earlier one, so the missing offset is one
+number per partition: the weight of that key in the partitions before.
+
+The offsets are computed from the stored frame (cutting the ranges again could
+cut elsewhere), and a recomputed task reads the same files.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from medialake.functions.scalars import with_scalars
+from medialake.session import materialize
 
-SAMPLE_ROWS = 50_000  # upper bound of the sample collected to plan the split
-# a key is split only when it exceeds both 1/n of the rows and this many rows
-# (a window task handles a million rows comfortably); tests lower it
-MIN_SPLIT_ROWS = 1_000_000
-
-
-def _sort_key(v):
-    return tuple((x is not None, x) for x in v)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], n: Optional[int] = None) -> list:
-    """Keys holding more than ``1/n`` of the rows, with their row counts
-    ``_n`` and the total ``_tot`` (at most ``n`` of them). Callers ranking
-    several frames over the same keys compute this once, on a materialized
-    superset of their rows, and pass it to :func:`rank_within`. One partial aggregate over ``df``; the total is
-    a scalar subquery over the same aggregate."""
-    keys = list(keys)
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    tot = counts.agg(F.sum("_n").alias("_tot"))
-    hot = with_scalars(counts, tot).where((F.col("_n") * n > F.col("_tot"))
-                                                   & (F.col("_n") > MIN_SPLIT_ROWS))
-    return hot.limit(n + 1).collect()
-
-
-def _split_table(df: DataFrame, keys: list[str], order: list[str], n: int,
-                 hot: Optional[list] = None) -> Optional[DataFrame]:
-    """(keys..., _bkt, _lo, _hi) rows cutting each hot key into buckets."""
-    spark = df.sparkSession
-    if n <= 1:
-        return None
-    if hot is None:
-        hot = hot_keys(df, keys, n)
-    if not hot:
-        return None
-    hot_rows = sum(r["_n"] for r in hot)
-    frac = min(1.0, SAMPLE_ROWS / hot_rows)
-    cand = df
-    if keys:
-        hk = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], T.StructType(
-            [T.StructField(f"_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)]))
-        cand = df.join(F.broadcast(hk), [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)],
-                       "left_semi")
-    sample = (cand.select(*[F.col(k) for k in keys], F.struct(*[F.col(c) for c in order]).alias("_o"))
-              .sample(withReplacement=False, fraction=frac, seed=17).limit(2 * SAMPLE_ROWS).collect())
-    if not sample:
-        return None
-    counts = {tuple(r[k] for k in keys): r["_n"] for r in hot}
-    total = hot[0]["_tot"]
-    groups: dict[tuple, list] = defaultdict(list)
-    for r in sample:
-        groups[tuple(r[k] for k in keys)].append(tuple(r["_o"]))
-    rows = []
-    for key, vals in groups.items():
-        buckets = min(n, math.ceil(counts.get(key, 0) * n / max(total, 1)))
-        if buckets < 2:
-            continue
-        vals.sort(key=_sort_key)
-        cuts = []
-        for b in range(1, buckets):
-            c = vals[(b * len(vals)) // buckets]
-            if not cuts or _sort_key(c) > _sort_key(cuts[-1]):
-                cuts.append(c)
-        bounds = [None] + cuts + [None]
-        for b in range(len(bounds) - 1):
-            rows.append((*key, b, bounds[b], bounds[b + 1]))
-    if not rows:
-        return None
-    ostruct = df.select(F.struct(*[F.col(c) for c in order]).alias("_o")).schema["_o"].dataType
-    schema = T.StructType([T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-                          + [T.StructField("_bkt", T.IntegerType()), T.StructField("_lo", ostruct),
-                             T.StructField("_hi", ostruct)])
-    return spark.createDataFrame(rows, schema)
-
-
-def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: Optional[int] = None,
-                 hot: Optional[list] = None) -> DataFrame:
-    """Add ``_bkt``: 0 for ordinary keys, an order-contiguous bucket for hot
-    keys (``hot``: precomputed :func:`hot_keys`, else detected here).
-    Returns ``df`` itself when no key is split."""
-    keys, order = list(keys), list(order)
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = _split_table(df, keys, order, n, hot)
-    if split is None:
-        return df
-    o = F.struct(*[F.col(c) for c in order])
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    cond += [F.col("_lo").isNull() | (o >= F.col("_lo")), F.col("_hi").isNull() | (o < F.col("_hi"))]
-    j = df.join(F.broadcast(split), cond, "left")
-    return j.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("_bkt"), F.lit(0)).alias("_bkt"))
-
-
-def _offsets(d: DataFrame, keys: list[str], weight: Optional[Column]) -> DataFrame:
-    """Per (key, bucket): sum of weights in the key's earlier buckets."""
-    w = weight if weight is not None else F.lit(1)
-    sk = [f"_s{i}" for i in range(len(keys))]
-    tot = d.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, sk)], F.col("_bkt").alias("_sb")).agg(
-        F.sum(w).alias("_tot"))
-    win = Window.partitionBy(*sk).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    return tot.select(*sk, "_sb", F.coalesce(F.sum("_tot").over(win), F.lit(0)).alias("_before"))
-
-
-def _attach(d: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
-    sk = [f"_s{i}" for i in range(len(keys))]
-    cond = [F.col("_bkt") == F.col("_sb")] + [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, sk)]
-    return d.join(off, cond, "inner")
-
-
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
-                num_partitions: Optional[int] = None, hot: Optional[list] = None) -> DataFrame:
-    """Add ``out`` = 0-based position of the row within its ``keys`` group by
-    ``order`` (ascending; rows tied on ``order`` get distinct consecutive
-    ranks). ``keys=[]`` ranks the whole table."""
-    keys, order = list(keys), list(order)
-    d = with_buckets(df, keys, order, num_partitions, hot)
-    if d is df:
-        # no key is split: the plain window is the rank (no offsets)
-        win = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(win) - 1).cast("bigint"))
-    win = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    loc = d.withColumn("_loc", F.row_number().over(win) - 1)
-    j = _attach(loc, _offsets(d, keys, None), keys)
-    return j.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_before")).cast("bigint").alias(out))
+
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+
+
+def _offsets(cut: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """(_opart, _okey, _before): for the first key of each partition that began
+    earlier, its weight in earlier partitions. At most one row per partition."""
+    key = _key(keys)
+    ends = cut.groupBy("_part").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    at_end = cut.join(F.broadcast(ends.select(F.col("_part").alias("_p"), "_hi")), F.col("_part") == F.col("_p"))
+    tails = (at_end.where(key.eqNullSafe(F.col("_hi"))).groupBy(F.col("_part").alias("_q"))
+             .agg(F.first("_hi").alias("_end"), F.sum(weight).alias("_t")))
+    starts = ends.select(F.col("_part").alias("_opart"), F.col("_lo").alias("_okey"))
+    earlier = starts.join(tails, F.col("_okey").eqNullSafe(F.col("_end")) & (F.col("_q") < F.col("_opart")))
+    return earlier.groupBy("_opart").agg(F.first("_okey").alias("_okey"), F.sum("_t").alias("_before"))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, out: str,
-                inclusive: bool = False, num_partitions: Optional[int] = None) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over earlier rows of the key (``order``
-    must be unique within a key); ``inclusive`` adds the row's own weight."""
+                inclusive: bool = False) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` over earlier rows of the key by ``order``
+    (ascending; rows tied on ``order`` come in some fixed order); ``inclusive``
+    adds the row's own weight. ``keys=[]`` runs over the whole table."""
     keys, order = list(keys), list(order)
-    d = with_buckets(df, keys, order, num_partitions)
-    end = Window.currentRow if inclusive else -1
-    if d is df:
-        win = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(win), F.lit(0)))
-    win = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    loc = d.withColumn("_loc", F.coalesce(F.sum(weight).over(win), F.lit(0)))
-    j = _attach(loc, _offsets(d, keys, F.col(weight)), keys)
-    return j.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_before")).alias(out))
+    cut = materialize(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    win = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = cut.withColumn("_local", F.coalesce(F.sum(weight).over(win), F.lit(0)))
+    # bounded: one row per partition
+    offsets = F.broadcast(_offsets(cut, keys, weight))
+    j = local.join(offsets, F.col("_part") == F.col("_opart"), "left")
+    carried = F.when(_key(keys).eqNullSafe(F.col("_okey")), F.col("_before"))
+    return j.select(*[F.col(c) for c in df.columns], (F.col("_local") + F.coalesce(carried, F.lit(0))).alias(out))
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
+    """Add ``out`` = 0-based position of the row within its ``keys`` group by
+    ``order`` (ascending; rows tied on ``order`` get distinct consecutive
+    ranks). ``keys=[]`` ranks the whole table."""
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return running_sum(one, keys, order, "_one", out).drop("_one")
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str = "q",
@@ -189,7 +82,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], prefix: str =
     else:
         counts = df.where(x.isNotNull()).select(x.alias("_v"), F.col(weight).cast("bigint").alias("_c"))
     ranked = running_sum(counts, [], ["_v"], "_c", "_before")
-    total = counts.agg(F.sum("_c").alias("_n"))
+    total = ranked.agg(F.max(F.col("_before") + F.col("_c")).alias("_n"))
     pos = with_scalars(ranked, total)
     aggs = []
     for i, q in enumerate(qs):

@@ -54,10 +54,10 @@ plan2 AS (
   SELECT *, regexp_extract(fname, '^\\.*[^.].*(\\.[^.]*)$', 1) AS ext, target_dir || '/' || fname AS destination
   FROM plan
 ),
-plan3 AS (
+plan3 AS MATERIALIZED (
   SELECT *, CASE WHEN ext = '' THEN fname ELSE substr(fname, 1, length(fname) - length(ext)) END AS stem FROM plan2
 ),
-existing AS (SELECT DISTINCT destination AS path FROM plan3 WHERE size_bytes % 20 = 0)"""
+existing AS MATERIALIZED (SELECT DISTINCT destination AS path FROM plan3 WHERE size_bytes % 20 = 0)"""
 
 
 def _ctes(opts):
@@ -94,10 +94,10 @@ def plan_dirs_model_lens(spark, sf_dir):
 
 
 SKIP_SQL = """SELECT full_path, destination,
-       CASE WHEN destination IN (SELECT path FROM existing) THEN 'skipped'
+       CASE WHEN existing.path IS NOT NULL THEN 'skipped'
             WHEN row_number() OVER (PARTITION BY destination ORDER BY full_path, size_bytes) = 1 THEN 'copied'
             ELSE 'skipped' END AS status
-FROM plan3"""
+FROM plan3 LEFT JOIN existing ON existing.path = plan3.destination"""
 
 
 @query("plan_skip", with_media(SKIP_SQL, _ctes(DEFAULT)))
@@ -233,3 +233,25 @@ FROM t""", LAYOUT_SQL + ",\n" + _multi_sql()))
 def organize_multi(spark, sf_dir):
     m = organize.organize_multi(common.media(spark, sf_dir), TARGETS)
     return m.select("target_id", "full_path", "destination", "status")
+
+
+@query("organize_multi_existing", with_media("""
+SELECT t.target_id, t.full_path, t.destination,
+       CASE WHEN e.destination IS NOT NULL THEN 'skipped'
+            WHEN row_number() OVER (PARTITION BY t.target_id, t.destination ORDER BY t.full_path, t.size_bytes) = 1
+            THEN 'copied' ELSE 'skipped' END AS status
+FROM t LEFT JOIN (SELECT DISTINCT destination FROM t WHERE size_bytes % 20 = 0) e ON e.destination = t.destination
+""", LAYOUT_SQL + ",\n" + _multi_sql()))
+def organize_multi_existing(spark, sf_dir):
+    """Against what already lies in each target: every 20th-byte file's place."""
+    media = common.media(spark, sf_dir)
+    there = organize.organize_multi(media.where(F.col("size_bytes") % 20 == 0), TARGETS)
+    m = organize.organize_multi(media, TARGETS, existing=there.select(F.col("destination").alias("path")))
+    return m.select("target_id", "full_path", "destination", "status")
+
+
+@query("organize_excluded", with_media(f"SELECT full_path, status FROM ({SKIP_SQL}) WHERE status = 'skipped'", _ctes(DEFAULT)))
+def organize_excluded(spark, sf_dir):
+    opts = organize.LayoutOptions(on_exist="skip")
+    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
+    return organize.excluded_files(m)
