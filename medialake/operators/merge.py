@@ -1,9 +1,11 @@
 """Catalog merge: add + refresh, never prune (M1-M3, M6).
 
 Rows are keyed by the normalized ``full_path``. On a repeated key the last row
-wins: new rows over existing ones, later new rows over earlier ones. Keep-last
-is an aggregate (``lookup.keep_last``), so a key repeated many times is
-combined map-side. Rows with a NULL path collapse to one.
+wins: new rows over existing ones, later new rows over earlier ones. Only the
+new rows are deduplicated (``lookup.keep_last``, a map-side combined
+aggregate); a catalog is unique by key already, so its rows pass through an
+anti-join on the narrow keys of the new ones and are never sorted. New rows
+with a NULL path collapse to one.
 """
 
 from __future__ import annotations
@@ -36,24 +38,23 @@ def upsert(existing: Optional[DataFrame], new: Optional[DataFrame], kind: str,
     added).
     """
     schema = schemas.BY_KIND[kind]
-    extra = [c for c in order if c not in schema.fieldNames()]
-    parts = []
-    if existing is not None:
-        e = schemas.conform(existing, schema)
-        parts.append(e.select("*", F.lit(0).alias("_src"),
-                              *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in extra]))
-    if new is not None:
-        n = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns
-                         else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields],
-                       F.lit(1).alias("_src"), *[F.col(c) for c in extra])
-        parts.append(n)
-    if not parts:
+    if existing is None and new is None:
         raise ValueError("nothing to merge")
-    u = union_aligned(parts)
-    key = F.when(F.col("full_path").isNotNull(), paths.normalize_path(F.col("full_path"), case_insensitive))
-    u = u.withColumn("_key", key)
-    last = keep_last(u, ["_key"], ["_src", *order])
-    return schemas.conform(last, schema)
+    if new is None:
+        return schemas.conform(existing, schema)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.when(F.col("full_path").isNotNull(),
+                                            paths.normalize_path(F.col("full_path"), case_insensitive)))
+
+    extra = [c for c in order if c not in schema.fieldNames()]
+    last = keep_last(keyed(schemas.conform(new, schema, keep=tuple(extra))), ["_key"], order)
+    if existing is None:
+        return schemas.conform(last, schema)
+    # existing rows are unique by key already: only those that a new row replaces are left out
+    replaced = last.select(F.col("_key").alias("_gone"))
+    stays = keyed(schemas.conform(existing, schema)).join(replaced, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return schemas.conform(stays.unionByName(last.drop(*extra)), schema)
 
 
 def upsert_catalog(existing: dict[str, Optional[DataFrame]], new: dict[str, Optional[DataFrame]],

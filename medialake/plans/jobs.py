@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
-from typing import Optional, Sequence
+from dataclasses import replace
+from functools import partial
+from typing import Callable, Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake import schemas
-from medialake.operators import conform, filters, geo, histograms, lookup, merge, organize, stats
+from medialake.functions import paths
+from medialake.operators import conform, filters, geo, histograms, lookup, organize, stats
 from medialake.session import materialize
 from medialake.sinks import export
 from medialake.sources import catalog, listing, tags
@@ -25,103 +28,157 @@ log = logging.getLogger(__name__)
 
 
 def media_from_listing(lst: DataFrame, extractor: Optional[tags.Extractor] = None,
-                       tag_records: Optional[DataFrame] = None, batch_size: int = 2500) -> DataFrame:
-    """Wide media rows for a listing: tags from ``tag_records`` or from the
-    ``extractor`` (images and videos only); ``other`` rows from the listing."""
+                       tag_records: Optional[DataFrame] = None, batch_size: int = 2500) -> tuple[DataFrame, DataFrame]:
+    """(wide media rows, extraction failures) for a listing: tags from
+    ``tag_records`` or from the ``extractor`` (images and videos only, each file
+    once); ``other`` rows from the listing."""
+    spark = lst.sparkSession
+    failures = spark.createDataFrame([], "path string, error string")
     if tag_records is None:
         if extractor is None:
             raise ValueError("need tag records or an extractor")
-        tag_records = tags.extract_tags(lst, extractor, batch_size)
+        tag_records, failures = tags.extract_tags(lst, extractor, batch_size)
     media = conform.conform_media(tag_records).where(F.col("kind") != "other")
     oth = listing.kind_split(lst).where(F.col("kind") == "other")
     others = conform.other_rows(oth).withColumn("kind", F.lit("other"))
-    return media.unionByName(others, allowMissingColumns=True)
+    return media.unionByName(others, allowMissingColumns=True), failures
+
+
+def _listed(lst: DataFrame, spec: filters.FilterSpec) -> DataFrame:
+    """The listing without files that kind and extension already exclude, so
+    that their tags are never read."""
+    part = spec.listing_only()
+    if part.is_empty():
+        return lst
+    kinds = listing.kind_split(lst).withColumn("filetype", paths.filetype(F.col("path")))
+    return part.apply(kinds).select(*lst.columns)
 
 
 def run_analyze(spark: SparkSession, lst: DataFrame, out_root: str, spec: Optional[filters.FilterSpec] = None,
                 extractor=None, tag_records: Optional[DataFrame] = None, fmt: str = "parquet",
                 stamp: Optional[str] = None) -> str:
     """Report job (K5): ``<out_root>/Analysis <stamp>/metadata/{images,videos,others}``
-    plus one table per chart under ``charts/``. Chart tables are written after
-    the metadata, and a failing chart is logged without losing the metadata."""
+    plus one table per chart under ``charts/`` and ``extraction_failures``. The
+    metadata comes first; each chart is built and written on its own, and one
+    that fails is logged."""
     stamp = stamp or dt.datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
     out = f"{out_root.rstrip('/')}/Analysis {stamp}"
-    media = media_from_listing(lst, extractor, tag_records)
-    if spec is not None and not spec.is_empty():
-        media = spec.apply(media)
-    media = materialize(media)  # exported and charted: compute once
+    spec = spec or filters.FilterSpec()
+    media, failures = media_from_listing(_listed(lst, spec), extractor, tag_records)
+    if tag_records is not None:  # given records may hold more than the listing
+        media = media.join(lst.select(F.col("path").alias("full_path")).distinct(), "full_path", "left_semi")
+    media = materialize(spec.apply(media))  # exported and charted: compute once
     frames = conform.split_kinds(media)
     export.export_tables(frames, f"{out}/metadata", fmt=fmt)
-    for name, df in chart_tables(frames).items():
+    failures.write.parquet(f"{out}/extraction_failures")
+    for name, build in chart_tables(frames).items():
         try:
-            df.write.mode("overwrite").parquet(f"{out}/charts/{name}")
-        except Exception as exc:  # noqa: BLE001 - charts must not lose the metadata
+            build().write.mode("overwrite").parquet(f"{out}/charts/{name}")
+        except Exception as exc:  # noqa: BLE001 - one chart must not cost the others
             log.error("chart table %s failed: %s", name, exc)
     return out
 
 
-def chart_tables(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The report's chart set as tables (counts, cameras, lenses, settings,
-    yearly/monthly timelines by camera and lens, videos, locations)."""
+def chart_tables(frames: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """The report's chart set (counts, cameras, lenses, settings, yearly and
+    monthly timelines by camera and lens, videos, locations), each as a
+    function that builds its table."""
     i, v, o = frames["image"], frames["video"], frames["other"]
     media = schemas.union_kinds({"image": i.select("name"), "video": v.select("name"), "other": o.select("name")})
     out = {
-        "general_file_types": stats.counts_by_kind(media),
-        "images_cameras": stats.top_with_share(i, "camera", 15),
-        "images_lenses": stats.top_n(i, "lens", 15),
-        "videos_duration": histograms.duration_histogram(v, 50),
-        "videos_timeline": stats.video_timeline(v),
-        "locations": geo.geo_points(i, extra=()),
-        "locations_heatmap": geo.hexbin(geo.geo_points(i, extra=())),
+        "general_file_types": lambda: stats.counts_by_kind(media),
+        "images_cameras": lambda: stats.top_with_share(i, "camera", 15),
+        "images_lenses": lambda: stats.top_n(i, "lens", 15),
+        "videos_duration": lambda: histograms.duration_histogram(v, 50),
+        "videos_timeline": lambda: stats.video_timeline(v),
+        "locations": lambda: geo.geo_points(i, extra=()),
+        "locations_heatmap": lambda: geo.hexbin(geo.geo_points(i, extra=())),
     }
     for s in ("aperture", "shutter_speed", "iso", "focal_length"):
-        out[f"images_settings_{s}"] = histograms.setting_histogram(i, s)
-        out[f"images_settings_{s}_ticks"] = histograms.hist_ticks(i, s, "plot")
+        out[f"images_settings_{s}"] = partial(histograms.setting_histogram, i, s)
+        out[f"images_settings_{s}_ticks"] = partial(histograms.hist_ticks, i, s, "plot")
     for g in ("camera", "lens"):
         for t in ("year", "month"):
-            out[f"images_{'yearly' if t == 'year' else 'monthly'}_{g}"] = stats.timeline(i, g, t, 15)
+            out[f"images_{'yearly' if t == 'year' else 'monthly'}_{g}"] = partial(stats.timeline, i, g, t, 15)
     return out
 
 
+def _copied(manifest: DataFrame) -> DataFrame:
+    """The manifest after copying: rows whose copy failed have status
+    ``error``. The statuses come back by the stored row number, so a file that
+    is listed twice keeps two rows."""
+    manifest = materialize(manifest.withColumn("row_no", F.monotonically_increasing_id()))
+    status = materialize(organize.apply_plan(manifest, source_col="path", keep=["row_no"]))
+    failed = status.where(F.col("status") == "error").select("row_no", F.lit(True).alias("_err"))
+    return materialize(manifest.join(failed, "row_no", "left").withColumn(
+        "status", F.when(F.col("_err"), F.lit("error")).otherwise(F.col("status"))).drop("_err", "row_no"))
+
+
+def _joined(spark: SparkSession, lst: DataFrame, spec: filters.FilterSpec, extractor, tag_records) -> DataFrame:
+    """Listed files with their metadata. A filter needs metadata, so files
+    without any are dropped by it; plain organizing keeps them as ``other``."""
+    listed = _listed(lst, spec)
+    media, _ = media_from_listing(listed, extractor, tag_records)
+    how = "left" if spec.is_empty() else "inner"
+    joined = lookup.listing_lookup(listed, media, how=how)
+    if how == "inner":
+        joined = joined.withColumn("has_meta", F.lit(True))
+        joined = replace(spec, undated="mtime").apply(joined, "modification_date")
+    return joined.withColumn("size_bytes", F.coalesce("size_bytes", "length"))
+
+
 def run_organize(spark: SparkSession, lst: DataFrame, output_root: str, options: organize.LayoutOptions,
                  spec: Optional[filters.FilterSpec] = None, extractor=None,
                  tag_records: Optional[DataFrame] = None, existing: Optional[DataFrame] = None,
                  catalog_root: Optional[str] = None, copy: bool = True) -> dict:
     """Organize job: lookup -> filter -> plan -> (copy) -> record -> catalog.
 
-    The manifest is materialized once (shared checkpoint folder); copying is
-    a separate action whose per-file status is persisted before the records
-    are merged into the catalog (add + refresh, never prune)."""
-    media = media_from_listing(lst, extractor, tag_records)
-    joined = lookup.listing_lookup(lst, media.drop("modification_date"), how="left")
-    spec = spec or filters.FilterSpec()
-    if not spec.is_empty():
-        from dataclasses import replace
-        joined = replace(spec, undated="mtime").apply(joined, "modification_date")
+    The manifest is stored once; copying is a separate action whose per-file
+    status is stored before the records are appended to the catalog (add +
+    refresh, never prune). ``excluded`` lists the files that were not placed."""
+    joined = _joined(spark, lst, spec or filters.FilterSpec(), extractor, tag_records)
     if existing is None:
-        existing = listing.scan_listing(spark, [output_root]).select("path") if _exists(spark, output_root) else None
-    manifest = organize.plan_organize(joined, output_root, options, existing=existing, path_col="path",
-                                      has_meta_col="has_meta", order=("path", "length"))
-    manifest = materialize(manifest.withColumn("size_bytes", F.coalesce("size_bytes", "length")))
+        existing = listing.scan_listing(spark, [output_root]).select("path")
+    manifest = materialize(organize.plan_organize(joined, output_root, options, existing=existing, path_col="path",
+                                                  has_meta_col="has_meta", order=("path", "length")))
     if copy:
-        status = materialize(organize.apply_plan(manifest, source_col="path"))
-        failed = status.where(F.col("status") == "error").select(F.col("src").alias("path"), F.lit(1).alias("_err"))
-        manifest = manifest.join(failed, "path", "left").withColumn(
-            "status", F.when(F.col("_err") == 1, F.lit("error")).otherwise(F.col("status"))).drop("_err")
-    report = organize.organize_report(manifest)
+        manifest = _copied(manifest)
     recs = organize.organized_rows(manifest, has_meta_col="has_meta", carry=("path", "length"))
     if catalog_root:
-        cur = catalog.read_catalog(spark, catalog_root)
-        catalog.write_catalog(merge.upsert_catalog(cur, recs, order=("path", "length")), catalog_root)
-    return {"manifest": manifest, "report": report, "records": recs}
+        catalog.append_catalog(recs, catalog_root, order=("path", "length"))
+    return {"manifest": manifest, "report": organize.organize_report(manifest), "records": recs,
+            "excluded": organize.excluded_files(manifest, "path")}
+
+
+def run_organize_multi(spark: SparkSession, lst: DataFrame, targets: Sequence[organize.Target], extractor=None,
+                       tag_records: Optional[DataFrame] = None, copy: bool = True) -> dict:
+    """Every file against every target (J4), against what already lies in each
+    target, into each target's own catalog."""
+    media, _ = media_from_listing(lst, extractor, tag_records)
+    joined = lookup.listing_lookup(lst, media, how="inner").withColumn("has_meta", F.lit(True))
+    existing = listing.scan_listing(spark, [t.root for t in targets]).select("path")
+    manifest = materialize(organize.organize_multi(
+        joined.withColumn("size_bytes", F.coalesce("size_bytes", "length")), targets, path_col="path",
+        has_meta_col="has_meta", order=("path", "length"), existing=existing))
+    if copy:
+        manifest = _copied(manifest)
+    for root in dict.fromkeys(t.catalog for t in targets if t.catalog):
+        recs = organize.organized_rows(manifest.where(F.col("catalog") == root), has_meta_col="has_meta",
+                                       carry=("path", "length"))
+        catalog.append_catalog(recs, root, order=("path", "length"))
+    return {"manifest": manifest, "report": organize.organize_report(manifest),
+            "excluded": organize.excluded_files(manifest, "path")}
 
 
 def run_rebuild(spark: SparkSession, roots: Sequence[str], catalog_root: str, extractor=None,
-                tag_records: Optional[DataFrame] = None) -> int:
-    """Full catalog rebuild (M5): scan + conform + new version, no merge."""
+                tag_records: Optional[DataFrame] = None, keep_versions: int = 2) -> int:
+    """Full catalog rebuild (M5): scan + conform + new snapshot, no merge;
+    older versions are pruned."""
     lst = listing.scan_listing(spark, roots)
-    media = media_from_listing(lst, extractor, tag_records)
-    return catalog.write_catalog(conform.split_kinds(media), catalog_root)
+    media, _ = media_from_listing(lst, extractor, tag_records)
+    n = catalog.write_catalog(conform.split_kinds(materialize(media)), catalog_root)
+    catalog.prune_versions(spark, catalog_root, keep_versions)
+    return n
 
 
 def dashboard_tables(images: DataFrame, videos: DataFrame, others: DataFrame, month_range=None,
@@ -147,8 +204,3 @@ def dashboard_tables(images: DataFrame, videos: DataFrame, others: DataFrame, mo
         out[f"settings_{s}_ticks"] = histograms.hist_ticks(fi, s, "dashboard")
     return out
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -12,7 +12,7 @@ from medialake.plans import common
 from medialake.plans.registry import query
 from medialake.session import scratch_path
 from medialake.sinks import export
-from medialake.sources import catalog, fixture, listing, tags
+from medialake.sources import catalog, files, fixture, listing, tags
 from medialake.streaming import ingest
 from oracle_sql import IMAGE_EXT, VIDEO_EXT, with_media, with_raw
 
@@ -22,11 +22,34 @@ EXT_SQL = "lower(regexp_extract(regexp_extract(path, '[^/]*$', 0), '^\\.*[^.].*(
 KIND_SQL = f"CASE WHEN {EXT_SQL} IN {IMAGE_EXT} THEN 'image' WHEN {EXT_SQL} IN {VIDEO_EXT} THEN 'video' ELSE 'other' END"
 
 
-@query("scan_listing", with_raw(LISTING_SQL))
+def written_tree(spark, sf_dir) -> str:
+    """A folder tree with one small file per fixture row (``file_size % 64``
+    bytes), written by executors; returns its root."""
+    root = scratch_path(spark, "tree")
+
+    def write(batches):
+        for pdf in batches:
+            for path, size in zip(pdf["path"], pdf["size"]):
+                files.write_bytes(root + path, b"x" * int(size))
+            yield pdf[["path"]]
+
+    rows = fixture.media_listing(spark, sf_dir).select("path", (F.col("length") % 64).alias("size"))
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(write, "path string").write.format("noop").mode(
+        "overwrite").save()
+    return root
+
+
+@query("scan_listing", with_raw("""
+SELECT path, kind, length FROM (
+  SELECT path, length % 64 AS length, """ + KIND_SQL + """ AS kind FROM (""" + LISTING_SQL + """))
+"""))
 def scan_listing(spark, sf_dir):
-    """Listing variant over the fixture (the directory scan itself is
-    ``sources.listing.scan_listing``, tested on real folders)."""
-    return fixture.media_listing(spark, sf_dir)
+    """Scan of a folder tree that holds a file for every fixture row."""
+    root = written_tree(spark, sf_dir)
+    plain = root.removeprefix("file:") if root.startswith("file:") else root
+    plain = "/" + plain.lstrip("/") if root.startswith(("file:", "/")) else plain
+    found = listing.kind_split(listing.scan_listing(spark, [root]))
+    return found.select(F.substr(F.col("path"), F.lit(len(plain) + 1)).alias("path"), "kind", "length")
 
 
 @query("kind_split", with_raw(f"SELECT path, {KIND_SQL} AS kind FROM ({LISTING_SQL})"))
@@ -47,24 +70,38 @@ def other_rows(spark, sf_dir):
     return conform.other_rows(lst)
 
 
+def _path_reader(paths_: list, profile: str, wanted: list) -> list:
+    """A tag reader that knows what the path says, and how many tags it was
+    asked for; it cannot read one kind of file."""
+    if any(p.endswith(".cr2") for p in paths_):
+        raise ValueError("unreadable")
+    return [{"SourceFile": p, "Directory": p.rsplit("/", 1)[0], "Model": profile, "ISO": len(wanted)} for p in paths_]
+
+
 @query("extract_tags", with_raw(f"""
-SELECT path AS SourceFile, regexp_extract(path, '^(.*)/', 1) AS Directory FROM ({LISTING_SQL})
-WHERE {KIND_SQL} <> 'other'
+SELECT path AS SourceFile, CASE WHEN path LIKE '%.cr2' THEN NULL ELSE regexp_extract(path, '^(.*)/', 1) END AS Directory,
+       CASE WHEN path NOT LIKE '%.cr2' THEN {KIND_SQL} END AS Model,
+       CASE WHEN path LIKE '%.cr2' THEN NULL WHEN {KIND_SQL} = 'image' THEN 17 ELSE 11 END AS ISO,
+       CASE WHEN path LIKE '%.cr2' THEN 'ValueError: unreadable' END AS error
+FROM ({LISTING_SQL}) WHERE {KIND_SQL} <> 'other'
 """))
 def extract_tags(spark, sf_dir):
-    lst = fixture.media_listing(spark, sf_dir)
-    t = tags.extract_tags(lst, tags.path_only_extractor, batch_size=500)
-    return t.select("SourceFile", "Directory")
+    """Records of readable files, and the files of failed batches."""
+    records, failures = tags.extract_tags(fixture.media_listing(spark, sf_dir), _path_reader, batch_size=1)
+    got = records.select("SourceFile", "Directory", "Model", "ISO", F.lit(None).cast("string").alias("error"))
+    lost = failures.select(F.col("path").alias("SourceFile"), *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("Directory", "string"), ("Model", "string"), ("ISO", "bigint"))], "error")
+    return got.unionByName(lost)
 
 
-@query("read_tags", with_raw("""
-SELECT source_file AS SourceFile, file_size AS FileSize, model AS Model, iso AS ISO, exposure_time AS ExposureTime
+@query("read_tags", with_raw("SELECT " + ", ".join(f'{c} AS "{t}"' for c, t in fixture.RAW_TAG_NAMES.items()) + """
 FROM media_raw WHERE source_file IS NOT NULL AND source_file <> ''
 """))
 def read_tags(spark, sf_dir):
-    raw = fixture.raw_tags(spark, sf_dir)
-    js = raw.select(F.to_json(F.struct(*raw.columns)).alias("json"))
-    return tags.parse_tags(js).select("SourceFile", "FileSize", "Model", "ISO", "ExposureTime")
+    """Tag records written as JSON files and read back, all fixture tags."""
+    path = scratch_path(spark, "tags-json")
+    fixture.raw_tags(spark, sf_dir).write.json(path)
+    return tags.read_tags(spark, path, multi_line=False).select(*fixture.RAW_TAG_NAMES.values())
 
 
 @query("link_column", with_media("SELECT full_path, 'file:///' || full_path AS link FROM media"))

@@ -50,13 +50,6 @@ OTHER = _struct(
     ("size_bytes", L), ("size_mb", D),
 )
 
-LISTING = _struct(("path", S), ("modification_time", T.TimestampType()), ("length", L))
-
-MANIFEST = _struct(
-    ("ordinal", L), ("full_path", S), ("kind", S), ("target_dir", S),
-    ("destination", S), ("status", S),
-)
-
 BY_KIND = {"image": IMAGE, "video": VIDEO, "other": OTHER}
 TABLE_BY_KIND = {"image": "images", "video": "videos", "other": "others"}
 
