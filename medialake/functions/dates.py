@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import operator
+from functools import reduce
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,3 +76,12 @@ def shift_month_text(text, from_month: str = "07", to_month: str = "06") -> Colu
     ``to_month`` there; other text unchanged."""
     t = _c(text)
     return F.when(t.substr(6, 2) == from_month, F.overlay(t, F.lit(to_month), 6, 2)).otherwise(t)
+
+
+def fix_month(df: DataFrame, cols: Sequence[str], from_month: str = "07", to_month: str = "06") -> DataFrame:
+    """``df`` with the month shifted in each of ``cols``, and ``modified``:
+    whether any of them changed."""
+    changed = [F.coalesce(F.col(c).substr(6, 2) == from_month, F.lit(False)) for c in cols]
+    rest = [F.col(c) for c in df.columns if c not in cols]
+    fixed = [shift_month_text(F.col(c), from_month, to_month).alias(c) for c in cols]
+    return df.select(*rest, *fixed, reduce(operator.or_, changed).alias("modified"))

@@ -24,13 +24,5 @@ def clean_text(x) -> Column:
     return F.translate(_c(x), CONTROL_SET, "")
 
 
-def clean_string_columns(df: DataFrame) -> DataFrame:
-    """``clean_text`` on every string column; other columns untouched."""
-    return df.select(*[
-        clean_text(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
-        for f in df.schema.fields
-    ])
-
-
 def sanitize_folder_name(x) -> Column:
     return F.regexp_replace(_c(x), FOLDER_UNSAFE, "_")

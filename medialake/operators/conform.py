@@ -8,6 +8,8 @@ partition pruning.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ MEDIA_COLUMNS = [
     "camera", "lens", "focal_length", "aperture", "iso", "shutter_speed",
     "latitude", "longitude", "altitude", "size_bytes", "size_mb", "width", "height",
     "duration_ms", "codec", "frame_rate",
+    # stored at ingest for pushed-down filters and path lookups
+    "exposure_s", "norm_key",
 ]
 
 
@@ -34,31 +38,25 @@ def kind_of(filetype_col) -> Column:
             .otherwise(F.lit("other")))
 
 
-def _with_raw_columns(tags: DataFrame) -> DataFrame:
+def _with_raw_columns(tags: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Missing raw tags become typed NULL columns (no schema inference)."""
-    return schemas.conform(tags, schemas.RAW_TAGS)
+    return schemas.conform(tags, schemas.RAW_TAGS, keep=tuple(carry))
 
 
-def conform_media(tags: DataFrame) -> DataFrame:
+def conform_media(tags: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Raw tags -> wide media rows (``MEDIA_COLUMNS``).
 
     Records without ``SourceFile`` are dropped. String tags are cleaned of
-    control characters before any parsing.
+    control characters before any parsing. ``carry`` names columns passed
+    through (e.g. the order of the records).
     """
-    t = _with_raw_columns(tags).where(F.col("SourceFile").isNotNull() & (F.col("SourceFile") != ""))
+    t = _with_raw_columns(tags, carry).where(F.col("SourceFile").isNotNull() & (F.col("SourceFile") != ""))
     # stage 1: cleaned tags plus the per-row keys every later column depends on
     names = schemas.RAW_TAGS.fieldNames()
     t = t.select(*[(clean_text(F.col(f.name)) if f.dataType.typeName() == "string" else F.col(f.name)).alias(f.name)
-                   for f in schemas.RAW_TAGS.fields])
+                   for f in schemas.RAW_TAGS.fields], *carry)
     t = t.withColumn("_ft", paths.filetype(F.col("SourceFile")))
     t = t.withColumn("_kind", kind_of(F.col("_ft")))
-    # Plan boundary: a one-element ``inline`` of plain column references.
-    # Predicates on conformed columns are not rewritten below it, so the
-    # cleaning/suffix/kind expressions stay evaluated once per row instead of
-    # being repeated per reference inside pushed-down filters (which grows
-    # generated code past the 64 KB method limit). The struct holds only
-    # attribute references, so its generated code stays small.
-    t = t.select(F.inline(F.array(F.struct(*[F.col(c) for c in names + ["_ft", "_kind"]]))))
     s = {n: F.col(n) for n in names}
     src = s["SourceFile"]
     ft = F.col("_ft")
@@ -106,12 +104,17 @@ def conform_media(tags: DataFrame) -> DataFrame:
         vid(numbers.first_truthy(s["VideoCodecID"], s["CompressorID"], zero="")).alias("codec"),
         vid(F.when(~F.isnan(s["VideoFrameRate"]), s["VideoFrameRate"])).alias("frame_rate"),
     ]
-    return t.select(*cols)
+    shutter = F.col("shutter_speed")
+    return t.select(*cols, *carry).select(
+        *MEDIA_COLUMNS[:-2],
+        F.when(shutter != "", numbers.parse_shutter(shutter, bad="zero")).alias("exposure_s"),
+        paths.normalize_path(F.col("full_path")).alias("norm_key"), *carry)
 
 
-def split_kinds(media: DataFrame) -> dict[str, DataFrame]:
+def split_kinds(media: DataFrame, carry: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Per-kind canonical tables from the wide frame (filter + projection)."""
-    return {k: schemas.conform(media.where(F.col("kind") == k), sch) for k, sch in schemas.BY_KIND.items()}
+    return {k: schemas.conform(media.where(F.col("kind") == k), sch, keep=tuple(carry))
+            for k, sch in schemas.BY_KIND.items()}
 
 
 def conform_images(tags: DataFrame) -> DataFrame:

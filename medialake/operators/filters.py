@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.functions import numbers
-from medialake.functions.scalars import with_scalars
 
 # Tag names accepted by the generic tag selector.
 SELECT_FIELDS = ("Model", "LensModel", "ISOSpeedRatings", "FNumber", "ExposureTime",
@@ -64,8 +63,10 @@ class FilterSpec:
         can run before tag extraction or the metadata join."""
         return FilterSpec(filetypes=self.filetypes, extensions=self.extensions)
 
-    def predicate(self, mtime_col: str = "modification_date") -> Column:
-        """One boolean ``Column`` over the wide media frame (``kind`` column)."""
+    def predicate(self, mtime_col: str = "modification_date", seconds_col: Optional[str] = None) -> Column:
+        """One boolean ``Column`` over the wide media frame (``kind`` column).
+        ``seconds_col`` names the stored exposure seconds, if the frame has
+        them: the shutter range then compares numbers and reaches the scan."""
         conds: list[Column] = []
         kind = F.col("kind")
         if self.filetypes:
@@ -73,7 +74,8 @@ class FilterSpec:
         if self.has_photo_options():
             conds.append(kind == "image")
         if self.extensions:
-            conds.append(F.lower(F.col("filetype")).isin(*[e.lower() for e in self.extensions]))
+            # stored lower-case, so the bare column can be pushed down
+            conds.append(F.col("filetype").isin(*[e.lower() for e in self.extensions]))
         if self.date_range:
             start, end = self.date_range
             d = F.col("date_taken")
@@ -101,14 +103,18 @@ class FilterSpec:
                 conds.append(c)
         if self.shutter_speed_range:
             lo, hi = self.shutter_speed_range
-            t = F.col("shutter_speed")
-            v = numbers.parse_shutter(t, bad="zero")
-            c = t.isNotNull() & (t != "")
+            if seconds_col:
+                v = F.col(seconds_col)
+                conds.append(v.isNotNull())
+            else:
+                t = F.col("shutter_speed")
+                v = numbers.parse_shutter(t, bad="zero")
+                conds.append(t.isNotNull() & (t != ""))
+            # bounds are parsed by the same expression, which folds to a constant
             if lo:
-                c = c & (v >= F.lit(numbers.parse_shutter_value(lo, "zero")))
+                conds.append(v >= numbers.parse_shutter(F.lit(lo), bad="zero"))
             if hi:
-                c = c & (v <= F.lit(numbers.parse_shutter_value(hi, "zero")))
-            conds.append(c)
+                conds.append(v <= numbers.parse_shutter(F.lit(hi), bad="zero"))
         if not conds:
             return F.lit(True)
         return functools.reduce(operator.and_, conds)
@@ -116,7 +122,7 @@ class FilterSpec:
     def apply(self, media: DataFrame, mtime_col: str = "modification_date") -> DataFrame:
         if self.is_empty():
             return media
-        return media.where(self.predicate(mtime_col))
+        return media.where(self.predicate(mtime_col, "exposure_s" if "exposure_s" in media.columns else None))
 
 
 def select_where(tags: DataFrame, **preds: Any) -> DataFrame:
@@ -153,24 +159,18 @@ def dashboard_mask(images: DataFrame, month_range: Optional[tuple[date, date]] =
 
     The month mask applies only when the dated images span more than one
     month; it then also drops undated images. ``month_range=None`` selects the
-    whole span. The span comes from a one-row aggregate (scalar subquery).
+    whole span. The span (one row) is read first, so that the masks are plain
+    comparisons with constants, which reach the scan.
     """
     d = F.col("date_taken")
-    span = images.agg(F.min(d).alias("_dmin"), F.max(d).alias("_dmax"))
-    df = with_scalars(images, span)
-    n_months = F.months_between(F.trunc("_dmax", "MM"), F.trunc("_dmin", "MM")) + 1
-    if month_range is None:
-        lo, hi = F.trunc("_dmin", "MM"), F.trunc("_dmax", "MM")
-    else:
-        lo, hi = F.trunc(F.lit(month_range[0]), "MM"), F.trunc(F.lit(month_range[1]), "MM")
-    m = F.trunc(d, "MM")
-    cond = F.coalesce(n_months <= 1, F.lit(True)) | ((m >= lo) & (m <= hi))
+    span = images.agg(F.min(d).alias("lo"), F.max(d).alias("hi")).first()
+    df = images
+    if span["lo"] is not None and (span["lo"].year, span["lo"].month) != (span["hi"].year, span["hi"].month):
+        lo, hi = month_range or (span["lo"], span["hi"])
+        after = date(hi.year + hi.month // 12, hi.month % 12 + 1, 1)
+        df = df.where((d >= F.lit(date(lo.year, lo.month, 1))) & (d < F.lit(after)))
     if cameras:
-        cond = cond & F.col("camera").isin(*cameras)
+        df = df.where(F.col("camera").isin(*cameras))
     if lenses:
-        cond = cond & F.col("lens").isin(*lenses)
-    return df.where(F.coalesce(cond, F.lit(False))).drop("_dmin", "_dmax")
-
-
-def predicate_from(fn: Callable[[Column], Column], col: str) -> Column:
-    return fn(F.col(col))
+        df = df.where(F.col("lens").isin(*lenses))
+    return df

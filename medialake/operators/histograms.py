@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Callable, Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions import numbers, ticks
@@ -76,26 +76,32 @@ def equal_width_bins(values: DataFrame, col: str, nbins: int, weight: Optional[s
     )
 
 
-def setting_histogram(images: DataFrame, setting: str, nbins: int = 25, lo_q: float = 0.02,
-                      hi_q: float = 0.98) -> DataFrame:
-    """Log10 histogram of a camera setting after the quantile trim; shutter
-    values are negated so fast speeds sit left.
+def _value_counts(images: DataFrame, setting: str, parser: Optional[Callable[[Column], Column]]) -> DataFrame:
+    """(_x, _w): parsed values of a setting with their row counts, stored.
 
     The setting texts are first reduced to (distinct text, count) pairs by a
-    partial aggregate, so only distinct texts are parsed; quantiles, trim,
-    range and bins all run on the small weighted (value, count) table, stored
-    once (same results as on the rows)."""
-    parser = PARSERS[setting]
+    partial aggregate, so only distinct texts are parsed, and every pass of a
+    chart reads this small table instead of the rows."""
     texts = images.groupBy(F.col(setting).alias("_t")).agg(F.count(F.lit(1)).alias("_w"))
-    # stored once: the quantile, trim, range and bin passes all read it
-    vc = materialize(texts.select(parser(F.col("_t")).alias("_x"), "_w").where(F.col("_x").isNotNull())
-                     .groupBy("_x").agg(F.sum("_w").alias("_w")))
+    return materialize(texts.select((parser or PARSERS[setting])(F.col("_t")).alias("_x"), "_w")
+                       .where(F.col("_x").isNotNull()).groupBy("_x").agg(F.sum("_w").alias("_w")))
+
+
+def _trimmed(vc: DataFrame, lo_q: float, hi_q: float) -> DataFrame:
     q = exact_quantiles(vc, "_x", [lo_q, hi_q], prefix="_q", weight="_w")
     x = F.col("_x")
-    t = with_scalars(vc, q.select("_q0", "_q1")).where((x > F.col("_q0")) & (x <= F.col("_q1")) & (x > 0))
-    lv = F.log10(x)
+    return with_scalars(vc, q.select("_q0", "_q1")).where((x > F.col("_q0")) & (x <= F.col("_q1")) & (x > 0))
+
+
+def setting_histogram(images: DataFrame, setting: str, nbins: int = 25, lo_q: float = 0.02,
+                      hi_q: float = 0.98, parser: Optional[Callable[[Column], Column]] = None) -> DataFrame:
+    """Log10 histogram of a camera setting after the quantile trim; shutter
+    values are negated so fast speeds sit left. ``parser`` turns the setting's
+    column into a number (default: the setting's own)."""
+    lv = F.log10("_x")
     if setting == "shutter_speed":
         lv = -lv
+    t = _trimmed(_value_counts(images, setting, parser), lo_q, hi_q)
     return equal_width_bins(t.select(lv.alias("_lv"), "_w"), "_lv", nbins, weight="_w")
 
 
@@ -106,34 +112,31 @@ def duration_histogram(videos: DataFrame, nbins: int = 50) -> DataFrame:
 
 
 def tick_table(spark, mode: str = "plot") -> DataFrame:
-    return spark.createDataFrame(ticks.tick_rows(mode), "setting string, pos int, value double, label string")
+    rows = spark.createDataFrame(ticks.tick_rows(mode), "setting string, pos int, value double")
+    return rows.withColumn("label", ticks.tick_label(F.col("setting"), F.col("value")))
 
 
-def hist_ticks(images: DataFrame, setting: str, mode: str = "plot") -> DataFrame:
+def hist_ticks(images: DataFrame, setting: str, mode: str = "plot",
+               parser: Optional[Callable[[Column], Column]] = None) -> DataFrame:
     """Standard ticks shown under a setting histogram: (setting, value, label).
 
     ``plot``: values within ``[0.9*min, 1.1*q97]`` of the parsed data, every
     other one when more than ten qualify. ``dashboard``: ``log10(v)`` within
     ``[0.9*min, 1.1*max]`` of the trimmed (1 %/99 %) log data.
     """
-    spark = images.sparkSession
-    parser = PARSERS[setting]
-    raw = images.select(parser(F.col(setting)).alias("_x")).where(F.col("_x").isNotNull())
-    tt = tick_table(spark, mode).where(F.col("setting") == setting)
+    vc = _value_counts(images, setting, parser)
+    tt = tick_table(images.sparkSession, mode).where(F.col("setting") == setting)
     if mode == "plot":
-        mn = raw.agg(F.min("_x").alias("_mn"))
-        q = exact_quantiles(raw, "_x", [0.97], prefix="_q")
+        mn = vc.agg(F.min("_x").alias("_mn"))
+        q = exact_quantiles(vc, "_x", [0.97], prefix="_q", weight="_w")
         j = with_scalars(with_scalars(tt, mn), q.select("_q0"))
         sel = j.where((F.col("value") >= F.col("_mn") * 0.9) & (F.col("value") <= F.col("_q0") * 1.1))
-        from pyspark.sql import Window
         w = Window.partitionBy("setting").orderBy("pos")  # bounded: one tick table
         sel = sel.withColumn("_k", F.row_number().over(w) - 1).withColumn(
             "_cnt", F.count(F.lit(1)).over(Window.partitionBy("setting")))
         sel = sel.where((F.col("_cnt") <= 10) | (F.col("_k") % 2 == 0))
     else:
-        t = trim_quantile(raw, "_x", 0.01, 0.99)
-        st = t.agg(F.min(F.log10("_x")).alias("_lmn"), F.max(F.log10("_x")).alias("_lmx"))
-        j = with_scalars(tt, st)
+        st = _trimmed(vc, 0.01, 0.99).agg(F.min(F.log10("_x")).alias("_lmn"), F.max(F.log10("_x")).alias("_lmx"))
         lv = F.log10("value")
-        sel = j.where((F.col("_lmn") * 0.9 <= lv) & (lv <= F.col("_lmx") * 1.1))
+        sel = with_scalars(tt, st).where((F.col("_lmn") * 0.9 <= lv) & (lv <= F.col("_lmx") * 1.1))
     return sel.select("setting", F.round("value", 9).alias("value"), "label")

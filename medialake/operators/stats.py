@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from medialake.functions import dates, numbers
 from medialake.functions.scalars import with_scalars
+from medialake.operators.ranking import rank_within
+from medialake.session import materialize
 
 # Labels of the kind counts, in display order.
 KIND_LABELS = {"image": "Images", "video": "Videos", "other": "Others"}
@@ -45,8 +47,8 @@ def option_lists(images: DataFrame, fields=("camera", "lens")) -> DataFrame:
         c = (images.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("value"))
              .agg(F.count(F.lit(1)).alias("n_rows")).withColumn("field", F.lit(f)))
         out = c if out is None else out.unionByName(c)
-    w = Window.partitionBy("field").orderBy(F.col("n_rows").desc(), F.col("value").asc())
-    return out.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    ranked = rank_within(out.withColumn("_least", -F.col("n_rows")), ["field"], ["_least", "value"], out="_r")
+    return ranked.select("value", "n_rows", "field", (F.col("_r") + 1).alias("rank"))
 
 
 def counts_by_kind(media: DataFrame) -> DataFrame:
@@ -83,11 +85,26 @@ def _period(d: Column, time_by: str) -> Column:
     return F.year(d).cast("bigint").cast("string") if time_by == "year" else dates.month_label(d)
 
 
-def _lump_top(df: DataFrame, group: str, n: int) -> DataFrame:
-    """Replace groups outside the top ``n`` by ``Other`` (broadcast top list)."""
-    top = top_n(df, group, n).select(F.col(group).alias("_g"), F.lit(True).alias("_top"))
-    j = df.join(F.broadcast(top), df[group] == top["_g"], "left")
-    return j.withColumn("group_name", F.when(F.col("_top"), F.col(group)).otherwise(F.lit(OTHER_GROUP)))
+def _cells(images: DataFrame, group_by: str, time_by: str, first_day: Optional[str] = None) -> DataFrame:
+    """(period, g, n): photos per period and group, stored. Undated and
+    ungrouped photos are left out. The only read of the rows: top groups,
+    ``Other``, periods and zero cells all come from this small table."""
+    d = F.col("date_taken")
+    dated = d.isNotNull() if first_day is None else d >= F.lit(first_day).cast("date")
+    return materialize(images.where(dated & F.col(group_by).isNotNull())
+                       .groupBy(_period(d, time_by).alias("period"), F.col(group_by).alias("g"))
+                       .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _lumped(cells: DataFrame, top: int) -> DataFrame:
+    """(period, group_name, n_photos): groups beyond the ``top`` largest (ties
+    by name) together as ``Other``."""
+    best = (cells.groupBy(F.col("g").alias("group_name")).agg(F.sum("n").alias("all_n"))
+            .orderBy(F.col("all_n").desc(), "group_name").limit(top).select("group_name"))
+    # bounded by ``top`` rows
+    j = cells.join(F.broadcast(best), cells["g"] == best["group_name"], "left")
+    return (j.select("period", F.coalesce("group_name", F.lit(OTHER_GROUP)).alias("group_name"), "n")
+            .groupBy("period", "group_name").agg(F.sum("n").alias("n_photos")))
 
 
 def timeline(images: DataFrame, group_by: str = "camera", time_by: str = "month",
@@ -98,10 +115,7 @@ def timeline(images: DataFrame, group_by: str = "camera", time_by: str = "month"
     the remaining rows keep their name, the rest become ``Other``. Only
     observed periods appear; every (period, group) cell is present.
     """
-    base = images.where(F.col("date_taken").isNotNull() & F.col(group_by).isNotNull())
-    base = base.withColumn("period", _period(F.col("date_taken"), time_by))
-    lumped = _lump_top(base, group_by, top)
-    counts = lumped.groupBy("period", "group_name").agg(F.count(F.lit(1)).alias("n_photos"))
+    counts = _lumped(_cells(images, group_by, time_by), top)
     periods = counts.select("period").distinct()
     # every period gets every group: the group names (at most top + 1) as
     # one array, exploded next to each period
@@ -114,26 +128,20 @@ def timeline(images: DataFrame, group_by: str = "camera", time_by: str = "month"
 def timeline_pivot(images: DataFrame, group_by: str = "camera", time_by: str = "month",
                    top: int = 15) -> DataFrame:
     """Wide form of :func:`timeline`: one column per group, columns by total
-    desc. The pivot value list is the (bounded) top-N list."""
-    base = images.where(F.col("date_taken").isNotNull() & F.col(group_by).isNotNull())
-    base = base.withColumn("period", _period(F.col("date_taken"), time_by))
-    lumped = _lump_top(base, group_by, top)
-    totals = (lumped.groupBy("group_name").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.col("n").desc(), F.col("group_name")).limit(top + 1).collect())
+    desc (ties by name), rows by period."""
+    counts = _lumped(_cells(images, group_by, time_by), top)
+    # bounded by top + 1 names
+    totals = counts.groupBy("group_name").agg(F.sum("n_photos").alias("n")).orderBy(F.col("n").desc(), "group_name").collect()
     values = [r["group_name"] for r in totals]
     if not values:
-        return base.select("period").limit(0)
-    return lumped.groupBy("period").pivot("group_name", values).count().fillna(0).orderBy("period")
+        return counts.select("period")
+    return counts.groupBy("period").pivot("group_name", values).sum("n_photos").fillna(0).orderBy("period")
 
 
 def timeline_dashboard(images: DataFrame, group_by: str = "camera", time_by: str = "month",
                        top: int = 10) -> DataFrame:
     """Dashboard timeline: photos from 1970-04-01 on, top 10 + Other, no zero fill."""
-    base = images.where((F.col("date_taken") >= F.lit("1970-04-01").cast("date"))
-                        & F.col(group_by).isNotNull())
-    base = base.withColumn("period", _period(F.col("date_taken"), time_by))
-    lumped = _lump_top(base, group_by, top)
-    return lumped.groupBy("period", "group_name").agg(F.count(F.lit(1)).alias("n_photos"))
+    return _lumped(_cells(images, group_by, time_by, "1970-04-01"), top)
 
 
 def sparse_labels(periods: DataFrame, col: str = "period") -> DataFrame:
@@ -154,7 +162,7 @@ def video_timeline(videos: DataFrame) -> DataFrame:
             .agg(F.count("name").alias("n_videos"),
                  F.sum(F.coalesce(F.col("duration_ms"), F.lit(0.0)) / 1000.0).alias("total_s"))
             .select("month", "n_videos", F.round("total_s", 6).alias("total_s"),
-                    F.round(F.col("total_s") / 60.0, 6).alias("total_min")))
+                    F.round(F.col("total_s") / 60.0, 6).alias("total_min")).orderBy("month"))
 
 
 def video_minutes(videos: DataFrame) -> DataFrame:

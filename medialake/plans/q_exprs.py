@@ -47,9 +47,13 @@ def path_parts(spark, sf_dir):
         paths.extension(p).alias("suffix"), paths.dirname(p).alias("directory"))
 
 
-@query("normalize_path")
+@query("normalize_path", with_raw("""
+SELECT source_file AS path, '/media/../media/./' || substr(source_file, 8) AS messy,
+       replace(source_file, '/', '//') AS doubled, source_file AS key_messy, '/' || source_file AS key_doubled
+FROM media_raw
+"""))
 def normalize_path(spark, sf_dir):
-    """Rows-only check: messy spellings of each path and their keys."""
+    """Messy spellings of each path and their keys (all paths start with ``/media/``)."""
     p = F.col("source_file")
     messy = F.concat(F.lit("/media/../media/./"), F.regexp_replace(p, "^/media/", ""))
     doubled = F.regexp_replace(p, "/", "//")
@@ -164,21 +168,40 @@ def year_month(spark, sf_dir):
                     dates.month_text("date_taken").alias("month"))
 
 
-@query("fix_month", with_raw("""
-SELECT source_file, date_time_original AS original,
-       CASE WHEN substr(date_time_original, 6, 2) = '07'
-            THEN substr(date_time_original, 1, 5) || '06' || substr(date_time_original, 8)
-            ELSE date_time_original END AS fixed,
-       coalesce(substr(date_time_original, 6, 2) = '07', false) AS modified
-FROM media_raw WHERE lower(regexp_extract(source_file, '(\\.[^./]*)$', 1)) IN ('.jpg', '.jpeg')
+def _fixed_sql(c: str) -> str:
+    return f"CASE WHEN substr({c}, 6, 2) = '07' THEN substr({c}, 1, 5) || '06' || substr({c}, 8) ELSE {c} END"
+
+
+@query("fix_month", with_raw(f"""
+SELECT source_file, {_fixed_sql('date_time_original')} AS date_time_original, {_fixed_sql('create_date')} AS create_date,
+       {_fixed_sql('modify_date')} AS modify_date,
+       coalesce(substr(date_time_original, 6, 2) = '07', false) OR coalesce(substr(create_date, 6, 2) = '07', false)
+       OR coalesce(substr(modify_date, 6, 2) = '07', false) AS modified
+FROM (SELECT *, CASE WHEN file_size % 4 = 0 THEN '2020:07:09 10:11:12' ELSE create_date END AS modify_date FROM media_raw)
+WHERE lower(regexp_extract(source_file, '(\\.[^./]*)$', 1)) IN ('.jpg', '.jpeg')
 """))
 def fix_month(spark, sf_dir):
+    """Three date tags, one ``modified`` flag."""
     m = fixture.media_raw(spark, sf_dir)
     m = m.where(F.lower(F.regexp_extract("source_file", r"(\.[^./]*)$", 1)).isin(".jpg", ".jpeg"))
-    t = F.col("date_time_original")
-    fixed = dates.shift_month_text(t, "07", "06")
-    return m.select("source_file", t.alias("original"), fixed.alias("fixed"),
-                    F.coalesce(t.substr(6, 2) == "07", F.lit(False)).alias("modified"))
+    m = m.withColumn("modify_date", F.when(F.col("file_size") % 4 == 0, F.lit("2020:07:09 10:11:12"))
+                     .otherwise(F.col("create_date")))
+    return dates.fix_month(m, ["date_time_original", "create_date", "modify_date"], "07", "06").select(
+        "source_file", "date_time_original", "create_date", "modify_date", "modified")
+
+
+@query("parse_date_text", with_raw("""
+SELECT source_file, t AS text, CAST(try_strptime(regexp_replace(regexp_extract(split_part(trim(t), ' ', 1),
+         '^([0-9]+)([:-])([0-9]+)[:-]([0-9]+)$', 0), ':', '-', 'g'), '%Y-%m-%d') AS DATE) AS day
+FROM (SELECT source_file, CASE file_size % 3 WHEN 0 THEN date_time_original WHEN 1 THEN replace(date_time_original, ':', '-')
+             ELSE 'about ' || date_time_original END AS t FROM media_raw)
+"""))
+def parse_date_text(spark, sf_dir):
+    """Tolerant dates: colons, dashes, and text that is no date."""
+    o = F.col("date_time_original")
+    k = F.col("file_size") % 3
+    t = F.when(k == 0, o).when(k == 1, F.replace(o, F.lit(":"), F.lit("-"))).otherwise(F.concat(F.lit("about "), o))
+    return fixture.media_raw(spark, sf_dir).select("source_file", t.alias("text"), dates.parse_date_text(t).alias("day"))
 
 
 @query("date_repair", with_raw("""

@@ -29,7 +29,7 @@ SELECT l.path, m.kind, m.camera, m.size_bytes FROM listing l JOIN media m ON m.f
 """, SIDECAR_LISTING_SQL))
 def listing_lookup_inner(spark, sf_dir):
     j = lookup.listing_lookup(_listing_with_sidecars(spark, sf_dir), common.media(spark, sf_dir), "inner",
-                              columns=["camera"])
+                              columns=["camera"], unique=True)
     return j.select("path", "kind", "camera", "size_bytes")
 
 
@@ -39,7 +39,7 @@ FROM listing l LEFT JOIN media m ON m.full_path = l.path
 """, SIDECAR_LISTING_SQL))
 def listing_lookup_left(spark, sf_dir):
     j = lookup.listing_lookup(_listing_with_sidecars(spark, sf_dir), common.media(spark, sf_dir), "left",
-                              columns=["camera"])
+                              columns=["camera"], unique=True)
     return j.select("path", "kind", "has_meta", "camera", "size_bytes")
 
 

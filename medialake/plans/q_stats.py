@@ -220,8 +220,15 @@ def hist_duration(spark, sf_dir):
 
 
 def _tick_values_sql(mode: str) -> str:
-    rows = ", ".join(f"('{s}', {p}, CAST('{v!r}' AS DOUBLE), '{lab}')" for s, p, v, lab in _ticks.tick_rows(mode))
-    return f"SELECT * FROM (VALUES {rows}) AS t(setting, pos, value, label)"
+    rows = ", ".join(f"('{s}', {p}, CAST('{v!r}' AS DOUBLE))" for s, p, v in _ticks.tick_rows(mode))
+
+    def text(v):
+        return f"CASE WHEN {v} = floor({v}) THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END"
+
+    label = (f"CASE setting WHEN 'aperture' THEN 'f' || {text('value')} WHEN 'focal_length' THEN {text('value')} || 'mm' "
+             f"WHEN 'iso' THEN {text('value')} ELSE CASE WHEN value < 1 THEN '1/' || {text('round(1 / value, 2)')} "
+             f"ELSE {text('value')} || 's' END END")
+    return f"SELECT *, {label} AS label FROM (VALUES {rows}) AS t(setting, pos, value)"
 
 
 def _ticks_plot_sql() -> str:
@@ -246,14 +253,72 @@ def hist_ticks(spark, sf_dir):
     return out
 
 
-@query("hist_ticks_dashboard", with_media(f"""
+def _dash_ticks_sql() -> str:
+    return "\nUNION ALL\n".join(f"""
 SELECT setting, round(value, 9) AS value, label FROM ({_tick_values_sql('dashboard')}) t,
-  (SELECT min(log10(x)) AS lmn, max(log10(x)) AS lmx FROM raw, q WHERE x > q0 AND x <= q1 AND x > 0) st
-WHERE t.setting = 'shutter_speed' AND lmn * 0.9 <= log10(value) AND log10(value) <= lmx * 1.1
-""", f"""raw AS (SELECT x FROM (SELECT {shutter_null_sql('shutter_speed')} AS x FROM images) WHERE x IS NOT NULL),
-q AS (SELECT quantile_cont(x, 0.01) AS q0, quantile_cont(x, 0.99) AS q1 FROM raw)"""))
+  (SELECT min(log10(x)) AS lmn, max(log10(x)) AS lmx
+   FROM (SELECT x FROM (SELECT {expr} AS x FROM images) WHERE x IS NOT NULL) r,
+        (SELECT quantile_cont(x, 0.01) AS q0, quantile_cont(x, 0.99) AS q1
+         FROM (SELECT {expr} AS x FROM images) WHERE x IS NOT NULL) q
+   WHERE x > q0 AND x <= q1 AND x > 0) st
+WHERE t.setting = '{setting}' AND lmn * 0.9 <= log10(value) AND log10(value) <= lmx * 1.1"""
+                                  for setting, expr in SETTING_SQL.items())
+
+
+@query("hist_ticks_dashboard", with_media(_dash_ticks_sql()))
 def hist_ticks_dashboard(spark, sf_dir):
-    return histograms.hist_ticks(common.images(spark, sf_dir), "shutter_speed", "dashboard")
+    i = common.images(spark, sf_dir)
+    return _union(histograms.hist_ticks(i, s, "dashboard") for s in SETTING_SQL)
+
+
+def _union(frames):
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def _dash_hist_sql() -> str:
+    parts = []
+    for setting, expr in SETTING_SQL.items():
+        ctes, sel = hist_sql(expr, "images", 30, 0.01, 0.99, log=True, negate=setting == "shutter_speed")
+        parts.append(f"SELECT '{setting}' AS setting, h.* FROM (WITH {ctes}\n{sel}) h")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("hist_dashboard", with_media(_dash_hist_sql()))
+def hist_dashboard(spark, sf_dir):
+    """Dashboard form of all four settings: 30 bins, trimmed at 1 and 99 %."""
+    i = common.images(spark, sf_dir)
+    return _union(histograms.setting_histogram(i, s, 30, 0.01, 0.99).withColumn("setting", F.lit(s)) for s in SETTING_SQL)
+
+
+_ISO_SQL = "CASE WHEN iso >= 100 THEN TRY_CAST(iso AS DOUBLE) / 100 END"
+_hp_ctes, _hp_sel = hist_sql(_ISO_SQL, "images", 25, 0.02, 0.98)
+
+
+@query("hist_parser", with_media(_hp_sel, _hp_ctes))
+def hist_parser(spark, sf_dir):
+    """A caller's own parser: ISO in hundreds, below 100 left out."""
+    return histograms.setting_histogram(common.images(spark, sf_dir), "iso",
+                                        parser=lambda c: F.when(c >= 100, c.cast("double") / 100))
+
+
+_tw_ctes, _ = _timeline_sql("camera", "month", 15)
+
+
+@query("timeline_wide", with_media("""
+SELECT p.period, gr.group_name, gr.pos, coalesce(c.n_photos, 0) AS n_photos
+FROM (SELECT DISTINCT period FROM c) p CROSS JOIN
+     (SELECT group_name, CAST(row_number() OVER (ORDER BY sum(n_photos) DESC, group_name) - 1 AS INTEGER) AS pos
+      FROM c GROUP BY group_name) gr
+LEFT JOIN c ON c.period = p.period AND c.group_name = gr.group_name""", _tw_ctes))
+def timeline_wide(spark, sf_dir):
+    """The wide timeline, listed cell by cell with each column's position."""
+    wide = stats.timeline_pivot(common.images(spark, sf_dir), "camera", "month", 15)
+    cells = F.array(*[F.struct(F.lit(c).alias("group_name"), F.lit(i).alias("pos"), F.col(f"`{c}`").alias("n_photos"))
+                      for i, c in enumerate(wide.columns[1:])])
+    return wide.select("period", F.inline(cells))
 
 
 @query("geo_points", with_media("""

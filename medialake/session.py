@@ -18,10 +18,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; let
-    # whole-stage codegen fall back for such stages instead of running them
-    # interpreted (the value the Spark configuration docs suggest for HotSpot)
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -52,12 +48,16 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets it to shared storage. Only when it is
-    unset (local tests) a scratch directory is created and registered.
+    On a cluster the deployment must set it to shared storage: without it this
+    raises, since executors do not see each other's local folders. Only in
+    local mode, as in tests, an unset folder is replaced by a scratch one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if not d and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="medialake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -75,16 +75,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df, eager: bool = True):
+def materialize(df):
     """Cut the lineage: write ``df`` as a Parquet table under the shared
     checkpoint folder and read it back.
 
-    Used where a planned frame is read by several passes (collision ranks,
-    family checks), so the upstream (conform, layout) runs once, a lost
+    Used where a frame is read by several passes, so the upstream (conform, layout) runs once, a lost
     executor re-reads the table instead of recomputing it, and every pass
     still gets column pruning and filter pushdown (a checkpointed RDD would
-    deserialize all columns on each scan). ``eager`` is kept for callers;
-    the table is always written at once."""
+    deserialize all columns on each scan)."""
     spark = df.sparkSession
     path = scratch_path(spark, "materialized")
     df.write.parquet(path)

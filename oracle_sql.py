@@ -52,7 +52,7 @@ ml_k AS (
                  WHEN lower(ext) IN {VIDEO_EXT} THEN 'video' ELSE 'other' END AS kind
   FROM ml_q
 ),
-media AS (
+media AS MATERIALIZED (
   SELECT
     CASE WHEN ext = '' THEN base ELSE substr(base, 1, length(base) - length(ext)) END AS name,
     lower(ext) AS filetype,
@@ -97,7 +97,7 @@ others AS (
 def with_media(body: str, extra_ctes: str = "") -> str:
     """``WITH media_raw AS (...), <conform chain>[, extra] <body>``."""
     extra = f",\n{extra_ctes}" if extra_ctes else ""
-    return f"WITH media_raw AS ({oracle_media_raw()}),\n{CONFORM_CTES}{extra}\n{body}"
+    return f"WITH media_raw AS MATERIALIZED ({oracle_media_raw()}),\n{CONFORM_CTES}{extra}\n{body}"
 
 
 def with_raw(body: str, extra_ctes: str = "") -> str:
