@@ -153,14 +153,15 @@ class Scanner:
 
     @staticmethod
     def _stretches(starts: list[int], n: int, miss: int, size: int):
-        """Word ranges around supposed template starts; ranges that overlap by
-        nearly all of their length are one."""
+        """Word ranges for supposed template starts: of the template's length,
+        in which few words occur twice, and wider ones for insertions; wide
+        ranges that overlap by nearly all of their length are one."""
         last = None
         for s in starts:
-            if last is not None and s - last <= miss:
-                continue
-            last = s
-            yield max(0, s - miss), min(size, s + n + 2 * miss)
+            yield max(0, s), min(size, s + n)
+            if last is None or s - last > miss:
+                last = s
+                yield max(0, s - miss), min(size, s + n + 2 * miss)
 
     @staticmethod
     def _densest(pairs: list[tuple[int, int]], width: int):

@@ -99,7 +99,7 @@ def basis(stats: np.ndarray) -> np.ndarray:
     of the square root of each (which spreads small shares)."""
     x = np.sqrt(np.clip(stats, 0, 1)) * (KNOTS - 1)
     hats = np.maximum(0.0, 1.0 - np.abs(x[:, :, None] - np.arange(1, KNOTS)))
-    return np.concatenate([np.ones((len(stats), 1)), hats.reshape(len(stats), -1)], axis=1)
+    return np.concatenate([np.ones((len(stats), 1)), hats.reshape(len(stats), stats.shape[1] * (KNOTS - 1))], axis=1)
 
 
 def solve(m: dict[str, np.ndarray], prior: float, ridge: float) -> np.ndarray:
