@@ -17,11 +17,17 @@ where one differing value could break all runs of three).
 Long lists. A list longer than ``LIST`` classes is not expanded into pairs:
  1. Classes with enough runs in short lists leave it: if they have a partner,
     they meet it there.
- 2. The others are compared with the list's centre (the class with the most
-    copies), one pair each. In a family of near copies this links nearly all.
- 3. Components are computed. Pairs within one component need no link any more;
-    only pairs of one list that are still in different components, and whose
-    set sizes allow the threshold, are estimated and verified.
+ 2. The others are compared with the list's centre, one pair each: the class
+    most of whose runs are in long lists, which is the least edited one.
+ 3. Where members are still in different components, differences decide. For a
+    centre c, let D(x) be the symmetric difference of x and c. If u is not
+    linked with c but with m, then |u ^ m| <= k (|u| + |m|), while
+    |D(u)| > k (|u| + |c|), with k = (1 - t) / (1 + t) for threshold t; so u and
+    m share more than (|D(m)| + k (|c| - |m|)) / 2 hashes of D(u) and D(m).
+    Hence, in any fixed order of hashes, one of them is among the first
+    |D(m)| - that + 1 of D(m). These are indexed, classes not linked with c look
+    up theirs, both as far down as the pair's own bound allows, and the pairs
+    found are verified. The order puts hashes that are rare around c first.
 So no link between different components is lost, and no group is expanded into
 all its pairs.
 
@@ -33,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.llm import rows as R
@@ -118,21 +124,71 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return joined.filter(both >= F.lit(least) * F.size("u")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs whose full shingle sets reach the threshold. The sets are
-    made again, for one document of each class in a pair only."""
+def _full_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cls, hashes) for the classes in ``pairs``, stored. The sets are made
+    again, from one document of each of these classes only."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     heads = wanted.join(classes.select("cls", "head"), "cls").select(F.col("head").alias("hid"), F.col("cls").alias("want"))
     texts = docs.join(heads, F.col("id").eqNullSafe(F.col("hid"))).select("want", "text")
-    sets = (texts.select("want", _set_udf(words)("text").alias("s")).filter(F.col("want") == F.col("s.cls"))
-            .groupBy(F.col("want").alias("cls")).agg(F.first("s.hashes").alias("hashes")))
-    sets = materialize(sets)
-    one = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
-    joined = pairs.join(one, "a").join(two, "b")
+    # not deterministic, as far as the optimizer knows: no condition on the result moves below the join
+    made = texts.select("want", _set_udf(words).asNondeterministic()("text").alias("s"))
+    return materialize(made.filter(F.col("want") == F.col("s.cls"))
+                       .groupBy(F.col("want").alias("cls")).agg(F.first("s.hashes").alias("hashes")))
+
+
+def _both_sets(pairs: DataFrame, a: str, b: str, sets: DataFrame) -> DataFrame:
+    one = sets.select(F.col("cls").alias(a), F.col("hashes").alias("ha"))
+    two = sets.select(F.col("cls").alias(b), F.col("hashes").alias("hb"))
+    return pairs.join(one, a).join(two, b)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose full sets reach the threshold, stored."""
     na, nb = F.length("ha") / 8, F.length("hb") / 8
-    done = joined.select("a", "b", na.alias("na"), nb.alias("nb"), _common_udf()("ha", "hb").alias("i"))
-    return done.filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+    done = _both_sets(pairs, "a", "b", sets).select("a", "b", (na + nb).alias("all"), _common_udf()("ha", "hb").alias("i"))
+    return materialize(done.filter(F.col("i") * 100 >= (F.col("all") - F.col("i")) * percent).select("a", "b"))
+
+
+def _difference_udf():
+    """Symmetric differences of two columns of ascending uint64 sets."""
+    @F.pandas_udf("array<long>")
+    def difference(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64)
+                          for x, y in zip(a, b)], dtype=object)
+    return difference
+
+
+def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes around one centre, of different components, that
+    may be linked (see the module text, 3). ``star``: (c, x, root, far)."""
+    k = (100 - percent) / (100 + percent)
+    made = _both_sets(star, "c", "x", sets).select(
+        "c", "x", "root", "far", (F.length("ha") / 8).alias("nc"), (F.length("hb") / 8).alias("n"),
+        _difference_udf()("ha", "hb").alias("d"))
+    size = F.size("d")
+    # least number of hashes shared with any partner, and with one that is not linked with the centre
+    any_way = F.greatest(F.ceil(size - k * F.col("n") * (1 + 100 / percent) - 1e-6), F.lit(1))
+    with_far = F.greatest(F.floor((size + k * (F.col("nc") - F.col("n"))) / 2) + 1, any_way)
+    made = made.select("c", "x", "root", "far", "n", size.alias("size"), (size - with_far + 1).alias("index_to"),
+                       (size - any_way + 1).cast("int").alias("probe_to"), "d")
+    made = materialize(made)
+    hashes = made.select("c", "x", F.explode("d").alias("h"))
+    often = hashes.groupBy("c", "h").agg(F.count("*").alias("often")).filter("often > 1")
+    # hashes of one class only come first and are met by nobody: their number is the offset of the others
+    seen = hashes.join(often, ["c", "h"])
+    mine = Window.partitionBy("c", "x")
+    nth = F.row_number().over(mine.orderBy("often", "h"))
+    ranked = seen.select("c", "x", "h", nth.alias("nth"), F.count("*").over(mine).alias("met"))
+    hashes = materialize(ranked.join(made.drop("d"), ["c", "x"])
+                         .withColumn("place", F.col("size") - F.col("met") + F.col("nth")).filter("place <= probe_to"))
+    index = hashes.filter("place <= index_to").select("c", "h", "x", "n", "root", "size", "place")
+    probe = hashes.filter("far").select("c", "h", *[F.col(v).alias(f"{v}2") for v in ("x", "n", "root", "size", "place")])
+    # the first hash that two classes share is at most this far down in both
+    need = F.greatest((F.col("size") + F.col("size2") - k * (F.col("n") + F.col("n2"))) / 2 - 1e-6, F.lit(1))
+    fits = (F.col("place") <= F.col("size") - need + 1) & (F.col("place2") <= F.col("size2") - need + 1)
+    met = index.join(probe, ["c", "h"]).filter(
+        (F.col("root") != F.col("root2")) & _sizes_allow(F.col("n"), F.col("n2"), percent) & fits)
+    return met.select(*_ordered("x", "x2")).distinct()
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -169,27 +225,32 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = lists.filter(F.col("m") > LIST)
     warm = hot.groupBy("cls").agg(F.count("*").alias("hot_runs"))
     runs_of = classes.select("cls", F.size("runs").alias("all_runs"))
-    stay = warm.join(runs_of, "cls").filter(F.col("all_runs") - F.col("hot_runs") < COLD_RUNS).select("cls")
-    long = materialize(hot.join(stay, "cls").select("run", "cls", "n", "copies"))
-    centre = long.groupBy("run").agg(F.max(F.struct("copies", "cls", "n")).alias("c"))
-    in_long = (long.join(centre, "run").filter((F.col("cls") != F.col("c.cls")) & _sizes_allow(F.col("n"), F.col("c.n"), percent))
-               .select("cls", F.col("c.cls").alias("cls2")).select(*_ordered("cls", "cls2")))
-
-    pairs = materialize(_candidates(in_short.union(in_long).distinct(), classes, percent))
-    links = materialize(_verified(pairs, classes, docs, words, percent))
+    stay = warm.join(runs_of, "cls").filter(F.col("all_runs") - F.col("hot_runs") < COLD_RUNS).select(
+        "cls", (F.col("hot_runs") / F.col("all_runs")).alias("share"))
+    long = materialize(hot.join(stay, "cls").select("run", "cls", "share", "copies"))
+    centre = long.groupBy("run").agg(F.max(F.struct("share", "copies", "cls")).alias("top"), F.count("*").alias("m")).select(
+        "run", F.col("top.cls").alias("c"), "m")
+    # a list whose members all meet in one centre anyway (of their longest lists) needs none of its own
+    main = long.join(centre, "run").groupBy("cls").agg(F.max(F.struct("m", "c")).getField("c").alias("main"))
+    around = long.join(main, "cls").groupBy("run").agg(F.min("main").alias("lo"), F.max("main").alias("hi")).join(centre, "run")
+    centre = around.select("run", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("c")).alias("c"))
+    star = materialize(long.join(centre, "run").filter(F.col("cls") != F.col("c")).select("c", F.col("cls").alias("x")).distinct())
+
+    pairs = materialize(_candidates(in_short.distinct(), classes, percent).union(star.select(*_ordered("c", "x"))).distinct())
+    sets = _full_sets(pairs, classes, docs, words)
+    links = _links(pairs, sets, percent)
     roots = connected_components(links)
 
-    # long lists that still span several components
-    part = long.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "run", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    split = part.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("run")
-    part = materialize(part.join(split, "run", "left_semi"))
+    # centres whose members are still in several components
+    root_of = roots.select(F.col("node").alias("x"), "root")
+    near = links.select(F.col("a").alias("c"), F.col("b").alias("x")).union(links.select(F.col("b").alias("c"), F.col("a").alias("x")))
+    placed = (star.join(near.withColumn("near", F.lit(True)), ["c", "x"], "left").join(root_of, "x", "left")
+              .select("c", "x", F.coalesce("root", "x").alias("root"), F.col("near").isNull().alias("far")))
+    several = placed.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("c")
+    part = materialize(placed.join(several, "c", "left_semi"))
     if not part.isEmpty():
-        other = part.select("run", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        across = (part.join(other, "run").filter((F.col("root") < F.col("root2")) & _sizes_allow(F.col("n"), F.col("n2"), percent))
-                  .select(*_ordered("cls", "cls2")).distinct())
-        more = materialize(_candidates(across.join(pairs, ["a", "b"], "left_anti"), classes, percent))
-        late = materialize(_verified(more, classes, docs, words, percent))
+        more = _by_differences(part, sets, percent).join(pairs, ["a", "b"], "left_anti")
+        late = _links(materialize(_candidates(more, classes, percent)), sets, percent)
         if not late.isEmpty():
             roots = connected_components(links.union(late))
 
