@@ -18,7 +18,7 @@ in place, without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.llm import rows as R
@@ -58,43 +58,47 @@ def words_of(text: Column) -> Column:
     return F.filter(raw, lambda w: w != "")
 
 
-def fingerprint_of(words: Column, sketch: Column) -> Column:
+def fingerprint_bytes(words: Column, sketch: Column) -> Column:
+    """The head (4 bytes) and the ascending retained hashes (8 bytes each):
+    half the size of the digits, which are no shorter when compressed."""
     head = F.substring(F.md5(F.array_join(words, " ").cast("binary")), 1, 8)
-    return F.concat(head, F.lit(":"), F.array_join(sketch, ""))
+    return F.unhex(F.concat(head, F.array_join(sketch, "")))
+
+
+def fingerprint_text(packed: Column) -> Column:
+    """``<head>:<hash><hash>...`` from the bytes."""
+    digits = F.lower(F.hex(packed))
+    return F.concat(F.substring(digits, 1, 8), F.lit(":"), F.substr(digits, F.lit(9)))
 
 
 def sketch_in(fingerprint: Column) -> Column:
-    """The sketch of a fingerprint string, as an array."""
-    body = F.substring_index(fingerprint, ":", -1)
-    count = (F.length(body) / DIGITS).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1),
-                                         lambda i: F.substr(body, i * DIGITS + 1, F.lit(DIGITS)))
-                  ).otherwise(F.array().cast("array<string>"))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the larger (0 to 1), from two
-    fingerprints. With an empty sketch on a side: 1 for equal fingerprints,
-    else 0."""
-    sa, sb = sketch_in(a), sketch_in(b)
-    least = F.least(F.size(sa), F.size(sb))
-    both = F.size(F.array_intersect(sa, sb))
+    """The sketch of a fingerprint text, as an array (in one linear scan)."""
+    return F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
+def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """Containment of the smaller sketch in the larger (0 to 1), of two
+    fingerprint texts with their sketches. With an empty sketch on a side: 1
+    for equal fingerprints, else 0."""
+    least = F.least(F.size(sketch_a), F.size(sketch_b))
+    both = F.size(F.array_intersect(sketch_a, sketch_b))
     return F.when(a == b, F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(both / least)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, fraction: float = FRACTION) -> DataFrame:
-    """``df`` with the fingerprint of column ``text`` as column ``out``. The
-    words and the sketch are projected one after the other: an expression that
-    is used more than once in the next step stays a column of its own."""
+    """``df`` with the fingerprint bytes of column ``text`` as column ``out``.
+    The words and the sketch are projected one after the other: an expression
+    that is used more than once in the next step stays a column of its own."""
     keep = [F.col(c) for c in df.columns]
     w = df.select(*keep, words_of(F.col(text)).alias("__words"))
     s = w.select(*keep, "__words", sketch_of_words(F.col("__words"), fraction).alias("__sketch"))
-    return s.select(*keep, fingerprint_of(F.col("__words"), F.col("__sketch")).alias(out))
+    return s.select(*keep, fingerprint_bytes(F.col("__words"), F.col("__sketch")).alias(out))
 
 
 def _next_keys(keys: DataFrame) -> DataFrame:
-    """(id, key) -> the following (id, key, n) in descending (id, key) order;
-    the last is followed by the first. Keys must be distinct.
+    """(id, key, n) of each row with ``next``, the key of the following row in
+    descending (id, key) order; the last is followed by the first. Keys must be
+    distinct.
 
     The narrow keys are range-partitioned once and stored with their partition
     number; within a partition the next row is a plain ``lead``. The last row
@@ -102,22 +106,16 @@ def _next_keys(keys: DataFrame) -> DataFrame:
     row per partition."""
     order = [F.desc_nulls_last("id"), F.desc("key")]
     cut = materialize(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    from pyspark.sql import Window
-
-    me = F.struct("id", "key", "n")
-    w = Window.partitionBy("part").orderBy(*order)
-    inside = cut.select("*", F.lead(me).over(w).alias("follow"))
+    inside = cut.select("part", "id", "key", "n", F.lead("key").over(Window.partitionBy("part").orderBy(*order)).alias("follow"))
     # the first row of a partition: the maximum in (id not null, id, key)
-    top = F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "key", "n")).alias("top")
-    heads = cut.groupBy("part").agg(top).select(
-        "part", F.struct(F.col("top.id"), F.col("top.key"), F.col("top.n")).alias("head"))
+    top = F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "key")).getField("key")
+    heads = cut.groupBy("part").agg(top.alias("head"))
     by_part = Window.orderBy("part")
     # one row per partition: its size is the number of partitions, not of rows
     heads = heads.select("part", F.coalesce(
         F.lead("head").over(by_part),
         F.first("head").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("jump"))
-    return (inside.join(heads, "part")
-            .select("id", "key", "n", F.coalesce("follow", "jump").alias("next")))
+    return inside.join(heads, "part").select("id", "key", "n", F.coalesce("follow", "jump").alias("next"))
 
 
 def tail_edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -133,33 +131,39 @@ def tail_edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     Plan: narrow keys find each document's neighbour; every text is shuffled
     once by its own key, and what its predecessor needs of it (at most a third
     of the predecessor's length, and the fingerprint) once more by the
-    predecessor's key.
+    predecessor's key. Both joins read the same exchange of the texts.
 
     Defined cases: NULL text counts as empty; rows that repeat id and text are
     one document for the order, and each gets the result; equal ids with
-    different texts are ordered by text digest, descending; a NULL id comes
+    different texts are ordered by row digest, descending; a NULL id comes
     last; a single document is its own neighbour.
     """
     docs = df.select(R.quoted(id_col).alias("id"), F.coalesce(R.quoted(text_col), F.lit("")).alias("text"))
-    docs = docs.select("id", "text", R.digest(F.col("text")).alias("key"), F.char_length("text").cast("long").alias("n"))
-    ring = _next_keys(docs.select("id", "key", "n").distinct())
-    # what document "next" owes to its predecessor (pid, pkey)
-    owed = ring.select(F.col("next.id").alias("oid"), F.col("next.key").alias("okey"), F.col("id").alias("pid"),
-                       F.col("key").alias("pkey"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    texts = with_fingerprint(docs.select("id", "key", "text"), "text", "fp", fraction)
-    same = F.col("id").eqNullSafe(F.col("oid")) & (F.col("key") == F.col("okey"))
-    given = (texts.join(owed, same)
-             .select("pid", "pkey", F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("fp").alias("next_fp"))
-             .dropDuplicates(["pid", "pkey"]))
-    mine = F.col("id").eqNullSafe(F.col("pid")) & (F.col("key") == F.col("pkey"))
+    key = R.digest(F.concat_ws("\x1f", F.coalesce(F.col("id").cast("string"), F.lit("\x1e")), F.col("text")))
+    docs = docs.select("id", "text", key.alias("key"))
+    ring = _next_keys(docs.select("id", "key", F.char_length("text").alias("n")).distinct())
+    # what a document owes to its predecessor
+    owed = ring.select(F.col("next").alias("key"), "id", F.col("key").alias("before"),
+                       F.floor(F.col("n") / 3).cast("int").alias("take"))
+    # the same columns for both joins, so that they share one exchange; ids come back with ``given``
+    texts = with_fingerprint(docs.select("key", "text"), "text", "fp", fraction)
+    given = (texts.join(owed, "key")
+             .select(F.col("before").alias("key"), "id", F.substring("text", F.lit(1), F.col("take")).alias("tail"),
+                     F.col("fp").alias("next_fp"))
+             .dropDuplicates(["key"]))
     n = F.char_length("text")
-    both = texts.join(given, mine).select(
+    both = texts.join(given, "key").select(
         "id", n.cast("long").alias("n"), "fp", "next_fp",
-        F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"))
-    out = with_fingerprint(both, "edited", "edited_fp", fraction)
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("tail")).alias("edited"))
+    three = with_fingerprint(both, "edited", "edited_fp", fraction).select(
+        "id", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
+        *[fingerprint_text(F.col(c)).alias(c) for c in ("fp", "edited_fp", "next_fp")])
+    sketched = three.select("*", *[sketch_in(F.col(c)).alias(f"{c}_sketch") for c in ("fp", "edited_fp", "next_fp")])
+
+    def near(other: str) -> Column:
+        return likeness(F.col("fp"), F.col(other), F.col("fp_sketch"), F.col(f"{other}_sketch"))
+
+    return sketched.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
         F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+        near("edited_fp").alias("near_edited"), near("next_fp").alias("near_next"))
