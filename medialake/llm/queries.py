@@ -135,10 +135,9 @@ FROM bits JOIN deep USING (doc_id)""")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    docs = table(spark, sf_dir, "documents")
-    out = sharding.shard_rows(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-                      "shard", "shard_depth", "shard_oversize")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes)
+    return sharding.shard_rows(docs, carry=["doc_id", "n_bytes"])
 
 
 NEAR_DUP_SQL = r"""
