@@ -23,8 +23,8 @@ KIND_SQL = f"CASE WHEN {EXT_SQL} IN {IMAGE_EXT} THEN 'image' WHEN {EXT_SQL} IN {
 
 
 def written_tree(spark, sf_dir) -> str:
-    """A folder tree with one small file per fixture row (``file_size % 64``
-    bytes), written by executors; returns its root."""
+    """A folder tree with one small file per fixture path (``file_size % 64``
+    bytes, the most of a repeated path), written by executors; returns its root."""
     root = scratch_path(spark, "tree")
 
     def write(batches):
@@ -33,15 +33,16 @@ def written_tree(spark, sf_dir) -> str:
                 files.write_bytes(root + path, b"x" * int(size))
             yield pdf[["path"]]
 
-    rows = fixture.media_listing(spark, sf_dir).select("path", (F.col("length") % 64).alias("size"))
+    rows = fixture.media_listing(spark, sf_dir).groupBy("path").agg(F.max(F.col("length") % 64).alias("size"))
     rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(write, "path string").write.format("noop").mode(
         "overwrite").save()
     return root
 
 
 @query("scan_listing", with_raw("""
-SELECT path, kind, length FROM (
+SELECT path, kind, max(length) AS length FROM (
   SELECT path, length % 64 AS length, """ + KIND_SQL + """ AS kind FROM (""" + LISTING_SQL + """))
+GROUP BY path, kind
 """))
 def scan_listing(spark, sf_dir):
     """Scan of a folder tree that holds a file for every fixture row."""
