@@ -11,6 +11,11 @@ Stretches: at most ``miss`` = floor((1 - COVERAGE) * words) words of a template
 may be absent, so of any ``miss`` + 1 template places one is matched. The
 places whose words are rarest in the text give the candidate stretches. A text
 in which more than ``miss`` words do not occur at all is passed over.
+
+Licenses that share most of their words are told apart by what a template has
+in ``[[ ]]``: its version and variant, which the stretch must hold word for
+word. Of templates found in overlapping stretches only the one with the most
+matched words is kept, so a BSD-3 text is not a BSD-2 text as well.
 """
 
 from __future__ import annotations
@@ -26,15 +31,16 @@ from medialake.llm import rows as R
 
 COVERAGE = 0.9
 _WORD = re.compile(r"[^\W_]+")
+_MUST = re.compile(r"\[\[(.*?)\]\]", re.S)
 
-# Wordings of public license notices.
+# Wordings of public license notices; [[ ]] holds what tells a license from its relatives.
 TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "MIT": "Released under the [[MIT]] License.",
+    "Apache-2.0": "Licensed under the [[Apache]] License, [[Version 2.0]].",
+    "GPL-3.0": "This work is licensed under the [[GNU General]] Public License, [[version 3]].",
+    "CC-BY-NC-4.0": "Licensed under [[CC BY-NC 4.0]].",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons [[Attribution 4.0]] International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons [[Attribution-ShareAlike 4.0]] International License.",
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
@@ -43,21 +49,21 @@ TEMPLATES = {
         "conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software."),
     "Apache-2.0-header": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "Licensed under the [[Apache]] License, [[Version 2.0]] (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
         "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
         "KIND, either express or implied. See the License for the specific language governing permissions and "
         "limitations under the License."),
     "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "This program is free software: you can redistribute it and/or modify it under the terms of the [[GNU General "
+        "Public License]] as published by the Free Software Foundation, either [[version 3 of]] the License, or (at your "
         "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
         "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
         "GNU General Public License for more details."),
     "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        "granted, [[provided that the above copyright notice]] and this permission notice appear in all copies."),
     "BSD-2-Clause-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
@@ -66,11 +72,102 @@ TEMPLATES = {
         "materials provided with the distribution."),
 }
 
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+    "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+    "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+    "SOFTWARE.")
+_AUTHOR_DISCLAIMS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+    "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE.")
+_HOLDERS_DISCLAIM = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_NO_ENDORSEMENT = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to [[endorse or promote "
+    "products]] derived from this software without specific prior written permission.")
+_ADVERTISING = (
+    " All [[advertising materials mentioning features]] or use of this software must display the following "
+    "acknowledgement: This product includes software developed by the copyright holder.")
+
+
+def _notices() -> dict[str, str]:
+    """Notices that differ in a name and a version alone."""
+    out = {}
+    for code, name, versions in (("GPL", "General", ("2.0", "3.0")), ("AGPL", "Affero General", ("3.0",)),
+                                 ("LGPL", "Lesser General", ("2.1", "3.0")), ("LGPL", "Library General", ("2.0",))):
+        for v in versions:
+            number = v.removesuffix(".0")
+            gnu = f"[[GNU {name} Public License]]"
+            out[f"{code}-{v}"] = f"This work is licensed under the [[GNU {name}]] Public License, [[version {number}]]."
+            for kind, terms in (("header", f"{gnu} as published by the Free Software Foundation, either [[version {number} of]] the "
+                                           "License, or (at your option) any later version."),
+                                ("only-header", f"[[GNU {name} Public License version {number} as]] published by the Free Software "
+                                                "Foundation.")):
+                out[f"{code}-{v}-{kind}"] = (
+                    f"This program is free software: you can redistribute it and/or modify it under the terms of the {terms} This "
+                    "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+                    f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more "
+                    "details.")
+    for code, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                       ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for v, scope in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            out[f"CC-{code}-{v}-notice"] = f"This work is licensed under a Creative Commons [[{name} {v}]] {scope} License."
+            out[f"CC-{code}-{v}-tag"] = f"Licensed under [[CC {code} {v}]]."
+    return out
+
+
+def _all_templates(templates: dict[str, str]) -> dict[str, str]:
+    """With whole texts and further notices; a wording has one name."""
+    bsd = templates["BSD-2-Clause-text"]
+    out = templates | {
+        "MIT-whole-text": f"{templates['MIT-text']} {_AS_IS}",
+        "ISC-whole-text": f"{templates['ISC-text']} {_AUTHOR_DISCLAIMS}",
+        "0BSD-whole-text": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+                            f"fee [[is hereby granted THE SOFTWARE]]{_AUTHOR_DISCLAIMS.removeprefix('THE SOFTWARE')}"),
+        "BSD-2-Clause-whole-text": f"{bsd} {_HOLDERS_DISCLAIM}",
+        "BSD-3-Clause-text": bsd + _NO_ENDORSEMENT,
+        "BSD-3-Clause-whole-text": f"{bsd}{_NO_ENDORSEMENT} {_HOLDERS_DISCLAIM}",
+        "BSD-4-Clause-text": bsd + _ADVERTISING + _NO_ENDORSEMENT,
+        "BSD-4-Clause-whole-text": f"{bsd}{_ADVERTISING}{_NO_ENDORSEMENT} {_HOLDERS_DISCLAIM}",
+        "BSD-3-Clause": "Released under the [[BSD 3-Clause]] License.",
+        "BSD-2-Clause": "Released under the [[BSD 2-Clause]] License.",
+        "MPL-2.0": "Licensed under the [[Mozilla]] Public License, [[Version 2.0]].",
+        "MPL-2.0-header": (
+            "This Source Code Form is subject to the terms of the [[Mozilla Public License, v. 2.0]]. If a copy of the MPL was "
+            "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        "All-rights-reserved": "[[All rights reserved]].",
+        "CC0-1.0": "This work is licensed under [[CC0 1.0]] Universal.",
+        "CC0-1.0-tag": "Licensed under [[CC0 1.0]].",
+        "CC0-1.0-waiver": (
+            "To the extent possible under law, the author has [[waived all copyright]] and related or neighboring rights to "
+            "this work."),
+        "CC0-1.0-dedication": (
+            "To the extent possible under law, the author(s) have [[dedicated all copyright]] and related and neighboring "
+            "rights to this software to the public domain worldwide. This software is distributed without any warranty. You "
+            "should have received a copy of the CC0 Public Domain Dedication along with this software."),
+    }
+    known = {tuple(words(v)) for v in out.values()}
+    return out | {k: v for k, v in _notices().items() if k not in out and tuple(words(v)) not in known}
+
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+TEMPLATES = _all_templates(TEMPLATES)
+
+
 def _increasing(places: list[int]) -> list[int]:
     """Indices of a longest increasing subsequence."""
     ends, at, back = [], [], [-1] * len(places)
@@ -123,33 +220,48 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
-        self.templates = [(k, w) for k, v in sorted(templates.items()) if (w := words(v))]
-        self.vocabulary = {x for _, w in self.templates for x in w}
+        self.templates = [(k, w, [m for x in _MUST.findall(v) if (m := words(x))])
+                          for k, v in sorted(templates.items()) if (w := words(v))]
+        self.vocabulary = {x for _, w, _ in self.templates for x in w}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word) for each template found;
-        the best stretch of the text, the first of equals."""
+        """(template, coverage, first word, last word) for each template found
+        where no better one overlaps; the best stretch, the first of equals."""
         x = words(text)
         places: dict[str, list[int]] = {}
         for i, w in enumerate(x):
             if w in self.vocabulary:
                 places.setdefault(w, []).append(i)
-        out = []
-        for name, t in self.templates:
+        hits = []
+        for k, (_, t, must) in enumerate(self.templates):
+            if not all(w in places for m in must for w in m):
+                continue
             miss = int((1 - self.coverage) * len(t) + 1e-9)
             if sum(w not in places for w in t) > miss:
                 continue
             rare = sorted(range(len(t)), key=lambda i: len(places.get(t[i], ())))[:miss + 1]
             starts = sorted({p - i for i in rare for p in places.get(t[i], ())})
-            best = None
             for lo, hi in self._stretches(starts, len(t), miss, len(x)):
                 pairs = patience(t, x[lo:hi])
                 found = self._densest(pairs, len(t) + miss)
-                if found and found[0] >= self.coverage * len(t) and (best is None or found[0] > best[0]):
-                    best = (found[0], lo + found[1], lo + found[2])
-            if best:
-                out.append((name, best[0] / len(t), best[1], best[2]))
-        return out
+                if found and found[0] >= self.coverage * len(t):
+                    first, last = lo + found[1], lo + found[2]
+                    if all(self._holds(x, first, last, m) for m in must):
+                        hits.append((-found[0], len(t), first, last, k))
+        out = {}
+        taken: list[tuple[int, int]] = []  # ascending, apart from each other
+        for count, n, first, last, k in sorted(set(hits)):
+            at = bisect_left(taken, (first, first))
+            if at < len(taken) and taken[at][0] <= last or at and taken[at - 1][1] >= first:
+                continue
+            taken.insert(at, (first, last))
+            out.setdefault(k, (self.templates[k][0], -count / n, first, last))
+        return [out[k] for k in sorted(out)]
+
+    @staticmethod
+    def _holds(x: list[str], first: int, last: int, phrase: list[str]) -> bool:
+        n = len(phrase)
+        return any(x[i:i + n] == phrase for i in range(first, last + 2 - n))
 
     @staticmethod
     def _stretches(starts: list[int], n: int, miss: int, size: int):
@@ -193,9 +305,10 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, covera
     ``coverage``, ``first_word``, ``last_word``.
 
     Defined cases: NULL, empty and word-less texts hold no license; templates
-    without words are left out; a template that occurs more than once is
-    reported at its best covered place, the first of equals; repeated rows are
-    reported each.
+    without words are left out; of templates that overlap in one place the one
+    with the most matched words is reported; a template that occurs more than
+    once is reported at its best covered place, the first of equals; repeated
+    rows are reported each.
     """
     found = _scan_udf(TEMPLATES if templates is None else templates, coverage)(R.quoted(text_col))
     out = df.select(R.quoted(id_col).alias("id"), F.explode(found).alias("f"))

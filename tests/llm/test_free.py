@@ -137,6 +137,40 @@ def test_scan_edges(spark):
     assert licenses.scan_licenses(df, {}).count() == 0 and licenses.scan_licenses(df, {"e": " ! "}).count() == 0
 
 
+def found(text):
+    return [r[0] for r in licenses.Scanner(licenses.TEMPLATES).scan(text)]
+
+
+def test_relatives_of_a_license_are_told_apart():
+    line = "This work is licensed under the GNU %s, version %s. Ask us."
+    assert found(line % ("General Public License", 2)) == ["GPL-2.0"]
+    assert found(line % ("General Public License", 3)) == ["GPL-3.0"]
+    assert found(line % ("General Public License", 9)) == []
+    assert found("this work is licensed under the gnu general public license version 2 3 more") == ["GPL-2.0"]
+    assert found(line % ("Lesser General Public License", "2.1")) == ["LGPL-2.1"]
+    assert found(line % ("Affero General Public License", 3)) == ["AGPL-3.0"]
+    cc = "x. This work is licensed under a Creative Commons %s License. y"
+    assert found(cc % "Attribution 4.0 International") == ["CC-BY-4.0"]
+    assert found(cc % "Attribution-ShareAlike 4.0 International") == ["CC-BY-SA-4.0"]
+    assert found(cc % "Attribution 3.0 Unported") == ["CC-BY-3.0-notice"]
+    assert found(cc % "Attribution-NoDerivatives 4.0 International") == ["CC-BY-ND-4.0-notice"]
+    assert found("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"] and found("Licensed under CC BY 4.0.") == ["CC-BY-4.0-tag"]
+    assert found("All rights reserved.") == ["All-rights-reserved"]
+    # a text that has both notices has both licenses
+    assert found(line % ("General Public License", 2) + cc % "Attribution 4.0 International") == ["CC-BY-4.0", "GPL-2.0"]
+
+
+def test_headers_and_whole_texts():
+    for name, text in licenses.TEMPLATES.items():
+        assert found(f"Copyright 2020 someone\n\n{text}\n\nint main") == [name]
+    gpl = licenses.TEMPLATES["GPL-3.0-header"]
+    assert found(gpl.replace("version 3 of", "version 2 of").replace("software:", "software;")) == ["GPL-2.0-header"]
+    assert found(gpl.replace("GNU General", "GNU Lesser General").replace("program", "library")) == ["LGPL-3.0-header"]
+    assert found(gpl.replace("version 3 of", "version 7 of")) == []
+    bsd2, bsd3 = (licenses.TEMPLATES[f"BSD-{n}-Clause-text"] for n in (2, 3))
+    assert found(f"{bsd3}\n\n{'own words ' * 30}\n\n{bsd2}") == ["BSD-2-Clause-text", "BSD-3-Clause-text"]
+
+
 # ---- decontamination ----
 
 def edits_in(p, text):
