@@ -3,8 +3,10 @@
 Each page is parsed into a tree of elements (optional end tags and unclosed
 elements are handled as browsers do in the common cases). Menus, page headers,
 footers, sidebars, notices, adverts, forms, comments, scripts and styles are
-recognized by element, role, and class or id words, and left out; an
-``article``, else ``main``, else the body is the main part.
+recognized by element, role, and class or id names, and left out; an
+``article``, else ``main``, else the body is the main part. Names must match
+as a whole (``sidebar``, ``site-footer``, not ``has-sidebar``), and neither a
+name nor a form takes out what holds the main part or most of the text.
 
 What a site repeats without such marks is found by counting: every container
 subtree left in the main part is hashed (tags and text), and Spark counts per
@@ -45,18 +47,31 @@ BLOCK = frozenset(
     "summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption html legend optgroup option summary tbody td tfoot th thead tr li dd dt".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object embed svg math canvas nav aside footer form button select "
+    "head script style noscript template iframe object embed svg math canvas nav aside footer button select "
     "textarea input dialog menu title audio video noembed noframes".split())
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset blockquote header".split())
 
-# Class and id words of page furniture.
-FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies "
-    "consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager share sharing social related "
-    "recommended comment comments disqus replies footer masthead topbar toolbar login searchform searchbox skip".split())
+# Class and id names of page furniture. A name is one or more of the words of a
+# line, perhaps with one of the words before or after it.
+COMMENT_WORDS = frozenset("comment comments disqus replies".split())
+#: of lists whose entries may be ``article`` elements of their own
+LIST_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar sidebars related "
+    "recommended".split())
+FURNITURE = COMMENT_WORDS | LIST_WORDS | frozenset(
+    "banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager share sharing social footer masthead topbar "
+    "toolbar login searchform searchbox skip".split())
 MAIN_ONLY_OUTSIDE = frozenset("header head".split())
+BEFORE = frozenset("site main top bottom global primary secondary left right page post entry article".split())
+AFTER = frozenset(
+    "area bar block box button buttons container form icons inner item items link links list message module panel posts "
+    "articles section slot stories unit widget wrap wrapper".split())
+
+#: What an element is by its own marks: always left out; left out unless it holds the main part or most of the text.
+HARD, SOFT, LIST, COMMENTS, HEADER = 1, 2, 3, 4, 5
+IN_ARTICLE, IN_MAIN = 1, 2
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -65,10 +80,11 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "kind", "size", "holds")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.kind = self.size = self.holds = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -159,44 +175,100 @@ def _close(stack: list[Node], tag: str) -> None:
             return
 
 
-def furniture(node: Node, in_main: bool) -> bool:
-    """Whether an element is none of the main text, by its own marks."""
+def _named(name: str) -> int:
+    """The kind that a class or id name stands for, 0 for none."""
+    parts = [p.lower() for p in _TOKEN.findall(name)]
+    while len(parts) > 1 and (parts[-1].isdigit() or parts[-1] == "x"):
+        parts.pop()
+    if len(parts) > 1 and parts[0] in BEFORE:
+        parts = parts[1:]
+    if len(parts) > 1 and parts[-1] in AFTER:
+        parts = parts[:-1]
+    if not parts or any(p not in FURNITURE and p not in MAIN_ONLY_OUTSIDE for p in parts):
+        return 0
+    if any(p in COMMENT_WORDS for p in parts):
+        return COMMENTS
+    if any(p in LIST_WORDS for p in parts):
+        return LIST
+    return SOFT if any(p in FURNITURE for p in parts) else HEADER
+
+
+def _kind(node: Node) -> int:
+    """What an element is by its own marks, 0 for a part of the text."""
     tag = node.tag
-    if tag in DROPPED or (tag == "header" and not in_main):
-        return True
+    if tag in DROPPED:
+        return HARD
+    kind = SOFT if tag == "form" else HEADER if tag == "header" else 0
     if not node.attrs.strip(" /\n\t\r"):
-        return False
+        return kind
     a = _attributes(node.attrs)
-    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
+    role = a.get("role", "").lower()
+    if role in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+        return HARD
     if "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
+        return HARD
     if tag in ("html", "body", "article", "main", "h1"):
+        return 0
+    if role == "form":
+        kind = SOFT
+    found = [k for x in (a.get("class", ""), a.get("id", "")) for name in x.split() if (k := _named(name))]
+    return next((k for k in (COMMENTS, LIST, SOFT, HEADER) if k in found), kind)
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or "role" in node.attrs and _attributes(node.attrs).get("role") == "main"
+
+
+def _weigh(root: Node) -> None:
+    """Kinds, and what each element holds outside of what is always left out:
+    characters of text, ``article`` and ``main`` elements."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        node.kind = _kind(node) if node is not root else 0
+        if node.kind != HARD:
+            order.append(node)
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        node.holds = IN_ARTICLE * (node.tag == "article") | IN_MAIN * _is_main(node)
+        for c in node.children:
+            if isinstance(c, Node):
+                node.size += c.size
+                node.holds |= c.holds
+            else:
+                node.size += len(c.strip())
+
+
+def furniture(node: Node, total: int, in_main: bool) -> bool:
+    """Whether a weighed element is none of the main text, in a part or page
+    of ``total`` characters."""
+    if node.kind in (0, HARD):
+        return node.kind == HARD
+    if node.kind == HEADER and in_main or node.holds & IN_MAIN or node.holds and node.kind in (SOFT, HEADER):
         return False
-    for name in (a.get("class", ""), a.get("id", "")):
-        for word in name.split():
-            parts = [p.lower() for p in _TOKEN.findall(word)]
-            if any(p in FURNITURE for p in parts) or (not in_main and any(p in MAIN_ONLY_OUTSIDE for p in parts)):
-                return True
-    return False
+    return 2 * node.size <= total or node.kind == COMMENTS and in_main
 
 
 def _main_parts(root: Node) -> tuple[list[Node], bool]:
-    """Outermost ``article`` elements, else ``main`` elements, else the whole."""
-    for wanted in ("article", "main"):
-        out, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node is not root:
-                if furniture(node, False):
-                    continue
-                role = wanted == "main" and "role" in node.attrs and _attributes(node.attrs).get("role") == "main"
-                if node.tag == wanted or role:
-                    out.append(node)
+    """Outermost ``article`` elements, else ``main`` elements, else those that
+    stand in lists and comments only, else the whole."""
+    _weigh(root)
+    for lists in (False, True):
+        for wanted, mask in (("article", IN_ARTICLE), ("main", IN_MAIN)):
+            out, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if not node.holds & mask:
                     continue
-            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-        if out:
-            return out, True
+                if node is not root:
+                    if not lists and (furniture(node, root.size, False) or node.kind == COMMENTS and not node.holds & IN_MAIN):
+                        continue
+                    if node.tag == wanted or wanted == "main" and _is_main(node):
+                        out.append(node)
+                        continue
+                todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            if out:
+                return out, True
     return [root], False
 
 
@@ -241,7 +313,7 @@ def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
                 text = "\n".join(b[0] for b in blocks[sub[0]:])
                 sub[2] = xxhash.xxh3_64_intdigest(f"{sub[1]}\x00{text}") - (1 << 63)
             continue
-        if node is not part and furniture(node, marked):
+        if node is not part and furniture(node, part.size, marked):
             if node.tag in BLOCK:
                 flush()
             else:

@@ -273,6 +273,29 @@ def test_main_blocks():
     assert blocks("<p title=\"unclosed>text</p><p>more</p>")[-1] == "more"
 
 
+def test_wrappers_keep_what_they_hold():
+    story = "<h1>Title</h1><p>A story of some length, told in one paragraph.</p>"
+    want = ["Title", "A story of some length, told in one paragraph."]
+    for wrap in ('<div class="layout has-sidebar">', '<div class="no-sidebar">', '<div class="with-comments">', '<div id="page-nav-left">',
+                 '<section class="paywall">', '<div class="left-sidebar">', '<div class="sidebar">', '<div class="comments">',
+                 '<form id="aspnetForm">', '<div role="form">', '<div class="page-header">', '<div class="modal overlay">'):
+        end = f"</{wrap[1:].split()[0]}>"
+        for part in ("article", "main", "div"):
+            assert blocks(PAGE % f"{wrap}<{part}>{story * 3}</{part}>{end}") == want * 3, (wrap, part)
+        assert blocks(PAGE % f"{wrap}<form><div class='menu'><p>Go</p></div><article>{story}</article></form>{end}") == want
+    for wrap in ('<section class="related-work">', '<div class="social-history">', '<section id="notice-of-intent">'):
+        assert blocks(PAGE % f"<article>{story}{wrap}<p>Part</p></{wrap[1:].split()[0]}></article>") == [*want, "Part"]
+    # most of an article's text behind one mark, and the page-wide form of a page without marks
+    assert blocks(PAGE % f"<article><h1>T</h1><div class='paywall'>{story}</div></article>") == ["T", *want]
+    # real furniture stays out, also where it holds articles of its own or more text than the story
+    for name in ("sidebar", "site-footer", "related-posts", "adSlot-2", "share-buttons", "cookie_consent", "ad-300x250", "main-menu"):
+        assert blocks(PAGE % f"<article>{story}<div class='x {name}'><p>out</p></div></article>") == want, name
+    for mark in ("id='comments'", "class='related'", "class='sidebar'"):
+        assert blocks(PAGE % f"<article>{story}</article><div {mark}><article><p>Teaser</p></article></div>") == want
+    assert blocks(PAGE % f"<article>{story}<div class='comments'><p>{'I say. ' * 99}</p></div></article>") == want
+    assert blocks(PAGE % f"<main>{story}</main><section id='comments'><article><p>{'I say. ' * 99}</p></article></section>") == want
+
+
 def test_site_template_removal(spark):
     def page(i, host, extra=""):
         return (i, f"http://{host}/p{i}", f"<body><div class='w'><div><p>Read our partner offers</p></div><div><p>Story {i}</p>"
