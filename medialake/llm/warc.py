@@ -10,13 +10,18 @@ spelling of the source's digest.
 
 A record is a row with its bytes: ``read_warc`` and ``write_warc`` use Spark's
 splittable text source with the record separator, so a file is not held whole.
+Files of every WARC version are read. Pieces that the separator makes of one
+record are put together again by its Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
+import zlib
+from typing import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +32,9 @@ from medialake.llm import rows as R
 
 VERSION = b"WARC/1.1"
 END = "\r\n\r\n"
+GAP, MARK = END.encode(), b"WARC/"
+#: Records go to Spark in batches of about this size.
+BATCH_BYTES = 8 << 20
 
 
 def digest_like(data: bytes, example: str | None) -> str:
@@ -63,6 +71,53 @@ def make_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head.encode() + b"\r\n" + block
 
 
+def dechunk(body: bytes) -> bytes | None:
+    """The content of a chunked body, None for what is not one (many crawlers
+    store the content and keep the header)."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or any(c not in b"0123456789abcdefABCDEF" for c in size):
+            return None
+        n, at = int(size, 16), end + 2
+        if n == 0:
+            return b"".join(out)
+        if body[at + n:at + n + 2] != b"\r\n":
+            return None
+        out.append(body[at:at + n])
+        at += n + 2
+
+
+def _inflate(body: bytes, bits: int) -> bytes:
+    """All members of a gzip, zlib or raw deflate stream."""
+    out = []
+    while body:
+        d = zlib.decompressobj(bits)
+        out.append(d.decompress(body) + d.flush())
+        if not d.eof:
+            raise zlib.error("cut off")
+        body = d.unused_data if bits > 16 and d.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
+def decode_content(body: bytes, encodings: str) -> bytes | None:
+    """``body`` without its content encodings; None where one is unknown or
+    the bytes are cut off. A body that is stored decoded stays as it is."""
+    for name in reversed([e.strip().lower() for e in encodings.split(",")]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = _inflate(body, 31) if body[:2] == b"\x1f\x8b" else body
+            elif name == "deflate":
+                zipped = len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0
+                body = _inflate(body, 15 if zipped else -15)
+            elif name not in ("", "identity"):
+                return None
+        except zlib.error:
+            return None
+    return body
+
+
 def _named(source_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source_id}#{kind}')}>"
 
@@ -74,16 +129,19 @@ def _row(kind: str, **more) -> dict:
 
 def derive_record(record: bytes | None) -> list[dict]:
     """The records derived from one response record. Other record types give
-    none; what is no record gives one row of type ``invalid``."""
+    none; what is no record gives one row of type ``invalid``, and so do bytes
+    after the record's end and a payload that cannot be decoded."""
     record = bytes(record or b"")
     head, gap, rest = record.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/") or not gap:
         return [_row("invalid", error="no WARC header")]
     warc = parse_headers(head)
     source = _get(warc, "warc-record-id")
-    if (_get(warc, "warc-type") or "").lower() != "response":
-        return []
     length = _get(warc, "content-length") or ""
+    left = length.isdigit() and rest[int(length):].strip(b"\r\n")
+    after = [_row("invalid", refers_to=source, error="bytes after Content-Length")] if left else []
+    if (_get(warc, "warc-type") or "").lower() != "response":
+        return after
     if not source or not length.isdigit() or int(length) > len(rest):
         return [_row("invalid", refers_to=source, error="no record id" if not source else "truncated")]
     block = rest[:int(length)]
@@ -92,7 +150,14 @@ def derive_record(record: bytes | None) -> list[dict]:
     status = http_head.split(b"\r\n", 1)[0].decode("utf-8", "replace")
     kind = _get(http, "content-type") or ""
     given = _get(warc, "warc-payload-digest")
+    stored = payload
+    if any("chunked" in v.lower() for k, v in http if k.lower() == "transfer-encoding"):
+        payload = found if (found := dechunk(payload)) is not None else payload
     found = digest_like(payload, given)
+    # some crawlers take the digest of the chunked bytes
+    valid = given is not None and (given.lower() == found.lower()
+                                   or stored is not payload and given.lower() == digest_like(stored, given).lower())
+    content = decode_content(payload, ",".join(v for k, v in http if k.lower() == "content-encoding"))
     uri, date = _get(warc, "warc-target-uri"), _get(warc, "warc-date")
     base = [(k, v) for k, v in (("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date)) if v]
     out = []
@@ -106,18 +171,21 @@ def derive_record(record: bytes | None) -> list[dict]:
                         record=make_record(fields, body)))
 
     media = kind.split(";")[0].strip().lower()
-    conversion = _named(source, "conversion") if media.startswith("text/") or media == "application/xhtml+xml" else None
+    is_text = media.startswith("text/") or media == "application/xhtml+xml"
+    conversion = _named(source, "conversion") if is_text and content is not None else None
     about = [("source-record-id", source), ("source-status", status), ("source-payload-digest", given or found),
-             ("source-payload-digest-valid", "unknown" if given is None else str(given.lower() == found.lower()).lower()),
+             ("source-payload-digest-valid", "unknown" if given is None else str(valid).lower()),
              ("source-block-digest", _get(warc, "warc-block-digest") or digest_like(block, given)),
              ("source-payload-length", str(len(payload))), ("conversion-record-id", conversion or "none"),
              *((f"source-header-{k.lower()}", v) for k, v in http)]
     add("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode(), _named(source, "metadata"))
     if conversion:
-        text = _decode(payload, kind)
+        text = _decode(content, kind)
         plain = text if media == "text/plain" else H.visible_text(text)
         add("conversion", "text/plain; charset=utf-8", plain.encode("utf-8", "replace"), conversion)
-    return out
+    elif is_text:
+        out.append(_row("invalid", refers_to=source, target_uri=uri, warc_date=date, error="content encoding"))
+    return out + after
 
 
 def _decode(payload: bytes, content_type: str) -> str:
@@ -145,8 +213,11 @@ def build_derivatives(responses: DataFrame, record_col: str = "record", id_col:
     with ``id_col`` first where it is named.
 
     Defined cases: a NULL, empty or cut-off record gives one row of type
-    ``invalid`` with the reason; a record that is no response gives none; an
-    empty payload has an empty conversion; repeated records are derived each.
+    ``invalid`` with the reason; a record that is no response gives none; bytes
+    after a record's Content-Length give one more row ``invalid``; chunked,
+    gzip and deflate payloads are decoded, and one of another encoding has a
+    row ``invalid`` in place of the conversion; an empty payload has an empty
+    conversion; repeated records are derived each.
     """
     keep = [R.quoted(id_col).alias("id")] if id_col else []
     rows = responses.select(*keep, F.explode(_derive_udf()(R.quoted(record_col))).alias("d"))
@@ -183,13 +254,75 @@ def write_warc(records: DataFrame, path: str, record_col: str = "record", compre
      .write.option("lineSep", END).option("compression", compression).text(path))
 
 
+def _record_size(piece: bytes) -> int:
+    """Bytes of the record that begins with ``piece`` by its Content-Length, 0
+    where there is none."""
+    if not piece.startswith(MARK):
+        return 0
+    head = piece.partition(GAP)[0]
+    length = _get(parse_headers(head), "content-length") or ""
+    return len(head) + len(GAP) + int(length) if length.isdigit() else 0
+
+
+def join_pieces(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """Records of the pieces between separators: as many as fill the first
+    one's Content-Length exactly. A record that they do not fill so is cut off;
+    it is one piece, and the next one begins a record."""
+    source, waiting = iter(pieces), []
+    while True:
+        if not waiting:
+            first = next(source, None)
+            if first is None:
+                return
+            waiting.append(first)
+        size, have, n = _record_size(waiting[0]), len(waiting[0]), 1
+        while have < size:
+            if n == len(waiting):
+                more = next(source, None)
+                if more is None:
+                    break
+                waiting.append(more)
+            have += len(GAP) + len(waiting[n])
+            n += 1
+        # blank bytes may follow the last record of a file
+        over = have - size
+        if n > 1 and (over < 0 or waiting[n - 1][max(len(waiting[n - 1]) - over, 0):].strip(b"\r\n")):
+            n = 1
+        yield GAP.join(waiting[:n])
+        del waiting[:n]
+
+
+def _records_of_splits(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of the rows of a task, which are pieces in file order, split by split."""
+    def pieces():
+        last = None
+        for b in batches:
+            for path, start, value in zip(b["path"], b["start"], b["value"]):
+                begins = start == 0 and (path, start) != last
+                yield (path, start), bytes(value) if begins else MARK + bytes(value)
+                last = (path, start)
+
+    made, size = [], 0
+    for _, split in itertools.groupby(pieces(), key=lambda p: p[0]):
+        for record in join_pieces(v for _, v in split):
+            n = _record_size(record)
+            if n and not record[n:].strip(b"\r\n"):
+                record = record[:n]
+            if record.strip(b"\r\n"):
+                made.append(record)
+                size += len(record)
+            if size > BATCH_BYTES:
+                yield pd.DataFrame({"record": made})
+                made, size = [], 0
+    yield pd.DataFrame({"record": pd.Series(made, dtype=object)})
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record) of the WARC files under ``path``, without final separators.
-    Split at a separator that a version line follows; a payload that holds
-    just that shows up as a cut-off record."""
-    mark = VERSION.decode() + "\r\n"
-    text = spark.read.option("lineSep", END + mark).text(path)
-    body = F.regexp_replace("value", r"(\r\n\r\n)\z", "")
-    first = F.col("value").startswith(mark)
-    return text.filter(F.length("value") > 0).select(
-        F.when(first, body).otherwise(F.concat(F.lit(mark), body)).cast("binary").alias("record"))
+    """(record) of the WARC files under ``path``, of every version, without
+    final separators. A payload that holds a separator and ``WARC/`` is put
+    together again, unless the boundary of two file splits lies between its
+    pieces: then it shows up as a cut-off record."""
+    text = spark.read.option("lineSep", END + MARK.decode()).text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                       F.col("value").cast("binary").alias("value"))
+    return rows.mapInPandas(_records_of_splits, "record binary")

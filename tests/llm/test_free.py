@@ -2,9 +2,11 @@
 derivatives: against brute force, held-out accuracy and round trips."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -420,3 +422,70 @@ def test_files_round_trip(spark, tmp_path):
         assert sorted(bytes(r[0]) for r in back.collect()) == sorted(bytes(r["record"]) for r in src.collect())
     derived = warc.build_derivatives(back)
     assert derived.filter("warc_type = 'invalid'").count() == 0 and derived.count() == 2 * pages.count()
+
+
+def foreign(kind, block, version="1.0", i=1):
+    return (f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block
+
+
+def http(body, *fields):
+    return "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html", *fields, "", ""]).encode() + body
+
+
+def test_foreign_files(spark, tmp_path):
+    """WARC/1.0 with a warcinfo first, other versions, separators and any bytes in payloads, a cut-off record."""
+    image = http(bytes(range(256)) * 3).replace(b"text/html", b"image/png")
+    records = [foreign("warcinfo", b"software: x\r\n"), foreign("response", http(b"<p>one</p>"), i=2), foreign("response", image, i=3),
+               foreign("response", http(b"<p>a\r\n\r\nWARC/1.0\r\nb\r\n\r\nWARC/x</p>"), i=4), foreign("response", b"", i=5),
+               foreign("response", http(b"<p>17</p>"), "0.17", i=6), foreign("response", http(b"<p>11</p>"), "1.1", i=7),
+               foreign("resource", b"WARC/1.0 in front", i=8), foreign("response", http(b"<p>cut</p>"), i=9)[:-6],
+               foreign("response", http(b"<p>last</p>"), i=10)]
+    data = b"".join(r + b"\r\n\r\n" for r in records)
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    back = warc.read_warc(spark, str(tmp_path))
+    assert sorted(bytes(r[0]) for r in back.collect()) == sorted(records * 2)
+    got = Counter((r["warc_type"], r["refers_to"], r["error"]) for r in warc.build_derivatives(back).collect())
+    assert got[("invalid", "<urn:uuid:9>", "truncated")] == 2 and sum(n for k, n in got.items() if k[0] == "invalid") == 2
+    assert sum(n for k, n in got.items() if k[0] == "conversion") == 2 * 5  # all of text/html but the empty and the cut one
+    # in splits that are smaller than the file
+    many = [foreign("response", http(f"<p>{i} é</p>".encode()), i=i) for i in range(500)]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "m.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in many))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        back = warc.read_warc(spark, str(tmp_path / "many"))
+        assert back.rdd.getNumPartitions() > 1 and sorted(bytes(r[0]) for r in back.collect()) == sorted(many)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_payload_encodings_and_left_bytes():
+    page = "<p>caf\u00e9 au lait</p>".encode()
+
+    def conversion(block):
+        rows = warc.derive_record(foreign("response", block))
+        return [r["error"] or bytes(r["record"]).partition(b"\r\n\r\n")[2].decode() for r in rows if r["warc_type"] != "metadata"]
+
+    def chunks(b):
+        return b"".join(b"%x;q=1\r\n%s\r\n" % (len(b[i:i + 9]), b[i:i + 9]) for i in range(0, len(b), 9)) + b"0\r\n\r\n"
+
+    raw = zlib.compressobj(wbits=-15)
+    want = ["caf\u00e9 au lait"]
+    assert conversion(http(page)) == conversion(http(chunks(page), "Transfer-Encoding: chunked")) == want
+    assert conversion(http(page, "Transfer-Encoding: chunked", "Content-Encoding: gzip")) == want  # stored decoded
+    for name, data in (("gzip", gzip.compress(page)), ("x-gzip", gzip.compress(page[:5]) + gzip.compress(page[5:])),
+                       ("deflate", zlib.compress(page)), ("deflate", raw.compress(page) + raw.flush()), ("identity", page)):
+        assert conversion(http(data, f"Content-Encoding: {name}")) == want
+        assert conversion(http(chunks(data), f"Content-Encoding: {name}", "Transfer-Encoding: chunked")) == want
+    assert conversion(http(page, "Content-Encoding: br")) == conversion(http(gzip.compress(page)[:-9], "Content-Encoding: gzip")) == [
+        "content encoding"]
+    left = warc.derive_record(foreign("warcinfo", b"x") + b"\n\nWARC/1.0\nmore")
+    assert [r["error"] for r in left] == ["bytes after Content-Length"]
+    assert [r["warc_type"] for r in warc.derive_record(foreign("response", http(page)) + b"more")] == ["metadata", "conversion", "invalid"]
+    for body in (page, chunks(page)):  # digests of the content or of the chunked bytes
+        block = http(chunks(page), "Transfer-Encoding: chunked")
+        head = f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\n".encode()
+        about = warc.derive_record(foreign("response", block).replace(b"Content-Length", head + b"Content-Length", 1))[0]
+        assert b"source-payload-digest-valid: true" in about["record"]
