@@ -110,6 +110,32 @@ def run_edits(spark, rows, parts=3):
     return sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got), key=repr)
 
 
+def exact_model(a, b):
+    """Containment of the smaller shingle set in the larger."""
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))})
+    return len(sets[0] & sets[1]) / min(map(len, sets))
+
+
+def test_likeness_by_text_length(spark):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(n))) for i, n in enumerate([6, 9, 20, 40, 90, 200, 900, 5000] * 3)]
+    order = sorted(rows, reverse=True)
+    exact = {}
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        exact[d] = exact_model(t, t[:len(t) - k] + nxt[:k]), len(t.split())
+    df = spark.createDataFrame(rows, DOC)
+    for fraction in (1 / 8, 1 / 2, 1):
+        for r in fingerprints.tail_edit_fingerprints(df, fraction=fraction).collect():
+            want, n = exact[r["doc_id"]]
+            # 1/8 says little about a short text; all hashes are exact at any length
+            bound = 1e-9 if fraction == 1 else 2 / math.sqrt(n * fraction)
+            assert abs(r["near_edited"] - want) <= bound, (fraction, n)
+
+
 def test_fingerprints_match_model(spark):
     rnd = random.Random(4)
     vocab = [f"w{i}" for i in range(40)] + ["é", "日本", " x", "𝄞"]
