@@ -11,7 +11,7 @@ name nor a form takes out what holds the main part or most of the text.
 What a site repeats without such marks is found by counting: every container
 subtree left in the main part is hashed (tags and text), and Spark counts per
 host on how many different pages it stands. Subtrees that recur on many pages
-are removed. Equal pages count once, so the text of an article that is
+are removed, but never one that holds most of a page's text. Equal pages count once, so the text of an article that is
 published at many addresses is not taken for a template, and inside an
 ``article`` or ``main`` only containers (not paragraphs or headings) can be.
 
@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from medialake.llm import rows as R
 from medialake.session import materialize
 
-#: A subtree is a template from this many different pages and this share of a host's different pages.
+#: A subtree is a template from this many different pages and this share of a host's different pages,
 MIN_PAGES, MIN_SHARE = 5, 0.1
+#: or from this many different pages, however large the host is. Prose in a marked main part (text of
+#: this length that is no link, and more of it than of links) is one by the latter only.
+MANY_PAGES, PROSE = 50, 200
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,14 +286,20 @@ def main_blocks(text: str | None) -> list[tuple[str, list[int]]]:
     out: list[tuple[str, list[int]]] = []
     for part in parts:
         _walk(part, marked, out)
-    return out
+    # what holds most of the text is no template
+    total, size = sum(len(t) for t, _ in out), {}
+    for t, subs in out:
+        for x in set(subs):
+            size[x] = size.get(x, 0) + len(t)
+    return [(t, [x for x in subs if 2 * size[x] <= total]) for t, subs in out]
 
 
 def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
     """Depth-first without recursion, so nesting depth is no limit."""
     blocks: list[list] = []  # [text, open subtrees]
     run: list[str] = []
-    opened: list[list] = []  # of subtrees: [first block, signature, hash]
+    opened: list[list] = []  # of subtrees: [first block, signature, hash, link text before]
+    inside = linked = 0  # links around, characters of link text
 
     def flush() -> None:
         t = _squeeze(run)
@@ -303,15 +312,20 @@ def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
         node, leaving = todo.pop()
         if isinstance(node, str):
             run.append(node)
+            linked += len(node.strip()) if inside else 0
             continue
         removable = node is not part and (node.tag in CONTAINERS or not marked and node.tag in BLOCK)
         if leaving:
             if node.tag in BLOCK:
                 flush()
+            inside -= node.tag == "a"
             if removable:
                 sub = opened.pop()
                 text = "\n".join(b[0] for b in blocks[sub[0]:])
-                sub[2] = xxhash.xxh3_64_intdigest(f"{sub[1]}\x00{text}") - (1 << 63)
+                own = len(text) - (linked - sub[3])
+                prose = marked and own >= PROSE and 2 * own > len(text)
+                # the last bit tells prose
+                sub[2] = (xxhash.xxh3_64_intdigest(f"{sub[1]}\x00{text}") - (1 << 63)) & ~1 | prose
             continue
         if node is not part and furniture(node, part.size, marked):
             if node.tag in BLOCK:
@@ -325,7 +339,8 @@ def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
         if node.tag in BLOCK:
             flush()
         if removable:
-            opened.append([len(blocks), f"{node.tag} {' '.join(c.tag for c in node.children if isinstance(c, Node))}", 0])
+            opened.append([len(blocks), f"{node.tag} {' '.join(c.tag for c in node.children if isinstance(c, Node))}", 0, linked])
+        inside += node.tag == "a"
         todo.append((node, True))
         todo.extend((c, False) for c in reversed(node.children))
     flush()
@@ -354,7 +369,8 @@ def _parse_udf():
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+                      min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                      many_pages: int = MANY_PAGES) -> DataFrame:
     """One row per page: ``id_col``, ``url_col``, ``text`` (blocks joined by a
     newline) and ``n_chars``.
 
@@ -372,7 +388,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     on_host = stored.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = seen.select("host", "h", "body").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(
         F.col("n") >= min_pages)
-    templates = counts.join(on_host, "host").filter(F.col("n") >= min_share * F.col("host_pages")).select("host", "h")
+    shared = (F.col("h").bitwiseAND(F.lit(1)) == 0) & (F.col("n") >= min_share * F.col("host_pages"))
+    templates = counts.join(on_host, "host").filter(shared | (F.col("n") >= many_pages)).select("host", "h")
     gone = seen.join(templates, ["host", "h"]).groupBy("rid").agg(F.collect_set("h").alias("gone"))
     plain = stored.filter(~with_subs).select("id", "url", F.col("blocks.text").alias("texts"))
     cut = stored.filter(with_subs).join(gone, "rid", "left")

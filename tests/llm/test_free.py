@@ -320,6 +320,22 @@ def test_site_template_removal(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_templates_by_recurrence_and_size(spark):
+    """A box on 9 % of a large host goes, prose that a small host repeats in articles stays, so does most of a page."""
+    quote = "A long quotation of real article text. " * 8
+    big = [(i, f"http://big.org/{i}", f"<article><p>Own {i} text of the story</p>{'<div>Box</div>' if i < 60 else ''}</article>")
+           for i in range(700)]
+    links = "<div>" + "<a href='x'>Another story to read</a> " * 20 + "</div>"
+    small = [(1000 + i, f"http://small.org/{i}", f"<article><h1>H {i}</h1><p>{f'Own {i} words. ' * 200}</p><blockquote>{quote}</blockquote>"
+                                                 f"{links}</article>") for i in range(6)]
+    same = [(2000 + i, f"http://same.org/{i}", f"<article><h1>Headline {i}</h1><div>A short story</div></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(
+        spark.createDataFrame(big + small + same, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Own 3 text of the story" and got[650] == "Own 650 text of the story"
+    assert got[1002].endswith("of real article text.") and "Another story" not in got[1002]
+    assert got[2003] == "Headline 3\nA short story"
+
+
 class Plain(HTMLParser):
     """Visible text by the standard library's parser."""
 
