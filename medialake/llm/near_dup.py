@@ -28,8 +28,10 @@ Long lists. A list longer than ``LIST`` classes is not expanded into pairs:
     |D(m)| - that + 1 of D(m). These are indexed, classes not linked with c look
     up theirs, both as far down as the pair's own bound allows, and the pairs
     found are verified. The order puts hashes that are rare around c first.
-So no link between different components is lost, and no group is expanded into
-all its pairs.
+So steps 2 and 3 lose no link between different components that a union-sketch
+estimate lets pass, and no group is expanded into all its pairs. The exit of
+step 1 is a guess and can lose one: a class that left takes no part in 2 and 3,
+and a partner that shares only long lists with it is not met.
 
 Components: ``medialake.llm.components``. All intermediate tables are stored
 under the shared checkpoint folder.
