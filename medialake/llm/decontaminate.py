@@ -10,7 +10,9 @@ computes the smallest edit distance of the item to any part of the window.
 Texts and items are compared lower-cased, with white space runs as one space.
 The budget is a fixed share of the item's length. The items are the bounded
 side: they are dealt with in blocks of at most ``BLOCK_CHARS`` characters, each
-block against all texts, so a benchmark of any size passes in bounded memory.
+block against all texts, so a task holds one block (at least one whole item).
+The driver holds all items, as closures of one plan with a scan of the texts
+per block: it bounds the size of the benchmark.
 """
 
 from __future__ import annotations
