@@ -7,7 +7,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import decontaminate, fingerprints, html, licenses, line_dedup, mixing, near_dup, quality, sharding, warc
+from medialake.llm import (clustering, decontaminate, fingerprints, html, licenses, line_dedup, mixing, near_dup, ngram_join,
+                           prefix_trie, quality, sharding, warc)
 from medialake.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +183,75 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_derivatives(warc.page_responses(table(spark, sf_dir, "pages")), id_col="page_id")
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Integer k-means, one pair of CTEs per round."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))"
+    parts = [r"""
+vecs AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c FROM vecs
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= 16)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS (
+  SELECT vec_id, any_value(v.v) AS v, min(({distance}, cluster)) AS near
+  FROM vecs v, c{i} c GROUP BY vec_id)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (
+  SELECT cluster, list(m ORDER BY i) AS c
+  FROM (SELECT near[2] AS cluster, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m
+        FROM (SELECT near, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY ALL) GROUP BY cluster),
+c{i + 1} AS (SELECT c{i}.cluster, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (cluster))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, near[2]::INT AS cluster, near[1]::BIGINT AS distance,
+       sum(near[1]) OVER (PARTITION BY near[2])::BIGINT AS cluster_inertia, sum(near[1]) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON cluster = near[2]"""
+
+
+@_query(_clusters_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, k=16, rounds=3, scale=64)
+    return got.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                      clustering.centroid_digest(got["centroid"]).alias("centroid_sha256"))
+
+
+#: CRC-32 bit by bit; nodes are the distinct lists of (role, text).
+TRIE_SQL = r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations GROUP BY conv_id),
+starts AS (
+  SELECT *, (4294967295 - list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda crc, b:
+    list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, b)), 4294967295)) % 6 AS h
+  FROM own),
+convs AS (
+  SELECT s.conv_id, list_concat(coalesce(b.l, [])[1:s.h], s.l[s.h + 1:]) AS l
+  FROM starts s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 100),
+steps AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM convs),
+nodes AS (
+  SELECT d, l[1:d] AS p, min(conv_id) AS c, count(*) AS n, (count(*) - 1) * coalesce(any_value(length(l[d].t)), 0) AS saved,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(l) = d), '') AS ends
+  FROM steps GROUP BY d, l[1:d]),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p, d)),
+tops AS (SELECT unnest(range(0, d + 1)) AS d0, p, saved, k FROM full_nodes),
+subtrees AS (SELECT d0 AS d, p[1:d0] AS p, sum(saved) AS saved, count(*) FILTER (k = 0) AS leaves FROM tops GROUP BY d0, p[1:d0])
+SELECT a.c::BIGINT AS conv_id, a.d::BIGINT AS depth, up.c::BIGINT AS parent_conv_id, a.n::BIGINT AS n_convs, a.k::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM full_nodes a JOIN subtrees s USING (p, d) LEFT JOIN full_nodes up ON up.d = a.d - 1 AND up.p = a.p[1:a.d - 1]"""
+
+
+@_query(TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query(NEAR_DUP_SQL.replace(">= 85 *", ">= 90 *").replace(", d.doc_id = coalesce(h, d.doc_id) AS kept", ""))
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
