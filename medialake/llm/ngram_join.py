@@ -47,6 +47,8 @@ from medialake.session import materialize
 
 #: Smallest tokens whose runs make groups, and the length of a run.
 LOWEST, RUN = 10, 3
+#: Groups in a list of a large set's token before all tokens of its classes are used.
+LIST = 16
 #: Sets up to this size take part with all tokens, larger ones with 1 / PART of the hash range.
 SMALL, PART = 128, 4
 _CUT = np.uint64((1 << 64) // PART)
@@ -89,22 +91,18 @@ def _tokens_udf(words: int, percent: int):
 
 
 def _set_udf(words: int):
-    @F.pandas_udf("cls binary, tokens binary")
+    @F.pandas_udf("cls binary, tokens array<long>")
     def whole(texts: pd.Series) -> pd.DataFrame:
         sets = [S.shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"cls": [S.set_digest(s) if len(s) else None for s in sets], "tokens": [s.tobytes() for s in sets]})
+        return pd.DataFrame({"cls": [S.set_digest(s) if len(s) else None for s in sets], "tokens": [s.view(np.int64) for s in sets]})
     return whole
 
 
 def _overlap_udf():
-    """Sizes of the intersections of two columns of ascending uint64 sets."""
+    """Sizes of the intersections of two columns of sets."""
     @F.pandas_udf("long")
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            out.append(len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))
-        return pd.Series(out, dtype="int64")
+        return pd.Series([len(x) + len(y) - len(np.unique(np.concatenate([x, y]))) for x, y in zip(a, b)], dtype="int64")
     return overlap
 
 
@@ -122,18 +120,28 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class numbers whose whole sets reach the threshold,
-    stored. Sets are made again, from one text of each class in a pair."""
-    wanted = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(classes.select("k", "cls", "head"), "k"))
-    texts = docs.join(wanted.select("k", F.col("cls").alias("want"), F.col("head").alias("id0")), F.col("id").eqNullSafe(F.col("id0")))
+def _whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(k, tokens) of the classes ``wanted`` (k), stored. The sets are made again,
+    from one text of each of these classes."""
+    heads = materialize(wanted.distinct().join(classes.select("k", "cls", "head"), "k"))
+    texts = docs.join(heads.select("k", F.col("cls").alias("want"), F.col("head").alias("id0")), F.col("id").eqNullSafe(F.col("id0")))
     # not deterministic, as far as the optimizer knows: no condition on the result moves below the join
     made = texts.select("k", "want", _set_udf(words).asNondeterministic()("text").alias("s")).filter(F.col("want") == F.col("s.cls"))
-    sets = materialize(made.select("k", F.col("s.tokens").alias("tokens")).dropDuplicates(["k"]))
+    return materialize(made.select("k", F.col("s.tokens").alias("tokens")).dropDuplicates(["k"]))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with ``size``, the tokens of both sets, and ``common``."""
     one, two = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").select(
-        "a", "b", ((F.length("ta") + F.length("tb")) / 8).alias("all"), _overlap_udf()("ta", "tb").alias("i"))
-    return materialize(both.filter(F.col("i") * 100 >= (F.col("all") - F.col("i")) * percent).select("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, (F.size("ta") + F.size("tb")).alias("size"),
+                                                      _overlap_udf()("ta", "tb").alias("common"))
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class numbers whose whole sets reach the threshold, stored."""
+    sets = _whole_sets(pairs.select(F.col("a").alias("k")).union(pairs.select("b")), classes, docs, words)
+    done = _overlaps(pairs, sets)
+    return materialize(done.filter(F.col("common") * 100 >= (F.col("size") - F.col("common")) * percent).select("a", "b"))
 
 
 def _to_centres(classes: DataFrame, percent: int) -> DataFrame:
@@ -149,39 +157,45 @@ def _to_centres(classes: DataFrame, percent: int) -> DataFrame:
     return materialize(near.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct())
 
 
-def _placed_tokens(sets: DataFrame, band: str) -> DataFrame:
-    """(q, g, n, size, t, place): the tokens that another class has too, with
-    their place in the class's order; ``size`` is the number of tokens the class
-    takes part with. Tokens of one class only come first and are just counted.
-    Tokens above the cut come last, by hash: they matter only where a set has too
-    few below it, and none of these is shared then."""
+def _placed_tokens(sets: DataFrame, band: DataFrame, cut: bool) -> DataFrame:
+    """(q, g, n, size, t, place): the tokens of a band (k, tokens, low) that
+    another class has too, with their place in the class's order; ``size`` is the
+    number of tokens the class takes part with. Tokens of one class only come
+    first and are just counted. Tokens above the cut come last, by hash: they
+    matter only where a set has too few below it, and shares none of these."""
     t = F.col("t")
-    first = F.lit(True) if band == "small" else (t >= 0) & (t < F.lit(int(_CUT)))
-    own = F.size(band).cast("long") if band == "small" else F.col("low")
-    one = sets.filter(F.col(band).isNotNull()).select("k", "g", "n", F.size(band).alias("size"), own.alias("own"), F.explode(band).alias("t"))
+    first = (t >= 0) & (t < F.lit(int(_CUT))) if cut else F.lit(True)
+    one = band.select("k", F.explode("tokens").alias("t"))
     often = materialize(one.groupBy("t").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    about = sets.join(band.select("k", F.size("tokens").alias("size"), "low"), "k")
     mine = Window.partitionBy("k")
     order = mine.orderBy((~first).alias("late"), F.when(first, F.col("often")).otherwise(0), "t")
-    met = F.count_if(first).over(mine)
-    place = F.col("own") - met + F.row_number().over(order)
-    shared = one.join(often, "t").select(F.col("k").alias("q"), "g", "n", "size", "t", place.alias("place"))
-    return materialize(shared)
+    place = F.col("low") - F.count_if(first).over(mine) + F.row_number().over(order)
+    shared = materialize(one.join(often, "t")).join(about, "k")
+    return materialize(shared.select(F.col("k").alias("q"), "g", "n", "size", "t", place.alias("place")))
 
 
-def _across(sets: DataFrame, band: str, percent: int) -> DataFrame:
-    """Pairs of classes of different groups that may be linked, in one band."""
-    tokens = _placed_tokens(sets, band)
+def _across(sets: DataFrame, band: DataFrame, percent: int, cut: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of classes of different groups that may be linked, in one band. With
+    ``cut``, also the classes that meet in long lists, as such: their pairs are
+    to be sought with all tokens."""
+    tokens = _placed_tokens(sets, band, cut)
     n, place = F.col("n"), F.col("place")
     least = _up(n * percent, 100)  # tokens of the smallest partner, and common ones with it
     probe = tokens.filter(place <= n - least + 1).select("t", "q", "g", "n", "place")
     index = tokens.filter(place <= n - _need(n, n, percent) + 1)
     # the groups that have a token among the first of some member
     listed = materialize(index.groupBy("t", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    again = None
+    if cut:
+        long = materialize(listed.groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST).select("t"))
+        again = materialize(probe.join(long, "t", "left_semi").select(F.col("q").alias("k")).distinct())
+        listed = materialize(listed.join(long, "t", "left_anti"))
     met = probe.join(listed, "t").filter((F.col("g") != F.col("h")) & (F.col("low") <= n) & (F.col("high") >= least))
     met = materialize(met.select("q", "h").distinct())
 
     matrix = materialize(tokens.select(F.col("g").alias("h"), "t").distinct())
-    smallest = sets.filter(F.col(band).isNotNull()).groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low"))
+    smallest = sets.join(band.select("k"), "k", "left_semi").groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low"))
     both = met.join(tokens.select("q", "n", "size", "t"), "q").join(matrix, ["h", "t"])
     found = both.groupBy("q", "h").agg(F.count(F.lit(1)).alias("found"), F.min("n").alias("n"), F.min("size").alias("size"))
     may_miss = n - _need(n, F.greatest("low", least), percent)
@@ -192,7 +206,10 @@ def _across(sets: DataFrame, band: str, percent: int) -> DataFrame:
     need = _need(n, F.col("nm"), percent)
     pairs = asked.join(members, ["h", "t"]).filter(
         (F.col("nm") <= n) & (F.col("nm") >= least) & (place <= n - need + 1) & (F.col("place_m") <= F.col("nm") - need + 1))
-    return pairs.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
+    pairs = materialize(pairs.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b"), (n + F.col("nm")).alias("total")).distinct())
+    # tokens of one of them only: no more in the band than in the whole sets
+    apart = F.col("total") - 2 * _up(F.col("total") * percent, 100 + percent)
+    return materialize(_overlaps(pairs, band).filter(F.col("size") - 2 * F.col("common") <= apart).select("a", "b")), again
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -214,9 +231,14 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("k", F.monotonically_increasing_id()))
     links = _linked(_to_centres(classes, percent), classes, docs, words, percent)
     roots = connected_components(links)
-    sets = materialize(classes.select("k", "n", "small", "large", "low").join(roots.withColumnRenamed("node", "k"), "k", "left")
-                       .select("k", "n", "small", "large", "low", F.coalesce("root", "k").alias("g")))
-    found = _across(sets, "small", percent).union(_across(sets, "large", percent))
+    sets = materialize(classes.select("k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left")
+                       .select("k", "n", F.coalesce("root", "k").alias("g")))
+    small = classes.filter("small IS NOT NULL").select("k", F.col("small").alias("tokens"), F.col("n").alias("low"))
+    large = classes.filter("large IS NOT NULL").select("k", F.col("large").alias("tokens"), "low")
+    found, _ = _across(sets, small, percent)
+    more, again = _across(sets, large, percent, cut=True)
+    whole = _whole_sets(again, classes, docs, words).withColumn("low", F.size("tokens").cast("long"))
+    found = found.union(more).union(_across(sets, whole, percent)[0])
     late = _linked(materialize(found.distinct()), classes, docs, words, percent)
     if not late.isEmpty():
         roots = connected_components(links.union(late))
