@@ -36,9 +36,10 @@ execution split them.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medialake.llm import rows as R
 from medialake.llm import shingles as S
@@ -49,6 +50,8 @@ from medialake.session import materialize
 LOWEST, RUN = 10, 3
 #: Groups in a list of a large set's token before all tokens of its classes are used.
 LIST = 16
+#: Texts whose sets a worker holds at once.
+TEXTS = 256
 #: Sets up to this size take part with all tokens, larger ones with 1 / PART of the hash range.
 SMALL, PART = 128, 4
 _CUT = np.uint64((1 << 64) // PART)
@@ -69,41 +72,49 @@ def _runs(s: np.ndarray) -> np.ndarray:
     return np.unique(h)
 
 
-def _tokens_udf(words: int, percent: int):
-    """Class digest, number of tokens, runs, the tokens of the two bands, and how
-    many of the large band's are below the cut."""
-    @F.pandas_udf("cls binary, n long, runs array<long>, small array<long>, large array<long>, low long")
-    def tokens(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            s = S.shingle_set(t, words)
-            n = len(s)
-            if n == 0:
-                out.append((None, 0, None, None, None, 0))
-                continue
-            small = s.view(np.int64) if n <= _ceil_div(SMALL * 100, percent) else None
-            most = n - _ceil_div(n * percent, 100) + 1  # places of a query
-            low = int(np.searchsorted(s, _CUT))
-            large = s[:max(low, most)].view(np.int64) if n > SMALL else None
-            out.append((S.set_digest(s), n, _runs(s).view(np.int64), small, large, low))
-        return pd.DataFrame(out, columns=["cls", "n", "runs", "small", "large", "low"])
-    return tokens
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x.view(np.int64) for x in arrays])))
+
+
+def _with_sets(df: DataFrame, words: int, columns: str, make) -> DataFrame:
+    """The columns of ``df`` but ``text``, and those that ``make`` derives from a
+    list of token sets. Texts are taken ``TEXTS`` at a time, so a worker holds the
+    sets of so many texts only, however many rows Spark hands over at once."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                made = make([S.shingle_set(t, words) for t in part.column("text").to_pylist()])
+                kept = {c: part.column(c) for c in part.schema.names if c != "text"}
+                yield pa.RecordBatch.from_pydict({**kept, **made})
+
+    carried = T.StructType([f for f in df.schema.fields if f.name != "text"])
+    return df.mapInArrow(run, T.StructType(carried.fields + T.StructType.fromDDL(columns).fields))
 
 
-def _set_udf(words: int):
-    @F.pandas_udf("cls binary, tokens array<long>")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        sets = [S.shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"cls": [S.set_digest(s) if len(s) else None for s in sets], "tokens": [s.view(np.int64) for s in sets]})
-    return whole
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([S.set_digest(s) if len(s) else None for s in sets], pa.binary())
 
 
-def _overlap_udf():
-    """Sizes of the intersections of two columns of sets."""
-    @F.pandas_udf("long")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(x) + len(y) - len(np.unique(np.concatenate([x, y]))) for x, y in zip(a, b)], dtype="int64")
-    return overlap
+def _class_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Class digest, number of tokens, runs, the tokens of the two bands (empty
+    where a set has no part in one), and how many of the large band's are below
+    the cut."""
+    none = np.empty(0, np.uint64)
+
+    def make(sets):
+        small, large, low = [], [], []
+        for s in sets:
+            n = len(s)
+            small.append(s if n <= _ceil_div(SMALL * 100, percent) else none)
+            low.append(int(np.searchsorted(s, _CUT)))
+            most = n - _ceil_div(n * percent, 100) + 1  # places of a query
+            large.append(s[:max(low[-1], most)] if n > SMALL else none)
+        return {"cls": _digests(sets), "n": pa.array([len(s) for s in sets], pa.int64()), "runs": _lists([_runs(s) if len(s) else none for s in sets]),
+                "small": _lists(small), "large": _lists(large), "low": pa.array(low, pa.int64())}
+
+    return _with_sets(docs, words, "cls binary, n long, runs array<long>, small array<long>, large array<long>, low long", make)
 
 
 def _up(a: Column, b: int) -> Column:
@@ -125,16 +136,16 @@ def _whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     from one text of each of these classes."""
     heads = materialize(wanted.distinct().join(classes.select("k", "cls", "head"), "k"))
     texts = docs.join(heads.select("k", F.col("cls").alias("want"), F.col("head").alias("id0")), F.col("id").eqNullSafe(F.col("id0")))
-    # not deterministic, as far as the optimizer knows: no condition on the result moves below the join
-    made = texts.select("k", "want", _set_udf(words).asNondeterministic()("text").alias("s")).filter(F.col("want") == F.col("s.cls"))
-    return materialize(made.select("k", F.col("s.tokens").alias("tokens")).dropDuplicates(["k"]))
+    made = _with_sets(texts.select("k", "want", "text"), words, "cls binary, tokens array<long>",
+                      lambda sets: {"cls": _digests(sets), "tokens": _lists(sets)})
+    return materialize(made.filter(F.col("want") == F.col("cls")).select("k", "tokens").dropDuplicates(["k"]))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs with ``size``, the tokens of both sets, and ``common``."""
     one, two = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select(*pairs.columns, (F.size("ta") + F.size("tb")).alias("size"),
-                                                      _overlap_udf()("ta", "tb").alias("common"))
+                                                      F.size(F.array_intersect("ta", "tb")).alias("common"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -224,7 +235,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives no rows. Texts of any length count whole. Other columns
     are ignored."""
     docs = df.select(R.quoted(id_col).alias("id"), R.quoted(text_col).cast("string").alias("text"))
-    base = materialize(docs.select("id", _tokens_udf(words, percent)("text").alias("s")).select("id", "s.*"))
+    base = materialize(_class_tokens(docs, words, percent))
     members = base.select("id", "cls", "n")
     classes = materialize(base.filter("n > 0").groupBy("cls").agg(
         F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "runs", "small", "large", "low")])
@@ -233,8 +244,8 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = connected_components(links)
     sets = materialize(classes.select("k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left")
                        .select("k", "n", F.coalesce("root", "k").alias("g")))
-    small = classes.filter("small IS NOT NULL").select("k", F.col("small").alias("tokens"), F.col("n").alias("low"))
-    large = classes.filter("large IS NOT NULL").select("k", F.col("large").alias("tokens"), "low")
+    small = classes.filter("size(small) > 0").select("k", F.col("small").alias("tokens"), F.col("n").alias("low"))
+    large = classes.filter("size(large) > 0").select("k", F.col("large").alias("tokens"), "low")
     found, _ = _across(sets, small, percent)
     more, again = _across(sets, large, percent, cut=True)
     whole = _whole_sets(again, classes, docs, words).withColumn("low", F.size("tokens").cast("long"))
