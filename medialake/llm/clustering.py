@@ -24,13 +24,14 @@ from medialake.session import materialize
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int, scale: int) -> DataFrame:
-    """(id, v): the vectors of exactly ``dims`` finite components, scaled to
-    whole numbers. A NULL vector, component or another length drops the row."""
+    """(id, v, vv): the vectors of exactly ``dims`` finite components, scaled to
+    whole numbers, and their squared lengths. A NULL vector, component or another length drops the row."""
     x = R.quoted(vec_col)
     finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))), F.lit(False)))
     kept = df.select(R.quoted(id_col).alias("id"), x.alias("x")).filter(
         F.coalesce(F.size(x) == dims, F.lit(False)) & F.coalesce(finite, F.lit(False)))
-    return kept.select("id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+    whole = kept.select("id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+    return whole.select("id", "v", F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c).alias("vv"))
 
 
 def _literal(values: Sequence[int]) -> Column:
@@ -38,9 +39,10 @@ def _literal(values: Sequence[int]) -> Column:
 
 
 def _nearest(v: Column, centroids: Sequence[Sequence[int]]) -> Column:
-    """Struct (distance, cluster) of the nearest centroid."""
+    """Struct (distance, cluster) of the nearest centroid: |v|^2 + |c|^2 - v . 2c."""
     def squared(c: Sequence[int]) -> Column:
-        return F.aggregate(F.zip_with(v, _literal(c), lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, d: s + d)
+        start = F.col("vv") + F.lit(sum(x * x for x in c)).cast("long")
+        return F.aggregate(F.zip_with(v, _literal([2 * x for x in c]), lambda a, b: a * b), start, lambda s, d: s - d)
 
     return F.array_min(F.array(*[F.struct(squared(c).alias("distance"), F.lit(i).alias("cluster"))
                                  for i, c in enumerate(centroids)]))

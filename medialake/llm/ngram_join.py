@@ -8,8 +8,8 @@ with equal token sets form a class; the work is on classes.
    centre of each of its runs' lists, the class whose runs are most common. Real
    links with centres, closed by connected components, are the groups. A list of
    any length costs one pair per member, never all its pairs.
-2. Matrix. The distinct (token, group) rows are the token unions of the groups,
-   with the groups' smallest and largest members.
+2. Matrix. The distinct (token, group) rows are the token unions of the groups;
+   those of groups that a query meets are stored.
 3. Bound. A class q and a member m with at most as many tokens need
    ``need = p (|q| + |m|) / (100 + p)`` common tokens. Tokens are ordered by the
    number of classes that have them, rarest first, then by hash. Then the first
@@ -21,12 +21,17 @@ with equal token sets form a class; the work is on classes.
    that leave enough common tokens behind them, are compared on whole sets.
 
 This loses no link between different groups, whatever the groups are; links
-inside a group change no component. Large sets enter steps 2 to 4 with those
-tokens whose hash is below a fixed fraction (at least as many as the places
-above need): an order that puts these first is as good as any other, and all
-counts are bounds on them. Two bands of sizes overlap by one whole similarity
-range, so each pair that can be linked lies in one of them: sets up to
-``SMALL`` tokens with all tokens, larger ones with the fraction ``1 / PART``.
+inside a group change no component.
+
+Sets of more than ``SMALL`` tokens, most of a corpus, are thinned first: they
+enter with the tokens whose hash is below a fixed fraction (at least as many as
+the places above need), in an order that puts these first, which is as good as
+any other. Those that have none of their first tokens in common with another
+group have no link to one. The rest, and all small sets, go through steps 2 to 4
+with all tokens: edited copies of one text share most tokens, but each has
+enough of its own to keep the shared ones out of its first places. Two bands of
+sizes overlap by one whole similarity range, so each pair that can be linked is
+thinned as a pair or not at all.
 
 All intermediate tables are stored under the shared checkpoint folder. Joins on
 tokens, the possibly hot keys, are between stored tables, which lets adaptive
@@ -48,8 +53,6 @@ from medialake.session import materialize
 
 #: Smallest tokens whose runs make groups, and the length of a run.
 LOWEST, RUN = 10, 3
-#: Groups in a list of a large set's token before all tokens of its classes are used.
-LIST = 16
 #: Texts whose sets a worker holds at once.
 TEXTS = 256
 #: Sets up to this size take part with all tokens, larger ones with 1 / PART of the hash range.
@@ -141,17 +144,11 @@ def _whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     return materialize(made.filter(F.col("want") == F.col("cls")).select("k", "tokens").dropDuplicates(["k"]))
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with ``size``, the tokens of both sets, and ``common``."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class numbers whose whole sets reach the threshold, stored."""
     one, two = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, (F.size("ta") + F.size("tb")).alias("size"),
+    done = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("size"),
                                                       F.size(F.array_intersect("ta", "tb")).alias("common"))
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class numbers whose whole sets reach the threshold, stored."""
-    sets = _whole_sets(pairs.select(F.col("a").alias("k")).union(pairs.select("b")), classes, docs, words)
-    done = _overlaps(pairs, sets)
     return materialize(done.filter(F.col("common") * 100 >= (F.col("size") - F.col("common")) * percent).select("a", "b"))
 
 
@@ -168,59 +165,68 @@ def _to_centres(classes: DataFrame, percent: int) -> DataFrame:
     return materialize(near.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct())
 
 
-def _placed_tokens(sets: DataFrame, band: DataFrame, cut: bool) -> DataFrame:
-    """(q, g, n, size, t, place): the tokens of a band (k, tokens, low) that
-    another class has too, with their place in the class's order; ``size`` is the
-    number of tokens the class takes part with. Tokens of one class only come
-    first and are just counted. Tokens above the cut come last, by hash: they
-    matter only where a set has too few below it, and shares none of these."""
+def _placed_tokens(sets: DataFrame, band: DataFrame, cut: bool = False) -> DataFrame:
+    """(q, g, n, t, place): the tokens of a band (k, tokens, low) that another
+    class has too, with their place in the class's order. Tokens of one class
+    only come first and are just counted. Tokens above the cut come last, by
+    hash: they matter only where a set has too few below it, and shares none of
+    these."""
     t = F.col("t")
     first = (t >= 0) & (t < F.lit(int(_CUT))) if cut else F.lit(True)
     one = band.select("k", F.explode("tokens").alias("t"))
     often = materialize(one.groupBy("t").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
-    about = sets.join(band.select("k", F.size("tokens").alias("size"), "low"), "k")
+    about = sets.join(band.select("k", "low"), "k")
     mine = Window.partitionBy("k")
     order = mine.orderBy((~first).alias("late"), F.when(first, F.col("often")).otherwise(0), "t")
     place = F.col("low") - F.count_if(first).over(mine) + F.row_number().over(order)
     shared = materialize(one.join(often, "t")).join(about, "k")
-    return materialize(shared.select(F.col("k").alias("q"), "g", "n", "size", "t", place.alias("place")))
+    return materialize(shared.select(F.col("k").alias("q"), "g", "n", "t", place.alias("place")))
 
 
-def _across(sets: DataFrame, band: DataFrame, percent: int, cut: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of classes of different groups that may be linked, in one band. With
-    ``cut``, also the classes that meet in long lists, as such: their pairs are
-    to be sought with all tokens."""
-    tokens = _placed_tokens(sets, band, cut)
+def _first_tokens(tokens: DataFrame, percent: int) -> DataFrame:
+    """The tokens among the first of a class as a query, with ``indexed``: also
+    among the first as a member."""
+    n, place = F.col("n"), F.col("place")
+    return tokens.filter(place <= n - _up(n * percent, 100) + 1).withColumn("indexed", place <= n - _need(n, n, percent) + 1)
+
+
+def _may_meet(sets: DataFrame, band: DataFrame, percent: int) -> DataFrame:
+    """(k): the large classes that have one of their first tokens in common with
+    another group, as far as the tokens below the cut tell. All others have no
+    link to another group."""
+    first = _first_tokens(_placed_tokens(sets, band, cut=True), percent)
+    met = materialize(first.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("indexed").alias("any"))
+                      .filter("lo <> hi AND any").select("t"))
+    return materialize(first.join(met, "t").select(F.col("q").alias("k")).distinct())
+
+
+def _across(sets: DataFrame, band: DataFrame, percent: int) -> DataFrame:
+    """Pairs of linked classes of different groups, stored. ``band``: (k, tokens,
+    low) with all tokens of every class that may have such a link."""
+    tokens = _placed_tokens(sets, band)
     n, place = F.col("n"), F.col("place")
     least = _up(n * percent, 100)  # tokens of the smallest partner, and common ones with it
-    probe = tokens.filter(place <= n - least + 1).select("t", "q", "g", "n", "place")
-    index = tokens.filter(place <= n - _need(n, n, percent) + 1)
+    first = _first_tokens(tokens, percent)
+    index = first.filter("indexed")
     # the groups that have a token among the first of some member
     listed = materialize(index.groupBy("t", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    again = None
-    if cut:
-        long = materialize(listed.groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST).select("t"))
-        again = materialize(probe.join(long, "t", "left_semi").select(F.col("q").alias("k")).distinct())
-        listed = materialize(listed.join(long, "t", "left_anti"))
-    met = probe.join(listed, "t").filter((F.col("g") != F.col("h")) & (F.col("low") <= n) & (F.col("high") >= least))
-    met = materialize(met.select("q", "h").distinct())
-
-    matrix = materialize(tokens.select(F.col("g").alias("h"), "t").distinct())
-    smallest = sets.join(band.select("k"), "k", "left_semi").groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low"))
-    both = met.join(tokens.select("q", "n", "size", "t"), "q").join(matrix, ["h", "t"])
-    found = both.groupBy("q", "h").agg(F.count(F.lit(1)).alias("found"), F.min("n").alias("n"), F.min("size").alias("size"))
-    may_miss = n - _need(n, F.greatest("low", least), percent)
-    opened = materialize(found.join(smallest, "h").filter(F.col("size") - F.col("found") <= may_miss).select("q", "h"))
-
-    asked = opened.join(probe.drop("g"), "q")
+    met = first.join(listed, "t").filter((F.col("g") != F.col("h")) & (F.col("low") <= n) & (F.col("high") >= least))
+    met = materialize(met.select("q", "h", "n").distinct())
+
+    matrix = materialize(tokens.select(F.col("g").alias("h"), "t").join(met.select("h").distinct(), "h", "left_semi").distinct())
+    smallest = materialize(index.groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low")))
+    both = met.select("q", "h").join(tokens.select("q", "t"), "q").join(matrix, ["h", "t"])
+    found = materialize(both.groupBy("q", "h").agg(F.count(F.lit(1)).alias("found")).join(met, ["q", "h"]))
+    opened = materialize(found.join(smallest, "h").filter(
+        F.col("found") >= _need(n, F.greatest("low", least), percent)).select("q", "h"))
+
+    asked = opened.join(first.drop("g", "indexed"), "q")
     members = index.select("t", F.col("g").alias("h"), F.col("q").alias("m"), F.col("n").alias("nm"), F.col("place").alias("place_m"))
     need = _need(n, F.col("nm"), percent)
     pairs = asked.join(members, ["h", "t"]).filter(
         (F.col("nm") <= n) & (F.col("nm") >= least) & (place <= n - need + 1) & (F.col("place_m") <= F.col("nm") - need + 1))
-    pairs = materialize(pairs.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b"), (n + F.col("nm")).alias("total")).distinct())
-    # tokens of one of them only: no more in the band than in the whole sets
-    apart = F.col("total") - 2 * _up(F.col("total") * percent, 100 + percent)
-    return materialize(_overlaps(pairs, band).filter(F.col("size") - 2 * F.col("common") <= apart).select("a", "b")), again
+    pairs = materialize(pairs.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct())
+    return _linked(pairs, band, percent)
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -240,17 +246,15 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialize(base.filter("n > 0").groupBy("cls").agg(
         F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "runs", "small", "large", "low")])
         .withColumn("k", F.monotonically_increasing_id()))
-    links = _linked(_to_centres(classes, percent), classes, docs, words, percent)
+    near = _to_centres(classes, percent)
+    links = _linked(near, _whole_sets(near.select(F.col("a").alias("k")).union(near.select("b")), classes, docs, words), percent)
     roots = connected_components(links)
     sets = materialize(classes.select("k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left")
                        .select("k", "n", F.coalesce("root", "k").alias("g")))
     small = classes.filter("size(small) > 0").select("k", F.col("small").alias("tokens"), F.col("n").alias("low"))
     large = classes.filter("size(large) > 0").select("k", F.col("large").alias("tokens"), "low")
-    found, _ = _across(sets, small, percent)
-    more, again = _across(sets, large, percent, cut=True)
-    whole = _whole_sets(again, classes, docs, words).withColumn("low", F.size("tokens").cast("long"))
-    found = found.union(more).union(_across(sets, whole, percent)[0])
-    late = _linked(materialize(found.distinct()), classes, docs, words, percent)
+    whole = _whole_sets(_may_meet(sets, large, percent).join(small, "k", "left_anti"), classes, docs, words)
+    late = _across(sets, small.union(whole.select("k", "tokens", F.size("tokens").cast("long"))), percent)
     if not late.isEmpty():
         roots = connected_components(links.union(late))
 
