@@ -53,6 +53,8 @@ from medialake.session import materialize
 
 #: Smallest tokens whose runs make groups, and the length of a run.
 LOWEST, RUN = 10, 3
+#: Bytes of a list of classes that is sent to all tasks.
+SENT = 1 << 25
 #: Texts whose sets a worker holds at once.
 TEXTS = 256
 #: Sets up to this size take part with all tokens, larger ones with 1 / PART of the hash range.
@@ -136,9 +138,12 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 def _whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(k, tokens) of the classes ``wanted`` (k), stored. The sets are made again,
-    from one text of each of these classes."""
-    heads = materialize(wanted.distinct().join(classes.select("k", "cls", "head"), "k"))
-    texts = docs.join(heads.select("k", F.col("cls").alias("want"), F.col("head").alias("id0")), F.col("id").eqNullSafe(F.col("id0")))
+    from one text of each of these classes; the texts are not shuffled if the
+    list of classes is small enough to be sent to them."""
+    heads = materialize(wanted.distinct().join(classes.select("k", "cls", "head"), "k")
+                        .select("k", F.col("cls").alias("want"), F.col("head").alias("id0")))
+    held = heads.agg((F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.length(F.col("id0").cast("string"))), F.lit(0))).alias("b")).first()["b"]
+    texts = docs.join(F.broadcast(heads) if held <= SENT else heads, F.col("id").eqNullSafe(F.col("id0")))
     made = _with_sets(texts.select("k", "want", "text"), words, "cls binary, tokens array<long>",
                       lambda sets: {"cls": _digests(sets), "tokens": _lists(sets)})
     return materialize(made.filter(F.col("want") == F.col("cls")).select("k", "tokens").dropDuplicates(["k"]))
