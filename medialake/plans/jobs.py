@@ -171,14 +171,16 @@ def run_organize_multi(spark: SparkSession, lst: DataFrame, targets: Sequence[or
 
 
 def run_rebuild(spark: SparkSession, roots: Sequence[str], catalog_root: str, extractor=None,
-                tag_records: Optional[DataFrame] = None, keep_versions: int = 2) -> int:
-    """Full catalog rebuild (M5): scan + conform + new snapshot, no merge;
-    older versions are pruned."""
+                tag_records: Optional[DataFrame] = None) -> str:
+    """Full catalog rebuild (M5): scan + conform + a new folder in the place of
+    all others, no merge; what an earlier rebuild replaced is deleted. Returns
+    the folder's name."""
+    began = catalog.begin(spark, catalog_root)
     lst = listing.scan_listing(spark, roots)
     media, _ = media_from_listing(lst, extractor, tag_records)
-    n = catalog.write_catalog(conform.split_kinds(materialize(media)), catalog_root)
-    catalog.prune_versions(spark, catalog_root, keep_versions)
-    return n
+    name = catalog.write_catalog(conform.split_kinds(materialize(media)), catalog_root, began)
+    catalog.prune_catalog(spark, catalog_root)
+    return name
 
 
 def dashboard_tables(images: DataFrame, videos: DataFrame, others: DataFrame, month_range=None,

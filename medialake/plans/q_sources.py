@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from medialake import schemas
@@ -105,6 +107,37 @@ def read_tags(spark, sf_dir):
     return tags.read_tags(spark, path, multi_line=False).select(*fixture.RAW_TAG_NAMES.values())
 
 
+def written_arrays(spark, sf_dir) -> str:
+    """The fixture's tag records as JSON arrays, a file per task, objects over
+    several lines; returns their folder."""
+    root = scratch_path(spark, "tag-arrays")
+
+    def write(batches):
+        def pieces():
+            between = "["
+            for pdf in batches:
+                for text in pdf["json"]:
+                    yield f"{between}{text}".encode()
+                    between = ",\n  "
+            yield b"[]" if between == "[" else b"]\n"
+
+        files.write_pieces(f"{root}/tags-{uuid.uuid4().hex}.json", pieces())
+        yield pd.DataFrame({"json": []}, dtype=str)
+
+    rows = fixture.raw_tags(spark, sf_dir).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(write, "json string").write.format("noop").mode(
+        "overwrite").save()
+    return root
+
+
+@query("read_tag_arrays", with_raw("SELECT " + ", ".join(f'{c} AS "{t}"' for c, t in fixture.RAW_TAG_NAMES.items()) + """
+FROM media_raw WHERE source_file IS NOT NULL AND source_file <> ''
+"""))
+def read_tag_arrays(spark, sf_dir):
+    """Tag records written as JSON arrays and read back by byte ranges."""
+    return tags.read_tags(spark, written_arrays(spark, sf_dir), range_bytes=1 << 18).select(*fixture.RAW_TAG_NAMES.values())
+
+
 @query("link_column", with_media("SELECT full_path, 'file:///' || full_path AS link FROM media"))
 def link_column(spark, sf_dir):
     return export.with_link(common.media(spark, sf_dir)).select("full_path", "link")

@@ -41,7 +41,7 @@ NAMES = ["in/_MG_1.jpg", "in/a/b.jpg", "in/a/bare.jpg", "in/c.mp4", "in/n.txt"]
 
 def test_rebuild_extracts_each_file_once(spark, tmp):
     root, log, cat = tree(tmp, NAMES), os.path.join(tmp, "log"), os.path.join(tmp, "cat")
-    assert jobs.run_rebuild(spark, [root], cat, extractor=counting(log)) == 1
+    assert [jobs.run_rebuild(spark, [root], cat, extractor=counting(log))] == catalog.imports(spark, cat)
     assert asked(log) == ["_MG_1.jpg", "b.jpg", "bare.jpg", "c.mp4"]
     got = {k: sorted(os.path.basename(r["full_path"]) for r in v.collect()) for k, v in catalog.read_catalog(spark, cat).items()}
     assert got == {"image": ["_MG_1.jpg", "b.jpg"], "video": ["c.mp4"], "other": ["n.txt"]}
