@@ -22,10 +22,10 @@ wants it first: ``v``'s first file, or the file of ``u`` that gets that far.
    ``q`` = the number of ``u``'s files that come before ``v``'s first.
 2. With ``s`` blocked indices below ``k``, the file of ``u`` that wants ``k``
    has rank ``k - s``: ``u`` takes the name if ``k - s < q``, else it is blocked
-   for ``u``. This is decided in ascending ``k`` by a pass over the contested
-   names alone (never over files), whose state is the count ``s``. Whether
-   ``u``'s own index 0 was taken is known from its parent, so the pass runs
-   once per nesting level of contested names.
+   for ``u``. This is decided in ascending ``k`` over the contested names alone
+   (never over files), in stretches whose only state is the count ``s`` carried
+   from one to the next (``_decide``). Whether ``u``'s own index 0 was taken is
+   known from its parent, so this runs once per nesting level of contested names.
 3. The file of rank ``r`` gets the ``r``-th index that is not blocked: ``r``
    plus the number of blocked indices ``b_j`` with ``b_j - j <= r``, one more
    running sum over the stems that have any.
@@ -36,6 +36,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Optional, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,27 +182,76 @@ def _blocked_by_existing(existing: DataFrame, stems: DataFrame) -> DataFrame:
     return own.unionByName(kid).distinct().join(stems.select(*STEM), STEM, "left_semi")
 
 
-def _decide(level: DataFrame) -> DataFrame:
-    """The contested names of one nesting level, with ``_took``: whether the
-    parent stem takes the name. Rows of a stem stay together in ascending
-    index; the only state is the number of indices blocked so far."""
-    spread = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = level.select(*STEM, "_k", "_free", "_q", "_lost").repartition(spread, *STEM).sortWithinPartitions(*STEM, "_k")
+def _walk(cut: DataFrame, carried: dict[int, int], summary: bool) -> DataFrame:
+    """Walk the stretches of ``cut`` in order. ``carried``: names blocked before a
+    stretch that goes on with the stem of the one before. Gives each contested
+    name's decision, or with ``summary`` a row per stretch: its first and last
+    stem, and the names newly blocked in each."""
+    spread = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut.repartition(spread, "_part").sortWithinPartitions("_part", "_nth")
 
     def walk(batches):
-        stem, blocked = None, 0
+        part = stem = None
+        blocked = start = 0
+        ends: list = []  # of the stretch at hand: first stem, its blocked names, last stem, its start and blocked names
         for pdf in batches:
-            took = []
-            for d, e, s, free, q, lost in zip(pdf["_dir"], pdf["_ext"], pdf["_stem"], pdf["_free"], pdf["_q"], pdf["_lost"]):
-                if (d, e, s) != stem:
-                    stem, blocked = (d, e, s), int(lost)
-                took.append(free - blocked < q)
-                blocked += not took[-1]
-            yield pdf[[*STEM, "_k"]].assign(_took=took)
-
+            took, done = [], []
+            for p, nth, d, e, s, free, q, lost in zip(*[pdf[c] for c in ("_part", "_nth", *STEM, "_free", "_q", "_lost")]):
+                if p != part or (d, e, s) != stem:
+                    if p != part:
+                        if ends:
+                            done.append((part, *ends))
+                        blocked = start = carried.get(p, int(lost))
+                        ends = [[d, e, s], 0, [d, e, s], int(lost), 0]
+                    else:
+                        blocked = start = int(lost)
+                        ends[2:] = [[d, e, s], int(lost), 0]
+                    part, stem = p, (d, e, s)
+                takes = free - blocked < q
+                blocked += not takes
+                took.append(takes)
+                ends[4] = blocked - start
+                if ends[0] == ends[2]:
+                    ends[1] = blocked - start
+            if summary:
+                yield pd.DataFrame(done, columns=["part", "lo", "lo_new", "hi", "hi_lost", "hi_new"])
+            else:
+                yield pdf[[*STEM, "_k"]].assign(_took=took)
+        if summary and ends:
+            yield pd.DataFrame([(part, *ends)], columns=["part", "lo", "lo_new", "hi", "hi_lost", "hi_new"])
+
+    if summary:
+        return rows.mapInPandas(walk, "part int, lo array<string>, lo_new bigint, hi array<string>, hi_lost bigint, hi_new bigint")
     return rows.mapInPandas(walk, "_dir string, _ext string, _stem string, _k bigint, _took boolean")
 
 
+def _decide(level: DataFrame) -> DataFrame:
+    """The contested names of one nesting level, with ``_took``: whether the
+    parent stem takes the name. In ascending index, a stem's only state is the
+    number of names blocked so far.
+
+    Names are cut into stretches of (stem, index), so a stem with any number of
+    them is spread over tasks. What a stretch blocks depends on the number
+    carried into it, and only for its first stem. All stretches are walked with
+    the numbers known so far, the sums of what they block give the numbers
+    anew, until none changes: each round settles at least one more stretch, and
+    all of them where what a stretch blocks does not change any more."""
+    cut = materialize(level.select(*STEM, "_k", "_free", "_q", "_lost").repartitionByRange(*STEM, "_k").sortWithinPartitions(*STEM, "_k")
+                      .withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}))
+    carried: dict[int, int] = {}
+    while True:
+        after, last, blocked = {}, None, 0
+        for r in sorted(_walk(cut, carried, True).collect(), key=lambda r: r["part"]):  # one row per stretch
+            start = r["hi_lost"]
+            if r["lo"] == last:
+                after[r["part"]] = start = blocked
+            one_stem = r["lo"] == r["hi"]
+            last, blocked = r["hi"], (start + r["lo_new"]) if one_stem else (r["hi_lost"] + r["hi_new"])
+        if after == carried:
+            return _walk(cut, carried, False)
+        carried = after
+
+
 def _contest(contested: DataFrame) -> DataFrame:
     """All contested names with ``_took``, level by level: a stem whose own
     name is contested waits for its parent's decision."""

@@ -234,3 +234,41 @@ def random_deep_case(seed):
 def test_rename_nested_stems_equals_sequential(spark, seed):
     files, existing = random_deep_case(200 + seed)
     assert run(spark, files, existing, "rename") == sequential(files, existing, "rename")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decide_one_stem_over_many_stretches(spark, seed):
+    """A folder with very many contested names of one stem: the same decisions as
+    one walk in order, with the names spread evenly over tasks."""
+    rnd = random.Random(seed)
+    rows = []
+    for stem, n in (("IMG", 4000), ("a", 3), ("z", 700)):
+        lost = rnd.randint(0, 1)
+        for k in range(1, n + 1):
+            q = [0, rnd.randint(0, k), k // 2 + rnd.randint(-40, 40), n][seed]
+            rows.append(("/d", ".jpg", stem, k, k - rnd.randint(0, 1), q, lost))
+    want, state = {}, {}
+    for d, e, s, k, free, q, lost in rows:
+        blocked = state.get(s, lost)
+        want[s, k] = free - blocked < q
+        state[s] = blocked + (not want[s, k])
+    rnd.shuffle(rows)
+    level = spark.createDataFrame(rows, "_dir string, _ext string, _stem string, _k bigint, _free bigint, _q bigint, _lost int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = organize._decide(level)
+        got = {(r["_stem"], r["_k"]): r["_took"] for r in done.collect()}
+        sizes = sorted(r["count"] for r in level.repartitionByRange(*organize.STEM, "_k").groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    assert len(sizes) >= 7 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_rename_a_million_style_folder(spark):
+    """Files named IMG beside files named IMG_k for many k, in mixed order."""
+    rnd = random.Random(5)
+    names = ["IMG.jpg"] * 300 + [f"IMG_{k}.jpg" for k in range(1, 400)] * 2
+    rnd.shuffle(names)
+    files = [(i, "/o/x", n) for i, n in enumerate(names)]
+    assert run(spark, files, {"/o/x/IMG_7.jpg"}, "rename") == sequential(files, {"/o/x/IMG_7.jpg"}, "rename")
