@@ -44,9 +44,9 @@ from pyspark.sql import types as T
 from medialake import schemas
 from medialake.functions import dates, numbers, paths
 from medialake.functions.text import sanitize_folder_name
+from medialake.operators import copying
 from medialake.operators.ranking import rank_within, running_sum
 from medialake.session import materialize
-from medialake.sources import files
 
 # Folder names of the layout.
 NO_INFO = "No Info"
@@ -450,22 +450,20 @@ def organize_multi(df: DataFrame, targets: Sequence[Target], path_col: str = "fu
     return out.drop("_rid")
 
 
-def apply_plan(manifest: DataFrame, source_col: str = "full_path", keep: Sequence[str] = ()) -> DataFrame:
+def apply_plan(manifest: DataFrame, source_col: str = "full_path", keep: Sequence[str] = (),
+               size_col: Optional[str] = None) -> DataFrame:
     """Copy every ``copied`` row to its destination (O8), as a distributed
     action: (``keep`` columns, src, dst, status) with status ``copied`` or
-    ``error``; one failure does not stop the others.
+    ``error``; one failure does not stop the others. ``size_col`` names the
+    files' lengths, by which they are dealt to tasks (``copying``).
 
     A file is never replaced (``files.copy_new``): where the destination holds
     the same content, an earlier attempt has copied it; where it holds anything
     else, the row is an ``error`` and both files stay as they are."""
-    def copy_batches(it):
-        for pdf in it:
-            yield pdf.assign(status=[files.copy_new(s, d) for s, d in zip(pdf["src"], pdf["dst"])])
-
-    todo = manifest.where(F.col("status") == "copied").select(*keep, F.col(source_col).alias("src"),
-                                                              F.col("destination").alias("dst"))
-    schema = T.StructType([*todo.schema.fields, T.StructField("status", T.StringType())])
-    return todo.mapInPandas(copy_batches, schema)
+    size = F.col(size_col) if size_col else F.lit(None)
+    todo = manifest.where(F.col("status") == "copied").select(
+        *keep, F.col(source_col).alias("src"), F.col("destination").alias("dst"), size.cast("bigint").alias("length"))
+    return copying.copy_files(todo, keep)
 
 
 def copy_listed(listing: DataFrame, target_dir: str, path_col: str = "path") -> DataFrame:
@@ -475,9 +473,10 @@ def copy_listed(listing: DataFrame, target_dir: str, path_col: str = "path") ->
     files whose copy fails, are reported as ``skipped`` and ``error``."""
     p = F.col(path_col)
     dest = F.concat(F.lit(target_dir.rstrip("/") + "/"), paths.basename(p))
-    rows = materialize(listing.select(p.alias("full_path"), dest.alias("destination"))
+    size = F.col("length") if "length" in listing.columns else F.lit(None).cast("bigint")
+    rows = materialize(listing.select(p.alias("full_path"), dest.alias("destination"), size.alias("length"))
                        .withColumn("_rid", F.monotonically_increasing_id()))
     plan = resolve_skip(rows, None, ["full_path"])
-    done = apply_plan(plan).select(F.col("src").alias("path"), F.col("dst").alias("destination"), "status")
+    done = apply_plan(plan, size_col="length").select(F.col("src").alias("path"), F.col("dst").alias("destination"), "status")
     rest = plan.where(F.col("status") == "skipped").select(F.col("full_path").alias("path"), "destination", "status")
     return done.unionByName(rest)

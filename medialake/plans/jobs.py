@@ -108,7 +108,7 @@ def _copied(manifest: DataFrame) -> DataFrame:
     ``error``. The statuses come back by the stored row number, so a file that
     is listed twice keeps two rows."""
     manifest = materialize(manifest.withColumn("row_no", F.monotonically_increasing_id()))
-    status = materialize(organize.apply_plan(manifest, source_col="path", keep=["row_no"]))
+    status = materialize(organize.apply_plan(manifest, source_col="path", keep=["row_no"], size_col="length"))
     failed = status.where(F.col("status") == "error").select("row_no", F.lit(True).alias("_err"))
     return materialize(manifest.join(failed, "row_no", "left").withColumn(
         "status", F.when(F.col("_err"), F.lit("error")).otherwise(F.col("status"))).drop("_err", "row_no"))
@@ -176,7 +176,9 @@ def run_rebuild(spark: SparkSession, roots: Sequence[str], catalog_root: str, ex
     all others, no merge; what an earlier rebuild replaced is deleted. Returns
     the folder's name."""
     began = catalog.begin(spark, catalog_root)
-    lst = listing.scan_listing(spark, roots)
+    lst, unread = listing.scan_tree(spark, roots)
+    if not unread.isEmpty():
+        log.warning("%d folders or files could not be read", unread.count())
     media, _ = media_from_listing(lst, extractor, tag_records)
     name = catalog.write_catalog(conform.split_kinds(materialize(media)), catalog_root, began)
     catalog.prune_catalog(spark, catalog_root)

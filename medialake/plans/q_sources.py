@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from medialake import schemas
-from medialake.operators import conform
+from medialake.operators import conform, copying, organize
 from medialake.plans import common
 from medialake.plans.registry import query
 from medialake.session import scratch_path
@@ -55,6 +55,36 @@ def scan_listing(spark, sf_dir):
     return found.select(F.substr(F.col("path"), F.lit(len(plain) + 1)).alias("path"), "kind", "length")
 
 
+@query("copy_listed", with_raw("""
+SELECT path, CASE WHEN row_number() OVER (PARTITION BY regexp_extract(path, '[^/]*$', 0) ORDER BY path) = 1
+                  THEN 'copied' ELSE 'skipped' END AS status
+FROM (SELECT DISTINCT path FROM (""" + LISTING_SQL + """))
+"""))
+def copy_listed(spark, sf_dir):
+    """Every file of a folder tree copied into one folder, the first of a name."""
+    root = written_tree(spark, sf_dir)
+    plain = "/" + root.removeprefix("file:").lstrip("/")
+    done = organize.copy_listed(listing.scan_listing(spark, [root]), scratch_path(spark, "flat"))
+    return done.select(F.substr(F.col("path"), F.lit(len(plain) + 1)).alias("path"), "status")
+
+
+COPY_PART, COPY_TASK = 1 << 22, 1 << 26
+
+
+@query("copy_tasks", with_raw(f"""
+SELECT task, count(*) AS n_parts, sum(bytes)::BIGINT AS bytes FROM (
+  SELECT bytes, floor((sum(bytes + 65536) OVER (ORDER BY path, length, part ROWS UNBOUNDED PRECEDING) - bytes - 65536) / {COPY_TASK})::INT AS task
+  FROM (SELECT path, length, part, least({COPY_PART}, length - part * {COPY_PART}) AS bytes
+        FROM (SELECT path, length, unnest(range(0, greatest((length - 1) // {COPY_PART}, 0) + 1)) AS part FROM ({LISTING_SQL}))))
+GROUP BY task
+"""))
+def copy_tasks(spark, sf_dir):
+    """Parts and bytes of each task of a copy that is planned, not made."""
+    todo = fixture.media_listing(spark, sf_dir).select("path", "length", F.col("path").alias("src"), F.concat(F.lit("/out"), "path").alias("dst"))
+    parts = copying.copy_parts(todo, ["path", "length"], COPY_PART, COPY_TASK)
+    return parts.groupBy("task").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("bytes").alias("bytes"))
+
+
 @query("kind_split", with_raw(f"SELECT path, {KIND_SQL} AS kind FROM ({LISTING_SQL})"))
 def kind_split(spark, sf_dir):
     return listing.kind_split(fixture.media_listing(spark, sf_dir)).select("path", "kind")
