@@ -48,6 +48,12 @@ def format_shutter(exposure) -> Column:
     )
 
 
+def shown_exposure(exposure) -> Column:
+    """The seconds that :func:`format_shutter`'s text stands for."""
+    x = _c(exposure).cast("double")
+    return F.when((x != 0) & (x < 1), F.lit(1.0) / F.bround(F.lit(1.0) / x, 0)).otherwise(x)
+
+
 def parse_shutter(text, bad: str = "zero") -> Column:
     """Shutter text -> seconds.
 

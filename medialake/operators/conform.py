@@ -76,6 +76,7 @@ def conform_media(tags: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         return F.when(is_vid, c)
 
     duration = s["Duration"]
+    exposure = F.when(~F.isnan(s["ExposureTime"]), s["ExposureTime"])
     cols = [
         paths.stem(src).alias("name"),
         ft.alias("filetype"),
@@ -89,7 +90,7 @@ def conform_media(tags: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         img(numbers.to_float(s["FocalLength"])).alias("focal_length"),
         img(numbers.to_float(numbers.first_truthy(s["FNumber"], s["Aperture"], zero=0.0))).alias("aperture"),
         img(s["ISO"]).alias("iso"),
-        img(numbers.format_shutter(F.when(~F.isnan(s["ExposureTime"]), s["ExposureTime"]))).alias("shutter_speed"),
+        img(numbers.format_shutter(exposure)).alias("shutter_speed"),
         img(F.when(~F.isnan(s["GPSLatitude"]), s["GPSLatitude"])).alias("latitude"),
         img(F.when(~F.isnan(s["GPSLongitude"]), s["GPSLongitude"])).alias("longitude"),
         img(numbers.to_float(s["GPSAltitude"])).alias("altitude"),
@@ -103,12 +104,12 @@ def conform_media(tags: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         .alias("duration_ms"),
         vid(numbers.first_truthy(s["VideoCodecID"], s["CompressorID"], zero="")).alias("codec"),
         vid(F.when(~F.isnan(s["VideoFrameRate"]), s["VideoFrameRate"])).alias("frame_rate"),
+        img(numbers.shown_exposure(exposure)).alias("exposure_s"),
+        paths.normalize_path(src).alias("norm_key"),
     ]
-    shutter = F.col("shutter_speed")
-    return t.select(*cols, *carry).select(
-        *MEDIA_COLUMNS[:-2],
-        F.when(shutter != "", numbers.parse_shutter(shutter, bad="zero")).alias("exposure_s"),
-        paths.normalize_path(F.col("full_path")).alias("norm_key"), *carry)
+    # the path key's lambda keeps this projection out of whole-stage code, whose one method for all
+    # columns would be too large to be compiled; outside it, each expression is a small method
+    return t.select(*cols, *carry)
 
 
 def split_kinds(media: DataFrame, carry: Sequence[str] = ()) -> dict[str, DataFrame]:

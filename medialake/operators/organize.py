@@ -54,8 +54,8 @@ MEDIA_FOLDERS = {"image": "Photos", "video": "Videos"}
 STRUCTURE_FIELDS = ("Year", "Month", "Model", "Lens")
 # layout field -> column holding it (Spark names are case-insensitive: "Lens" would clash with "lens")
 FIELD_COLUMNS = {"Year": "lay_year", "Month": "lay_month", "Model": "lay_model", "Lens": "lay_lens"}
-# columns that name a stem: files of one stem compete for the same names
-STEM = ["_dir", "_ext", "_stem"]
+# a stem: 128-bit hash of folder, extension and stem; files of one stem compete for the same names
+STEM = ["_sid"]
 
 CHILD_RE = r"^(.*)_([1-9][0-9]*)$"
 
@@ -172,13 +172,19 @@ def _child_of(stem: Column) -> tuple[Column, Column]:
     return F.nullif(F.regexp_extract(stem, CHILD_RE, 1), F.lit("")), F.nullif(k, F.lit("")).try_cast("bigint")
 
 
+def _stem_id(folder: Column, ext: Column, stem: Column) -> Column:
+    """No name holds a NUL or, but for the folder's, a slash."""
+    return F.unhex(F.md5(F.concat_ws("\0", folder, ext, stem).cast("binary")))
+
+
 def _blocked_by_existing(existing: DataFrame, stems: DataFrame) -> DataFrame:
-    """(stem keys, _k) for indices of planned stems whose name exists."""
+    """(stem, _k) for indices of planned stems whose name exists."""
     p = F.col("path")
     ex = existing.select(paths.dirname(p).alias("_dir"), paths.stem(p).alias("_stem"), paths.extension(p).alias("_ext"))
     parent, k = _child_of(F.col("_stem"))
-    own = ex.select("_dir", "_ext", "_stem", F.lit(0).cast("bigint").alias("_k"))
-    kid = ex.select("_dir", "_ext", parent.alias("_stem"), k.alias("_k")).where("_stem IS NOT NULL AND _k IS NOT NULL")
+    own = ex.select(_stem_id(F.col("_dir"), F.col("_ext"), F.col("_stem")).alias("_sid"), F.lit(0).cast("bigint").alias("_k"))
+    kid = ex.select("_dir", "_ext", parent.alias("_stem"), k.alias("_k")).where("_stem IS NOT NULL AND _k IS NOT NULL").select(
+        _stem_id(F.col("_dir"), F.col("_ext"), F.col("_stem")).alias("_sid"), "_k")
     return own.unionByName(kid).distinct().join(stems.select(*STEM), STEM, "left_semi")
 
 
@@ -196,17 +202,17 @@ def _walk(cut: DataFrame, carried: dict[int, int], summary: bool) -> DataFrame:
         ends: list = []  # of the stretch at hand: first stem, its blocked names, last stem, its start and blocked names
         for pdf in batches:
             took, done = [], []
-            for p, nth, d, e, s, free, q, lost in zip(*[pdf[c] for c in ("_part", "_nth", *STEM, "_free", "_q", "_lost")]):
-                if p != part or (d, e, s) != stem:
+            for p, s, free, q, lost in zip(*[pdf[c] for c in ("_part", "_sid", "_free", "_q", "_lost")]):
+                if p != part or s != stem:
                     if p != part:
                         if ends:
                             done.append((part, *ends))
                         blocked = start = carried.get(p, int(lost))
-                        ends = [[d, e, s], 0, [d, e, s], int(lost), 0]
+                        ends = [s, 0, s, int(lost), 0]
                     else:
                         blocked = start = int(lost)
-                        ends[2:] = [[d, e, s], int(lost), 0]
-                    part, stem = p, (d, e, s)
+                        ends[2:] = [s, int(lost), 0]
+                    part, stem = p, s
                 takes = free - blocked < q
                 blocked += not takes
                 took.append(takes)
@@ -221,8 +227,8 @@ def _walk(cut: DataFrame, carried: dict[int, int], summary: bool) -> DataFrame:
             yield pd.DataFrame([(part, *ends)], columns=["part", "lo", "lo_new", "hi", "hi_lost", "hi_new"])
 
     if summary:
-        return rows.mapInPandas(walk, "part int, lo array<string>, lo_new bigint, hi array<string>, hi_lost bigint, hi_new bigint")
-    return rows.mapInPandas(walk, "_dir string, _ext string, _stem string, _k bigint, _took boolean")
+        return rows.mapInPandas(walk, "part int, lo binary, lo_new bigint, hi binary, hi_lost bigint, hi_new bigint")
+    return rows.mapInPandas(walk, "_sid binary, _k bigint, _took boolean")
 
 
 def _decide(level: DataFrame) -> DataFrame:
@@ -257,13 +263,13 @@ def _contest(contested: DataFrame) -> DataFrame:
     name is contested waits for its parent's decision."""
     done = None
     todo = contested
-    kid = [F.col("_dir"), F.col("_ext"), F.col("_kid").alias("_stem")]
+    kid = F.col("_kid").alias("_sid")
     while True:
-        waiting = todo.select(*kid)
+        waiting = todo.select(kid)
         level = todo.join(waiting, STEM, "left_anti")
         lost = F.lit(0)
         if done is not None:
-            taken = done.where("_took").select(*kid, F.lit(1).alias("_is_lost"))
+            taken = done.where("_took").select(kid, F.lit(1).alias("_is_lost"))
             level = level.join(taken, STEM, "left")
             lost = F.coalesce("_is_lost", F.lit(0))
         decided = _decide(level.withColumn("_lost", lost))
@@ -280,13 +286,16 @@ def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequen
     cols = plan.columns
     dest = F.col("destination")
     place = [*order, "_rid"]
-    files_ = plan.select("_rid", F.col("target_dir").alias("_dir"), paths.extension(dest).alias("_ext"),
-                         paths.stem(dest).alias("_stem"), *order)
-    stems = materialize(files_.groupBy(*STEM).agg(F.min(F.struct(*place)).alias("_first"), F.count("*").alias("_files")))
+    folder, ext, stem = F.col("target_dir"), paths.extension(dest), paths.stem(dest)
+    named = plan.select("_rid", folder.alias("_dir"), ext.alias("_ext"), stem.alias("_stem"), *order)
+    files_ = named.select("_rid", _stem_id(F.col("_dir"), F.col("_ext"), F.col("_stem")).alias("_sid"), "_dir", "_ext", "_stem", *order)
+    stems = materialize(files_.groupBy(*STEM).agg(F.min(F.struct(*place)).alias("_first"), F.count("*").alias("_files"),
+                                                  *[F.min(c).alias(c) for c in ("_dir", "_ext", "_stem")]))
 
     parent, k = _child_of(F.col("_stem"))
-    kids = stems.select("_dir", "_ext", parent.alias("_stem"), k.alias("_k"), F.col("_stem").alias("_kid"), "_first").where(
+    kids = stems.select("_dir", "_ext", parent.alias("_stem"), k.alias("_k"), F.col("_sid").alias("_kid"), "_first").where(
         "_stem IS NOT NULL AND _k IS NOT NULL")
+    kids = kids.select(_stem_id(F.col("_dir"), F.col("_ext"), F.col("_stem")).alias("_sid"), "_k", "_kid", "_first")
     contested = kids.join(stems.select(*STEM), STEM, "left_semi")
     static = None
     if existing is not None:
@@ -316,28 +325,26 @@ def resolve_rename(plan: DataFrame, existing: Optional[DataFrame], order: Sequen
             names = running_sum(both, STEM, ["_k"], "_w", "_below").where("_w = 0").withColumn(
                 "_free", F.col("_k") - F.col("_below")).drop("_below", "_w")
         decided = _contest(materialize(names.select(*STEM, "_k", "_kid", "_q", "_free")))
-        taken = decided.where("_took").select("_dir", "_ext", F.col("_kid").alias("_stem"), F.lit(0).cast("bigint").alias("_k"))
+        taken = decided.where("_took").select(F.col("_kid").alias("_sid"), F.lit(0).cast("bigint").alias("_k"))
         kept = decided.where(~F.col("_took")).select(*STEM, "_k")
         blocked = taken.unionByName(kept) if blocked is None else blocked.unionByName(taken).unionByName(kept)
     if blocked is None:
-        ranks = ranks.withColumn("_x", F.col("_r"))
+        ranks = ranks.select("_rid", F.col("_r").alias("_x"))
     else:
         # indices that some file gets as far as: b_j - j below the number of files
         gaps = rank_within(blocked.distinct(), STEM, ["_k"], out="_j").select(*STEM, (F.col("_k") - F.col("_j")).alias("_gap"))
         gaps = materialize(gaps.join(stems.select(*STEM, "_files"), STEM).where("_gap < _files").drop("_files"))
         hit = gaps.select(*STEM).distinct()
-        free = ranks.join(hit, STEM, "left_anti").withColumn("_x", F.col("_r"))
+        free = ranks.join(hit, STEM, "left_anti").select("_rid", F.col("_r").alias("_x"))
         merged = (ranks.join(hit, STEM, "left_semi").select("_rid", *STEM, F.col("_r").alias("_at"), F.lit(0).cast("bigint").alias("_w"))
                   .unionByName(gaps.select(none.cast("bigint").alias("_rid"), *STEM, F.col("_gap").alias("_at"),
                                            F.lit(1).cast("bigint").alias("_w")))
                   .withColumn("_late", 1 - F.col("_w")))
         moved = running_sum(merged, STEM, ["_at", "_late"], "_w", "_shift").where("_rid IS NOT NULL")
-        ranks = free.select("_rid", *STEM, "_x").unionByName(
-            moved.select("_rid", *STEM, (F.col("_at") + F.col("_shift")).alias("_x")))
+        ranks = free.unionByName(moved.select("_rid", (F.col("_at") + F.col("_shift")).alias("_x")))
 
-    name = F.when(F.col("_x") == 0, F.col("_stem")).otherwise(F.concat(F.col("_stem"), F.lit("_"), F.col("_x").cast("string")))
-    given = ranks.select("_rid", F.concat(F.col("_dir"), F.lit("/"), name, F.col("_ext")).alias("_given"))
-    out = plan.join(given, "_rid")
+    name = F.when(F.col("_x") == 0, stem).otherwise(F.concat(stem, F.lit("_"), F.col("_x").cast("string")))
+    out = plan.join(ranks, "_rid").withColumn("_given", F.concat(folder, F.lit("/"), name, ext))
     return out.select(*[c for c in cols if c != "destination"], F.col("_given").alias("destination"),
                       F.lit("copied").alias("status"))
 

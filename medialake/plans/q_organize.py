@@ -68,6 +68,11 @@ def _plan(spark, sf_dir, opts):
     return organize.plan_layout(common.media(spark, sf_dir), ROOT, opts)
 
 
+def _plan_input(spark, sf_dir):
+    """What planning reads; the plan is stored, so other columns stay out of it."""
+    return common.media(spark, sf_dir).select("full_path", "size_bytes", "kind", "date_taken", "camera", "lens")
+
+
 def _existing(spark, sf_dir, opts=DEFAULT):
     """Pre-existing destinations: planned destinations of every 20th-byte file."""
     return _plan(spark, sf_dir, opts).where(F.col("size_bytes") % 20 == 0).select(
@@ -103,7 +108,7 @@ FROM plan3 LEFT JOIN existing ON existing.path = plan3.destination"""
 @query("plan_skip", with_media(SKIP_SQL, _ctes(DEFAULT)))
 def plan_skip(spark, sf_dir):
     opts = organize.LayoutOptions(on_exist="skip")
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
+    m = organize.plan_organize(_plan_input(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
     return m.select("full_path", "destination", "status")
 
 
@@ -113,7 +118,7 @@ SELECT full_path, destination,
             ELSE 'skipped' END AS status FROM plan3""", _ctes(DEFAULT)))
 def plan_skip_fresh(spark, sf_dir):
     opts = organize.LayoutOptions(on_exist="skip")
-    return organize.plan_organize(common.media(spark, sf_dir), ROOT, opts).select("full_path", "destination", "status")
+    return organize.plan_organize(_plan_input(spark, sf_dir), ROOT, opts).select("full_path", "destination", "status")
 
 
 def rename_sql(with_existing: bool) -> tuple[str, str]:
@@ -153,19 +158,19 @@ def _rename_query(opts, with_existing):
 
 @query("plan_rename", _rename_query(DEFAULT, True))
 def plan_rename(spark, sf_dir):
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, DEFAULT, existing=_existing(spark, sf_dir))
+    m = organize.plan_organize(_plan_input(spark, sf_dir), ROOT, DEFAULT, existing=_existing(spark, sf_dir))
     return m.select("full_path", "destination")
 
 
 @query("plan_rename_fresh", _rename_query(DEFAULT, False))
 def plan_rename_fresh(spark, sf_dir):
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, DEFAULT)
+    m = organize.plan_organize(_plan_input(spark, sf_dir), ROOT, DEFAULT)
     return m.select("full_path", "destination")
 
 
 @query("plan_rename_model_lens", _rename_query(MODEL_LENS, False))
 def plan_rename_model_lens(spark, sf_dir):
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, MODEL_LENS)
+    m = organize.plan_organize(_plan_input(spark, sf_dir), ROOT, MODEL_LENS)
     return m.select("full_path", "destination")
 
 
@@ -199,7 +204,7 @@ SELECT count(*) AS total, count_if(status = 'copied') AS copied, count_if(status
 FROM ({SKIP_SQL})""", _ctes(DEFAULT)))
 def organize_report(spark, sf_dir):
     opts = organize.LayoutOptions(on_exist="skip")
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
+    m = organize.plan_organize(_plan_input(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
     return organize.organize_report(m)
 
 
@@ -253,5 +258,5 @@ def organize_multi_existing(spark, sf_dir):
 @query("organize_excluded", with_media(f"SELECT full_path, status FROM ({SKIP_SQL}) WHERE status = 'skipped'", _ctes(DEFAULT)))
 def organize_excluded(spark, sf_dir):
     opts = organize.LayoutOptions(on_exist="skip")
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
+    m = organize.plan_organize(_plan_input(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
     return organize.excluded_files(m)

@@ -246,18 +246,18 @@ def test_decide_one_stem_over_many_stretches(spark, seed):
         lost = rnd.randint(0, 1)
         for k in range(1, n + 1):
             q = [0, rnd.randint(0, k), k // 2 + rnd.randint(-40, 40), n][seed]
-            rows.append(("/d", ".jpg", stem, k, k - rnd.randint(0, 1), q, lost))
+            rows.append((stem.encode(), k, k - rnd.randint(0, 1), q, lost))
     want, state = {}, {}
-    for d, e, s, k, free, q, lost in rows:
+    for s, k, free, q, lost in rows:
         blocked = state.get(s, lost)
         want[s, k] = free - blocked < q
         state[s] = blocked + (not want[s, k])
     rnd.shuffle(rows)
-    level = spark.createDataFrame(rows, "_dir string, _ext string, _stem string, _k bigint, _free bigint, _q bigint, _lost int")
+    level = spark.createDataFrame(rows, "_sid binary, _k bigint, _free bigint, _q bigint, _lost int")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         done = organize._decide(level)
-        got = {(r["_stem"], r["_k"]): r["_took"] for r in done.collect()}
+        got = {(bytes(r["_sid"]), r["_k"]): r["_took"] for r in done.collect()}
         sizes = sorted(r["count"] for r in level.repartitionByRange(*organize.STEM, "_k").groupBy(F.spark_partition_id()).count().collect())
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
