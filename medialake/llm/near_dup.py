@@ -15,11 +15,9 @@ of three for certain (shorter runs are added for sets of up to eight values,
 where one differing value could break all runs of three).
 
 Long lists. A list longer than ``LIST`` classes is not expanded into pairs:
- 1. Classes with enough runs in short lists leave it: if they have a partner,
-    they meet it there.
- 2. The others are compared with the list's centre, one pair each: the class
-    most of whose runs are in long lists, which is the least edited one.
- 3. Where members are still in different components, differences decide. For a
+ 1. Its classes are compared with the list's own centre, one pair each: the
+    class most of whose runs are in long lists, which is the least edited one.
+ 2. Where members are still in different components, differences decide. For a
     centre c, let D(x) be the symmetric difference of x and c. If u is not
     linked with c but with m, then |u ^ m| <= k (|u| + |m|), while
     |D(u)| > k (|u| + |c|), with k = (1 - t) / (1 + t) for threshold t; so u and
@@ -28,10 +26,10 @@ Long lists. A list longer than ``LIST`` classes is not expanded into pairs:
     |D(m)| - that + 1 of D(m). These are indexed, classes not linked with c look
     up theirs, both as far down as the pair's own bound allows, and the pairs
     found are verified. The order puts hashes that are rare around c first.
-So steps 2 and 3 lose no link between different components that a union-sketch
-estimate lets pass, and no group is expanded into all its pairs. The exit of
-step 1 is a guess and can lose one: a class that left takes no part in 2 and 3,
-and a partner that shares only long lists with it is not met.
+So no link between different components is lost that a union-sketch estimate lets
+pass. Every list has a centre of its own: families of pages that share a site's
+boilerplate meet their own family's centre in its lists, and only what remains
+apart is looked up by differences.
 
 Components: ``medialake.llm.components``. All intermediate tables are stored
 under the shared checkpoint folder.
@@ -51,8 +49,6 @@ from medialake.session import materialize
 
 #: Retained values per sketch, those that are indexed, run length, long-list bound.
 SKETCH, INDEXED, RUN, LIST = 64, 48, 3, 24
-#: Runs outside long lists that make a partner certain enough to leave the long ones.
-COLD_RUNS = 32
 #: Sets up to this size also index runs of two.
 SMALL = 8
 
@@ -162,7 +158,7 @@ def _difference_udf():
 
 def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes around one centre, of different components, that
-    may be linked (see the module text, 3). ``star``: (c, x, root, far)."""
+    may be linked (see the module text, 2). ``star``: (c, x, root, far)."""
     k = (100 - percent) / (100 + percent)
     made = _both_sets(star, "c", "x", sets).select(
         "c", "x", "root", "far", (F.length("ha") / 8).alias("nc"), (F.length("hb") / 8).alias("n"),
@@ -216,7 +212,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
         F.first("sketch").alias("sketch"), F.first("runs").alias("runs")))
 
     posts = classes.select("cls", "n", "copies", F.explode("runs").alias("run"))
-    sizes = posts.groupBy("run").agg(F.count("*").alias("m")).filter("m > 1")
+    # stored, so that a join of two plain tables meets a hot run, which adaptive execution can split
+    sizes = materialize(posts.groupBy("run").agg(F.count("*").alias("m")).filter("m > 1"))
     lists = materialize(posts.join(sizes, "run"))
 
     short = lists.filter(F.col("m") <= LIST).select("run", "cls", "n")
@@ -227,15 +224,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = lists.filter(F.col("m") > LIST)
     warm = hot.groupBy("cls").agg(F.count("*").alias("hot_runs"))
     runs_of = classes.select("cls", F.size("runs").alias("all_runs"))
-    stay = warm.join(runs_of, "cls").filter(F.col("all_runs") - F.col("hot_runs") < COLD_RUNS).select(
-        "cls", (F.col("hot_runs") / F.col("all_runs")).alias("share"))
-    long = materialize(hot.join(stay, "cls").select("run", "cls", "share", "copies"))
-    centre = long.groupBy("run").agg(F.max(F.struct("share", "copies", "cls")).alias("top"), F.count("*").alias("m")).select(
-        "run", F.col("top.cls").alias("c"), "m")
-    # a list whose members all meet in one centre anyway (of their longest lists) needs none of its own
-    main = long.join(centre, "run").groupBy("cls").agg(F.max(F.struct("m", "c")).getField("c").alias("main"))
-    around = long.join(main, "cls").groupBy("run").agg(F.min("main").alias("lo"), F.max("main").alias("hi")).join(centre, "run")
-    centre = around.select("run", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("c")).alias("c"))
+    shares = warm.join(runs_of, "cls").select("cls", (F.col("hot_runs") / F.col("all_runs")).alias("share"))
+    long = materialize(hot.join(shares, "cls").select("run", "cls", "share", "copies"))
+    centre = materialize(long.groupBy("run").agg(F.max(F.struct("share", "copies", "cls")).alias("top")).select("run", F.col("top.cls").alias("c")))
     star = materialize(long.join(centre, "run").filter(F.col("cls") != F.col("c")).select("c", F.col("cls").alias("x")).distinct())
 
     pairs = materialize(_candidates(in_short.distinct(), classes, percent).union(star.select(*_ordered("c", "x"))).distinct())

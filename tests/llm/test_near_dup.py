@@ -130,3 +130,42 @@ def test_components(spark):
         root[y] = x
     assert got == {n: find(n) for a, b in links if a != b for n in (a, b)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_site_families_with_boilerplate(spark, monkeypatch):
+    """Families of one site that share its boilerplate: the pairs that are
+    verified grow with the pages, not with their square."""
+    verified = {}
+    real = near_dup._links
+    for m in (100, 400):
+        rows = []
+        for f in range(4):
+            for p in range(m):
+                words = [f"b{i}" for i in range(102)] + [f"f{f}_{i}" for i in range(30)] + [f"x{f}_{p}_{i}" for i in range(8)]
+                rows.append((len(rows), " ".join(words)))
+        seen = []
+
+        def counted(pairs, sets, percent):
+            seen.append(pairs.count())
+            return real(pairs, sets, percent)
+
+        monkeypatch.setattr(near_dup, "_links", counted)
+        got = run(spark, rows, percent=80)
+        assert [len({c for d, _, c, _ in got if d // m == f}) for f in range(4)] == [1] * 4 and len({r[2] for r in got}) == 4
+        verified[m] = sum(seen)
+    assert verified[400] <= 6 * verified[100]
+
+
+def test_partner_that_shares_only_frequent_runs(spark):
+    """A class with many runs of its own still meets a partner that shares only
+    the runs of a large group."""
+    rnd = random.Random(7)
+    base = [f"v{i}" for i in range(240)]
+    rows = [(i, " ".join(base[:200] + [f"o{i}_{j}" for j in range(40)])) for i in range(60)]
+    for n in range(30):  # pairs 0.83 alike, each about 0.7 like the others
+        own = [f"p{n}_{j}" for j in range(20)]
+        for twin in range(2):
+            words = base[:200] + own + [f"q{n}_{twin}_{j}" for j in range(16)]
+            rows.append((len(rows), " ".join(words)))
+    rnd.shuffle(rows)
+    assert run(spark, rows, percent=80) == brute(rows, 3, 80)
