@@ -37,9 +37,13 @@ from medialake.session import materialize
 
 #: A subtree is a template from this many different pages and this share of a host's different pages,
 MIN_PAGES, MIN_SHARE = 5, 0.1
-#: or from this many different pages, however large the host is. Prose in a marked main part (text of
-#: this length that is no link, and more of it than of links) is one by the latter only.
+#: or from this many different pages, however large the host is. In a marked main part only what looks
+#: like furniture can be one: boxes and lists that are mostly links, and boxes that open or end the
+#: part; if they hold prose (text of this length that is no link), by the latter number only.
 MANY_PAGES, PROSE = 50, 200
+BOXES = frozenset("div section center header".split())
+# of rolling hashes over blocks
+_BASE, _PRIME = 0x5851F42D4C957F2D, (1 << 61) - 1
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,8 +80,8 @@ AFTER = frozenset(
 HARD, SOFT, LIST, COMMENTS, HEADER = 1, 2, 3, 4, 5
 IN_ARTICLE, IN_MAIN = 1, 2
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# a quote opens a string after an equals sign only
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>")
 _ATTR = re.compile(r"([a-zA-Z][\w-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -94,10 +98,28 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(raw)} if raw.strip(" /\n\t\r") else {}
 
 
+class _Stack(list):
+    """Open elements, with their number by name: most questions about them need
+    no look along the stack."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.open: dict[str, int] = {}
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+
+    def cut(self, i: int) -> None:
+        for node in self[i:]:
+            self.open[node.tag] -= 1
+        del self[i:]
+
+
 def parse(text: str | None) -> Node:
     """Element tree; children are Nodes and (undecoded) strings."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(text or "")
+    stack, at, n = _Stack(root), 0, len(text or "")
     while at < n:
         lt = text.find("<", at)
         if lt < 0:
@@ -107,13 +129,14 @@ def parse(text: str | None) -> Node:
             stack[-1].children.append(text[at:lt])
         nxt = text[lt + 1:lt + 2]
         if text.startswith("<!--", lt):
+            short = re.compile(r"-?>").match(text, lt + 4)  # ends at once
             end = text.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            at = short.end() if short else n if end < 0 else end + 3
         elif nxt in ("!", "?"):
             end = text.find(">", lt)
             at = n if end < 0 else end + 1
         elif nxt.isalpha() or (nxt == "/" and text[lt + 2:lt + 3].isalpha()):
-            m = _TAG.match(text, lt) or _LOOSE.match(text, lt)
+            m = _TAG.match(text, lt)
             if not m:  # a tag cut off at the end
                 break
             at = m.end()
@@ -142,35 +165,35 @@ _SIBLINGS = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", froz
              "tfoot": ("thead tbody tfoot tr td th", frozenset(("table",)))}
 
 
-def _open(stack: list[Node], tag: str, attrs: str) -> None:
-    if tag in CLOSES_P:
+def _open(stack: _Stack, tag: str, attrs: str) -> None:
+    if tag in CLOSES_P and stack.open.get("p"):
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
-                del stack[i:]
+                stack.cut(i)
                 break
             if stack[i].tag in _SCOPE or stack[i].tag in BLOCK:
                 break
     if tag in _SIBLINGS:
         names, inside = _SIBLINGS[tag]
         names = names.split()
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(stack.open.get(x) for x in names) else ():
             if stack[i].tag in inside:
                 break
             if stack[i].tag in names:
-                del stack[i:]
+                stack.cut(i)
                 if tag not in ("tr", "tbody", "tfoot"):
                     break
     node = Node(tag, attrs)
     stack[-1].children.append(node)
     if tag not in VOID and not attrs.rstrip().endswith("/") or tag in RAW:
         if tag not in VOID:
-            stack.append(node)
+            stack.push(node)
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
+def _close(stack: _Stack, tag: str) -> None:
+    for i in range(len(stack) - 1, 0, -1) if stack.open.get(tag) else ():
         if stack[i].tag == tag:
-            del stack[i:]
+            stack.cut(i)
             return
         # an inline end tag does not close blocks; a block's does not leave its cell
         if tag not in BLOCK and stack[i].tag in BLOCK or stack[i].tag in ("td", "th") and tag not in (
@@ -295,10 +318,14 @@ def main_blocks(text: str | None) -> list[tuple[str, list[int]]]:
 
 
 def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
-    """Depth-first without recursion, so nesting depth is no limit."""
+    """Depth-first without recursion, so nesting depth is no limit. The subtrees
+    given with a block are those that a template may be: in a marked part, boxes
+    and lists of links, and boxes at its start or end."""
     blocks: list[list] = []  # [text, open subtrees]
+    sums, lengths = [0], [0]  # of the blocks so far
     run: list[str] = []
-    opened: list[list] = []  # of subtrees: [first block, signature, hash, link text before]
+    # of subtrees: [first block, signature, hash, link text before, block after, mostly links, is a box]
+    opened: list[list] = []
     inside = linked = 0  # links around, characters of link text
 
     def flush() -> None:
@@ -306,6 +333,8 @@ def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
         run.clear()
         if t:
             blocks.append([t, list(opened)])
+            sums.append((sums[-1] * _BASE + xxhash.xxh3_64_intdigest(t)) % _PRIME)
+            lengths.append(lengths[-1] + len(t) + 1)
 
     todo: list[tuple[object, bool]] = [(part, False)]
     while todo:
@@ -320,12 +349,14 @@ def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
                 flush()
             inside -= node.tag == "a"
             if removable:
-                sub = opened.pop()
-                text = "\n".join(b[0] for b in blocks[sub[0]:])
-                own = len(text) - (linked - sub[3])
-                prose = marked and own >= PROSE and 2 * own > len(text)
+                sub, end = opened.pop(), len(blocks)
+                first = sub[0]
+                length = lengths[end] - lengths[first]
+                sub[4:] = end, 2 * (linked - sub[3]) >= length, node.tag in BOXES
+                text = (sums[end] - sums[first] * pow(_BASE, end - first, _PRIME)) % _PRIME
+                prose = marked and not sub[5] and length - (linked - sub[3]) > PROSE
                 # the last bit tells prose
-                sub[2] = (xxhash.xxh3_64_intdigest(f"{sub[1]}\x00{text}") - (1 << 63)) & ~1 | prose
+                sub[2] = (xxhash.xxh3_64_intdigest(f"{sub[1]}\x00{text} {length}") - (1 << 63)) & ~1 | prose
             continue
         if node is not part and furniture(node, part.size, marked):
             if node.tag in BLOCK:
@@ -339,12 +370,13 @@ def _walk(part: Node, marked: bool, out: list[tuple[str, list[int]]]) -> None:
         if node.tag in BLOCK:
             flush()
         if removable:
-            opened.append([len(blocks), f"{node.tag} {' '.join(c.tag for c in node.children if isinstance(c, Node))}", 0, linked])
+            opened.append([len(blocks), f"{node.tag} {' '.join(c.tag for c in node.children if isinstance(c, Node))}", 0, linked, 0, False, False])
         inside += node.tag == "a"
         todo.append((node, True))
         todo.extend((c, False) for c in reversed(node.children))
     flush()
-    out.extend((t, [s[2] for s in subs]) for t, subs in blocks)
+    last = len(blocks)
+    out.extend((t, [s[2] for s in subs if not marked or s[5] or s[6] and (s[0] == 0 or s[4] == last)]) for t, subs in blocks)
 
 
 def host_of(url: str | None) -> str:

@@ -505,3 +505,35 @@ def test_payload_encodings_and_left_bytes():
         head = f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\n".encode()
         about = warc.derive_record(foreign("response", block).replace(b"Content-Length", head + b"Content-Length", 1))[0]
         assert b"source-payload-digest-valid: true" in about["record"]
+
+
+def test_recurring_recipe_parts_stay(spark):
+    """Lists and quotes of an article are text, however often they recur."""
+    parts = "<ul><li>200 g flour</li><li>2 eggs</li></ul><blockquote>Best served warm.</blockquote><table><tr><td>oven</td><td>180</td></tr></table>"
+    for pages in (5, 80):
+        rows = [(i, "http://food.example/r", f"<article><h1>Cake {i}</h1><p>Number {i} of many cakes.</p>{parts}<div>Mix well, then wait.</div>"
+                 f"<p>Bake it {i} minutes.</p><div><a href='/a'>More cakes</a> <a href='/b'>More pies</a></div></article>") for i in range(pages)]
+        got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        for r in got:
+            i = r["page_id"]
+            assert r["text"].split("\n") == [f"Cake {i}", f"Number {i} of many cakes.", "200 g flour", "2 eggs", "Best served warm.", "oven", "180",
+                                             "Mix well, then wait.", f"Bake it {i} minutes."]
+
+
+def test_malformed_markup_loses_no_text():
+    def text(page):
+        return "\n".join(t for t, _ in html.main_blocks(page))
+
+    assert text("<p don't>Hello it's</p><p>me</p>") == "Hello it's\nme"
+    assert text("<p>a</p><!--><p>b</p><!---><p>c</p><!-- x > y --><p>d</p>") == "a\nb\nc\nd"
+    assert text("<p title='a > b' data-x=\"1 > 0\" y = 'z>'>in</p>") == "in"
+    assert text("<p a=b'c>one</p><p>two's</p>") == "one\ntwo's"
+
+
+def test_unclosed_and_nested_markup_in_linear_time():
+    import time
+
+    for page in ("<b>word <i>more " * 60_000, "<div>" * 90_000 + "x", "<p><span>a " * 60_000, "</i>" * 200_000 + "<p>x"):
+        began = time.process_time()
+        assert html.main_blocks(page)
+        assert time.process_time() - began < 8
