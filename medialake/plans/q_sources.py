@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake import schemas
 from medialake.operators import conform, copying, organize
-from medialake.plans import common
+from medialake.plans import common, jobs
 from medialake.plans.registry import query
 from medialake.session import scratch_path
 from medialake.sinks import export
@@ -197,6 +199,23 @@ def export_counts(spark, sf_dir):
     return export.counts(back)
 
 
+@query("job_analyze", with_media("""
+SELECT CASE kind WHEN 'image' THEN 'images' WHEN 'video' THEN 'videos' ELSE 'others' END AS "table", count(*) AS n_rows FROM media GROUP BY kind
+UNION ALL SELECT 'extraction_failures', 0
+UNION ALL SELECT 'chart_file_types', count(DISTINCT kind) FROM media
+UNION ALL SELECT 'chart_cameras', least(count(DISTINCT camera), 15) FROM media WHERE kind = 'image' AND camera <> ''
+"""))
+def job_analyze(spark, sf_dir):
+    """The analysis job over the fixture: its tables and charts as written."""
+    out = jobs.run_analyze(spark, fixture.media_listing(spark, sf_dir), scratch_path(spark, "analysis"),
+                           tag_records=fixture.raw_tags(spark, sf_dir), stamp="now")
+    back = {t: f"metadata/{t}" for t in schemas.TABLE_BY_KIND.values()} | {
+        "extraction_failures": "extraction_failures", "chart_file_types": "charts/general_file_types", "chart_cameras": "charts/images_cameras"}
+    frames = [spark.read.parquet(f"{out}/{path}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
+              for name, path in back.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
 @query("catalog_roundtrip", with_media("SELECT kind, full_path, date_taken, size_mb FROM media"))
 def catalog_roundtrip(spark, sf_dir):
     root = scratch_path(spark, "catalog")
