@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# extension = last dot of the base name, with a non-dot character before it
-EXT_PATTERN = r"^\.*[^.].*(\.[^.]*)$"
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 # Control characters removed from text cells (U+0000-U+001F,
 # U+007F-U+009F), and the characters kept in folder names (Unicode word
 # characters, '-', '_', '.', blank).
-CONTROL_CHARS = r"[\x00-\x1F\x7F-\x9F]"
 CONTROL_SET = "".join(chr(c) for c in list(range(0x00, 0x20)) + list(range(0x7F, 0xA0)))
 FOLDER_UNSAFE = r"(?U)[^\w\-_. ]"
 
