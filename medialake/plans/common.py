@@ -5,7 +5,8 @@ application: raw tags -> conform -> a Parquet table partitioned by ``kind``
 in the shared checkpoint folder, the way an ingest job writes the catalog
 that reports and dashboards then read. Queries read that table, so column
 pruning, predicate pushdown and ``kind`` partition pruning apply, and the
-conform expressions run once instead of once per query.
+conform expressions run once instead of once per query. It is bucketed by the
+normalized path key: lookups by path move only the other side.
 """
 
 from __future__ import annotations
@@ -17,23 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medialake.operators import conform
 from medialake.session import scratch_path
-from medialake.sources import fixture
+from medialake.sources import buckets, fixture
 
 _LOCK = threading.Lock()
-_CATALOGS: dict[tuple, str] = {}
+_CATALOGS: dict[tuple, tuple[str, str]] = {}  # path, table
 
 
-def build_catalog(spark: SparkSession, sf_dir: str) -> str:
-    """Conform the fixture's raw tags and write the catalog table; returns its path."""
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
-        path = _CATALOGS.get(key)
-        if path is None:
+        found = _CATALOGS.get(key)
+        if found is None:
             path = scratch_path(spark, "media-" + os.path.basename(os.path.abspath(sf_dir)))
             media_df = conform.conform_media(fixture.raw_tags(spark, sf_dir))
-            media_df.write.partitionBy("kind").parquet(path)
-            _CATALOGS[key] = path
-    return path
+            found = _CATALOGS[key] = (path, buckets.write_bucketed(media_df, path, "norm_key", ["kind"]))
+    return found
+
+
+def build_catalog(spark: SparkSession, sf_dir: str) -> str:
+    """Conform the fixture's raw tags and write the catalog table; returns its path."""
+    return _catalog(spark, sf_dir)[0]
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +46,11 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(*conform.MEDIA_COLUMNS)
 
 
+def media_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, from the buckets of their path key: for joins on it."""
+    return spark.table(_catalog(spark, sf_dir)[1]).select(*conform.MEDIA_COLUMNS)
+
+
 def kinds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return conform.split_kinds(media(spark, sf_dir))
 

@@ -84,7 +84,7 @@ WHERE coalesce(m.date_taken, l.modification_date) BETWEEN DATE '1996-01-01' AND
 """, LISTING_CTE))
 def filter_date_mtime(spark, sf_dir):
     listing = fixture.media_listing(spark, sf_dir)
-    j = lookup.listing_lookup(listing, common.media(spark, sf_dir), how="left", columns=["date_taken"], unique=True)
+    j = lookup.listing_lookup(listing, common.media_by_key(spark, sf_dir), how="left", columns=["date_taken"], unique=True)
     spec = filters.FilterSpec(date_range=(date(1996, 1, 1), date(2024, 1, 15)), undated="mtime")
     return spec.apply(j, mtime_col="modification_date").select("path", "kind", "date_taken", "modification_date")
 

@@ -28,7 +28,7 @@ def _listing_with_sidecars(spark, sf_dir):
 SELECT l.path, m.kind, m.camera, m.size_bytes FROM listing l JOIN media m ON m.full_path = l.path
 """, SIDECAR_LISTING_SQL))
 def listing_lookup_inner(spark, sf_dir):
-    j = lookup.listing_lookup(_listing_with_sidecars(spark, sf_dir), common.media(spark, sf_dir), "inner",
+    j = lookup.listing_lookup(_listing_with_sidecars(spark, sf_dir), common.media_by_key(spark, sf_dir), "inner",
                               columns=["camera"], unique=True)
     return j.select("path", "kind", "camera", "size_bytes")
 
@@ -38,7 +38,7 @@ SELECT l.path, coalesce(m.kind, 'other') AS kind, m.kind IS NOT NULL AS has_meta
 FROM listing l LEFT JOIN media m ON m.full_path = l.path
 """, SIDECAR_LISTING_SQL))
 def listing_lookup_left(spark, sf_dir):
-    j = lookup.listing_lookup(_listing_with_sidecars(spark, sf_dir), common.media(spark, sf_dir), "left",
+    j = lookup.listing_lookup(_listing_with_sidecars(spark, sf_dir), common.media_by_key(spark, sf_dir), "left",
                               columns=["camera"], unique=True)
     return j.select("path", "kind", "has_meta", "camera", "size_bytes")
 
