@@ -25,8 +25,8 @@ from medialake.llm import rows as R
 from medialake.session import materialize
 
 SHINGLE_WORDS = 5
-#: Share of the hash range that a sketch keeps: 1/8.
-FRACTION = 1 / 8
+#: Share of the hash range that a sketch keeps: 1/2.
+FRACTION = 1 / 2
 DIGITS = 16
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -131,7 +131,9 @@ def tail_edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     Plan: narrow keys find each document's neighbour; every text is shuffled
     once by its own key, and what its predecessor needs of it (at most a third
     of the predecessor's length, and the fingerprint) once more by the
-    predecessor's key. Both joins read the same exchange of the texts.
+    predecessor's key. Both joins read the same exchange of the texts, which
+    carries no fingerprints: hashes do not compress, so a text's own fingerprint
+    is made again after the join instead of being shuffled with it.
 
     Defined cases: NULL text counts as empty; rows that repeat id and text are
     one document for the order, and each gets the result; equal ids with
@@ -146,13 +148,12 @@ def tail_edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     owed = ring.select(F.col("next").alias("key"), "id", F.col("key").alias("before"),
                        F.floor(F.col("n") / 3).cast("int").alias("take"))
     # the same columns for both joins, so that they share one exchange; ids come back with ``given``
-    texts = with_fingerprint(docs.select("key", "text"), "text", "fp", fraction)
-    given = (texts.join(owed, "key")
-             .select(F.col("before").alias("key"), "id", F.substring("text", F.lit(1), F.col("take")).alias("tail"),
-                     F.col("fp").alias("next_fp"))
+    texts = docs.select("key", "text")
+    given = (with_fingerprint(texts.join(owed, "key"), "text", "next_fp", fraction)
+             .select(F.col("before").alias("key"), "id", F.substring("text", F.lit(1), F.col("take")).alias("tail"), "next_fp")
              .dropDuplicates(["key"]))
     n = F.char_length("text")
-    both = texts.join(given, "key").select(
+    both = with_fingerprint(texts.join(given, "key"), "text", "fp", fraction).select(
         "id", n.cast("long").alias("n"), "fp", "next_fp",
         F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("tail")).alias("edited"))
     three = with_fingerprint(both, "edited", "edited_fp", fraction).select(

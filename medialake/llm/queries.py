@@ -62,7 +62,7 @@ sketches AS (
          list_sort(list_distinct(list_filter(
            CASE WHEN len(w) = 0 THEN []::VARCHAR[]
                 ELSE [substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16) FOR i IN range(1, greatest(len(w) - 4, 1) + 1)] END,
-           lambda h: h < '2000000000000000'))) AS s
+           lambda h: h < '8000000000000000'))) AS s
   FROM words),
 wide AS (
   SELECT doc_id,

@@ -84,7 +84,7 @@ def test_line_dedup_clashing_columns(spark):
 def fp_model(text):
     words = [w for w in __import__("re").split("[ \t\n\x0b\x0c\r]+", (text or "").lower()) if w]
     sh = [] if not words else [" ".join(words[i:i + 5]) for i in range(max(len(words) - 4, 1))]
-    hs = sorted({h for s in sh if (h := hashlib.md5(s.encode()).hexdigest()[:16]) < "2000000000000000"})
+    hs = sorted({h for s in sh if (h := hashlib.md5(s.encode()).hexdigest()[:16]) < "8000000000000000"})
     return hashlib.md5(" ".join(words).encode()).hexdigest()[:8] + ":" + "".join(hs), set(hs)
 
 
