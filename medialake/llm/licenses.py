@@ -15,7 +15,12 @@ in which more than ``miss`` words do not occur at all is passed over.
 Licenses that share most of their words are told apart by what a template has
 in ``[[ ]]``: its version and variant, which the stretch must hold word for
 word. Of templates found in overlapping stretches only the one with the most
-matched words is kept, so a BSD-3 text is not a BSD-2 text as well.
+matched words is kept, so a BSD-3 text is not a BSD-2 text as well. A license
+may have several wordings, each a template of its own.
+
+A tag ``SPDX-License-Identifier`` is a template per identifier; the further
+identifiers of its expression (after ``OR``, ``AND`` or ``WITH`` an exception)
+are read on from its end.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from medialake.llm import rows as R
 COVERAGE = 0.9
 _WORD = re.compile(r"[^\W_]+")
 _MUST = re.compile(r"\[\[(.*?)\]\]", re.S)
+_TAG = ["spdx", "license", "identifier"]
 
 # Wordings of public license notices; [[ ]] holds what tells a license from its relatives.
 TEMPLATES = {
@@ -100,6 +106,64 @@ _ADVERTISING = (
     "acknowledgement: This product includes software developed by the copyright holder.")
 
 
+# Names by which notices call a license; a version is added by rule.
+_UNVERSIONED = {
+    "MIT": ("MIT License", "Expat License"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "Unlicense": ("Unlicense",),
+    "0BSD": ("Zero-Clause BSD License", "0-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License",
+                     "Revised BSD License"),
+}
+_VERSIONED = {
+    "Apache": (("2.0",), ("Apache License", "Apache Software License", "Apache")),
+    "MPL": (("1.1", "2.0"), ("Mozilla Public License", "MPL")),
+    "EPL": (("1.0", "2.0"), ("Eclipse Public License", "EPL")),
+    "BSL": (("1.0",), ("Boost Software License",)),
+    "GPL": (("2.0", "3.0"), ("GNU General Public License", "GNU GPL", "GPL")),
+    "LGPL": (("2.0", "2.1", "3.0"), ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL")),
+    "AGPL": (("3.0",), ("GNU Affero General Public License", "GNU AGPL", "AGPL")),
+}
+# Identifiers of the public license list that tags are searched for.
+_SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 "
+    "BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 "
+    "CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CPL-1.0 "
+    "ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 "
+    "GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL NCSA ODbL-1.0 "
+    "OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1").split()
+# Titles that open the legal texts.
+_TITLES = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "GPL-2.0": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0": "GNU General Public License Version 3, 29 June 2007",
+    "LGPL-2.0": "GNU Library General Public License Version 2, June 1991",
+    "LGPL-2.1": "GNU Lesser General Public License Version 2.1, February 1999",
+    "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU Affero General Public License Version 3, 19 November 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions",
+    "EPL-2.0": "Eclipse Public License - v 2.0 The accompanying program is provided under the terms",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
+
+
+def _named() -> dict[str, tuple[str, ...]]:
+    """Wordings that call a license by its name: "under the ...", "under the
+    terms of the ..." and "licensed under ..."."""
+    names = {k: list(v) for k, v in _UNVERSIONED.items()}
+    for code, (versions, full) in _VERSIONED.items():
+        for v in versions:
+            numbers = (v, v.removesuffix(".0")) if v.endswith(".0") else (v,)
+            names[f"{code}-{v}"] = [f"{name}{glue}{n}" for name in full for n in numbers
+                                    for glue in (" ", " version ", " v", " v. ", "v")]
+    return {f"{k}-named": tuple(x for n in forms for x in (f"under the [[{n}]]", f"under the terms of the [[{n}]]",
+                                                            f"licensed under [[{n}]]"))
+            for k, forms in names.items()}
+
+
 def _notices() -> dict[str, str]:
     """Notices that differ in a name and a version alone."""
     out = {}
@@ -127,7 +191,7 @@ def _notices() -> dict[str, str]:
     return out
 
 
-def _all_templates(templates: dict[str, str]) -> dict[str, str]:
+def _all_templates(templates: dict[str, str]) -> dict[str, str | tuple[str, ...]]:
     """With whole texts and further notices; a wording has one name."""
     bsd = templates["BSD-2-Clause-text"]
     out = templates | {
@@ -156,9 +220,23 @@ def _all_templates(templates: dict[str, str]) -> dict[str, str]:
             "To the extent possible under law, the author(s) have [[dedicated all copyright]] and related and neighboring "
             "rights to this software to the public domain worldwide. This software is distributed without any warranty. You "
             "should have received a copy of the CC0 Public Domain Dedication along with this software."),
+        "Unlicense-text": (
+            "This is free and [[unencumbered software]] released into the public domain. Anyone is free to copy, modify, publish, "
+            "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+            "purpose, commercial or non-commercial, and by any means."),
+        "Zlib-text": (
+            "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+            "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+            "for any purpose, including commercial applications, and to [[alter it and redistribute it freely]], subject to the "
+            "following restrictions:"),
+        "BSL-1.0-notice": (
+            "Distributed under the [[Boost Software License, Version 1.0]]. (See accompanying file LICENSE_1_0.txt or copy at "
+            "https://www.boost.org/LICENSE_1_0.txt)"),
     }
+    out |= {f"{k}-title": f"[[{v}]]" for k, v in _TITLES.items()}
     known = {tuple(words(v)) for v in out.values()}
-    return out | {k: v for k, v in _notices().items() if k not in out and tuple(words(v)) not in known}
+    out |= {k: v for k, v in _notices().items() if k not in out and tuple(words(v)) not in known}
+    return out | _named() | {f"{i}-spdx": f"SPDX-License-Identifier: [[{i}]]" for i in _SPDX}
 
 
 def words(text: str | None) -> list[str]:
@@ -216,13 +294,23 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """All templates, with their words."""
+    """All templates, with their words; a template may be several wordings."""
 
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str | tuple[str, ...]], coverage: float = COVERAGE):
         self.coverage = coverage
         self.templates = [(k, w, [m for x in _MUST.findall(v) if (m := words(x))])
-                          for k, v in sorted(templates.items()) if (w := words(v))]
+                          for k, forms in sorted(templates.items())
+                          for v in ((forms,) if isinstance(forms, str) else forms) if (w := words(v))]
         self.vocabulary = {x for _, w, _ in self.templates for x in w}
+        # a template whose longest distinguishing word is not in a text cannot be found there
+        self.always, self.by_word = [], {}
+        for k, (_, _, must) in enumerate(self.templates):
+            if must:
+                self.by_word.setdefault(max((w for m in must for w in m), key=len), []).append(k)
+            else:
+                self.always.append(k)
+        self.tags = {tuple(w[len(_TAG):]): name for name, w, _ in self.templates if w[:len(_TAG)] == _TAG}
+        self.tag_names = set(self.tags.values())
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word) for each template found
@@ -233,7 +321,8 @@ class Scanner:
             if w in self.vocabulary:
                 places.setdefault(w, []).append(i)
         hits = []
-        for k, (_, t, must) in enumerate(self.templates):
+        for k in self.always + [k for w in places for k in self.by_word.get(w, ())]:
+            _, t, must = self.templates[k]
             if not all(w in places for m in must for w in m):
                 continue
             miss = int((1 - self.coverage) * len(t) + 1e-9)
@@ -255,9 +344,30 @@ class Scanner:
             if at < len(taken) and taken[at][0] <= last or at and taken[at - 1][1] >= first:
                 continue
             taken.insert(at, (first, last))
-            out.setdefault(k, (self.templates[k][0], -count / n, first, last))
+            name = self.templates[k][0]
+            out.setdefault(name, (name, -count / n, first, last))
+            if name in self.tag_names:
+                for more, lo, hi in self._expression(x, last + 1):
+                    out.setdefault(more, (more, 1.0, lo, hi))
         return [out[k] for k in sorted(out)]
 
+    def _expression(self, x: list[str], at: int):
+        """(template, first word, last word) of the identifiers that a tag's
+        expression goes on with at a place of the text."""
+        longest = max(map(len, self.tags))
+        while at < len(x):
+            if x[at] == "with" and "exception" in x[at:at + 6]:
+                at = x.index("exception", at) + 1
+                while at < len(x) and x[at].isdigit():
+                    at += 1
+            if at >= len(x) or x[at] not in ("or", "and"):
+                return
+            n = next((n for n in range(longest, 0, -1) if tuple(x[at + 1:at + 1 + n]) in self.tags), 0)
+            if not n:
+                return
+            yield self.tags[tuple(x[at + 1:at + 1 + n])], at + 1, at + n
+            at += n + 1
+
     @staticmethod
     def _holds(x: list[str], first: int, last: int, phrase: list[str]) -> bool:
         n = len(phrase)
@@ -287,7 +397,7 @@ class Scanner:
         return best
 
 
-def _scan_udf(templates: dict[str, str], coverage: float):
+def _scan_udf(templates: dict[str, str | tuple[str, ...]], coverage: float):
     made: list[Scanner] = []
 
     @F.pandas_udf("array<struct<license:string,coverage:double,first_word:int,last_word:int>>")
@@ -299,7 +409,7 @@ def _scan_udf(templates: dict[str, str], coverage: float):
     return scan
 
 
-def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE,
+def scan_licenses(df: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, coverage: float = COVERAGE,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text and template found in it: ``id_col``, ``license``,
     ``coverage``, ``first_word``, ``last_word``.
@@ -308,7 +418,8 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, covera
     without words are left out; of templates that overlap in one place the one
     with the most matched words is reported; a template that occurs more than
     once is reported at its best covered place, the first of equals; repeated
-    rows are reported each.
+    rows are reported each. A tag with an unknown first identifier is no find;
+    an expression is read up to its first unknown identifier, ``+`` is ignored.
     """
     found = _scan_udf(TEMPLATES if templates is None else templates, coverage)(R.quoted(text_col))
     out = df.select(R.quoted(id_col).alias("id"), F.explode(found).alias("f"))

@@ -173,6 +173,39 @@ def test_headers_and_whole_texts():
     assert found(f"{bsd3}\n\n{'own words ' * 30}\n\n{bsd2}") == ["BSD-2-Clause-text", "BSD-3-Clause-text"]
 
 
+def test_names_tags_and_titles():
+    assert found("// SPDX-License-Identifier: Apache-2.0") == ["Apache-2.0-spdx"]
+    assert found("This software is licensed under the MIT license.") == ["MIT-named"]
+    assert found("Licensed under the Apache License 2.0") == ["Apache-2.0-named"]
+    assert found("it is licensed under the GPLv3") == ["GPL-3.0-named"]
+    assert found("You may use it under the terms of the GNU Lesser General Public License v2.1.") == ["LGPL-2.1-named"]
+    assert found("Distributed under the Boost Software License, Version 1.0.") == ["BSL-1.0-named"]
+    boost = "(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"
+    assert found(f"Distributed under the Boost Software License, Version 1.0. {boost}") == ["BSL-1.0-notice"]
+    assert found("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991") == ["GPL-2.0-title"]
+    # not a license, or not one of a known version
+    for text in ("under the license", "under the GPL", "released under the BSD license", "under the GPL version 9",
+                 "ein Text mit License", "SPDX-License-Identifier: unknown", "SPDX-License-Identifier:"):
+        assert found(text) == [], text
+
+
+def test_tag_expressions():
+    tag = "SPDX-License-Identifier: "
+    assert found(tag + "GPL-2.0-only") == ["GPL-2.0-only-spdx"] and found(tag + "GPL-2.0") == ["GPL-2.0-spdx"]
+    assert found(tag + "(MIT OR Apache-2.0)\nint x") == ["Apache-2.0-spdx", "MIT-spdx"]
+    text = tag + "GPL-2.0-or-later WITH Classpath-exception-2.0 OR (BSD-3-Clause AND ISC) OR unknown"
+    assert found(text) == ["BSD-3-Clause-spdx", "GPL-2.0-or-later-spdx", "ISC-spdx"]
+    assert found(tag + "MIT or") == ["MIT-spdx"] and found(tag + "MIT with") == ["MIT-spdx"]
+    got = {r[0]: r[1:] for r in licenses.Scanner(licenses.TEMPLATES).scan("a " + tag + "MIT OR Apache-2.0 b")}
+    assert got == {"MIT-spdx": (1.0, 1, 4), "Apache-2.0-spdx": (1.0, 6, 8)}
+
+
+def test_every_wording_names_its_license():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, w, _ in scanner.templates:
+        assert [r[0] for r in scanner.scan(f"x {' '.join(w)} y")] == [name], w
+
+
 # ---- decontamination ----
 
 def edits_in(p, text):
