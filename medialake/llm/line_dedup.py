@@ -8,7 +8,7 @@ repeated passage of any length goes as a whole. Each removed line has an
 earlier occurrence in the same window, so one copy of it always remains.
 
 Plan: windows carry (128-bit window hash, document key, position), never
-text. One map-side-combined aggregate finds the first occurrence of each
+text, and are stored, since cutting and hashing them is most of the work. One map-side-combined aggregate finds the first occurrence of each
 window, an equi-join marks later ones (a hot window is split by AQE, and the
 partial aggregate above it needs no grouping), and the covered positions per
 document are joined back to the texts.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.llm import rows as R
+from medialake.session import materialize
 
 WINDOW_LINES = 3
 
@@ -46,7 +47,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ``n_lines`` (before) and ``n_removed``."""
     docs = df.select(R.quoted(id_col).alias("id"), R.quoted(text_col).alias("text"))
     docs = docs.select("id", "text", R.digest(F.col("text")).alias("key"))
-    wins = _windows(docs)
+    wins = materialize(_windows(docs))
     place = F.struct("id", "key", "pos")
     first = (wins.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .filter("n > 1").select("w", "first"))
