@@ -96,9 +96,27 @@ def test_path_parts(spark):
         assert one(spark, paths.dirname(F.col("v")), p) == d
 
 
+def test_odd_extensions(spark):
+    cases = {"..": "", "..a": "", "..a.b": ".b", "a.": ".", "a..": ".", "/x.d/a": "", "/a.\nb": ".\nb", "": "", None: ""}
+    for p, ext in cases.items():
+        assert one(spark, paths.extension(F.col("v")), p) == ext
+
+
+def test_pushed_conditions_make_the_path_seldom(spark):
+    """Conditions on the kind and the key of a path are pushed down to where it
+    is put together; each mention there puts it together anew."""
+    made = spark.range(3).select(F.concat(F.lit("/m/"), F.col("id").cast("string"), F.lit(".jpg")).alias("path"))
+    for cond in (conform.kind_of(paths.filetype("path")) != "other", conform.kind_of(paths.filetype("path")) == "other"):
+        plan = made.where(cond).select("path")._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(line.count("concat(/m/") for line in plan.split("\n") if "Filter" in line) <= 2
+    normal = made.where(paths.normalize_path("path").isNotNull())
+    plan = normal._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.split("THEN")[0].count("concat(/m/") for line in plan.split("\n") if "Filter" in line) <= 2
+
+
 def test_normalize_path(spark):
     cases = {"/a/./b//c/../d.jpg": "/a/b/d.jpg", "/../x": "/x", "//srv/x": "//srv/x", "///a": "/a",
-             "rel/x.jpg": "/base/rel/x.jpg"}
+             "rel/x.jpg": "/base/rel/x.jpg", "/": "/", "": "/base", "/a/": "/a", "/a/.": "/a", "/a/..": "/", "/a/...": "/a/...", None: None}
     for p, want in cases.items():
         assert one(spark, paths.normalize_path(F.col("v"), base="/base"), p) == want
     assert one(spark, paths.normalize_path(F.col("v"), case_insensitive=True), "C:\\Pics\\A.JPG") == "/c:/pics/a.jpg"
