@@ -25,7 +25,10 @@ Long lists. A list longer than ``LIST`` classes is not expanded into pairs:
     Hence, in any fixed order of hashes, one of them is among the first
     |D(m)| - that + 1 of D(m). These are indexed, classes not linked with c look
     up theirs, both as far down as the pair's own bound allows, and the pairs
-    found are verified. The order puts hashes that are rare around c first.
+    found are verified. The order puts hashes that c has not before those of c,
+    these by halves of the hash range, and in each part the rare around c first.
+    So a class that shares little with c enters without the hashes of c; hashes
+    of one component only, or of no class unlinked with c, are not followed.
 So no link between different components is lost that a union-sketch estimate lets
 pass. Every list has a centre of its own: families of pages that share a site's
 boilerplate meet their own family's centre in its lists, and only what remains
@@ -148,11 +151,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _difference_udf():
-    """Symmetric differences of two columns of ascending uint64 sets."""
-    @F.pandas_udf("array<long>")
-    def difference(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64)
-                          for x, y in zip(a, b)], dtype=object)
+    """Symmetric differences of two columns of ascending uint64 sets, in three
+    parts: hashes of the second set alone, then the low and the high half of the
+    first's alone; and where these parts end."""
+    half = np.uint64(1 << 63)
+
+    @F.pandas_udf("d array<long>, ends array<int>")
+    def difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        d, ends = [], []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            own, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            d.append(np.concatenate((own, lost)).view(np.int64))
+            ends.append(np.array([len(own), len(own) + np.searchsorted(lost, half), len(own) + len(lost)], np.int32))
+        return pd.DataFrame({"d": d, "ends": ends})
     return difference
 
 
@@ -162,23 +174,28 @@ def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     k = (100 - percent) / (100 + percent)
     made = _both_sets(star, "c", "x", sets).select(
         "c", "x", "root", "far", (F.length("ha") / 8).alias("nc"), (F.length("hb") / 8).alias("n"),
-        _difference_udf()("ha", "hb").alias("d"))
-    size = F.size("d")
+        _difference_udf()("ha", "hb").alias("s"))
+    made = made.select("c", "x", "root", "far", "nc", "n", "s.d", "s.ends", F.col("s.ends")[2].alias("size"))
+    size = F.col("size")
     # least number of hashes shared with any partner, and with one that is not linked with the centre
     any_way = F.greatest(F.ceil(size - k * F.col("n") * (1 + 100 / percent) - 1e-6), F.lit(1))
     with_far = F.greatest(F.floor((size + k * (F.col("nc") - F.col("n"))) / 2) + 1, any_way)
-    made = made.select("c", "x", "root", "far", "n", size.alias("size"), (size - with_far + 1).alias("index_to"),
-                       (size - any_way + 1).cast("int").alias("probe_to"), "d")
-    made = materialize(made)
-    hashes = made.select("c", "x", F.explode("d").alias("h"))
-    often = hashes.groupBy("c", "h").agg(F.count("*").alias("often")).filter("often > 1")
-    # hashes of one class only come first and are met by nobody: their number is the offset of the others
+    made = made.withColumns({"index_to": size - with_far + 1, "probe_to": (size - any_way + 1).cast("int")})
+    # the parts are whole stretches of the order: those behind the last place of use are left out
+    used = F.array_min(F.filter("ends", lambda e: e >= F.col("probe_to")))
+    made = materialize(made.select("c", "x", "root", "far", "n", "size", "index_to", "probe_to", "ends", F.slice("d", F.lit(1), used).alias("d")))
+    e, p = F.col("ends"), F.col("p")
+    end = F.when(p < e[0], e[0]).when(p < e[1], e[1]).otherwise(e[2])
+    hashes = made.select("c", "x", "root", "far", "ends", F.posexplode("d").alias("p", "h"))
+    hashes = hashes.select("c", "x", "root", "far", "h", end.alias("end"))
+    # in a part, hashes that no pair of interest can share come first and are met by nobody: their number is the offset of the others
+    often = (hashes.groupBy("c", "h").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("far").alias("asked"))
+             .filter("asked AND lo <> hi").select("c", "h", "often"))
     seen = hashes.join(often, ["c", "h"])
-    mine = Window.partitionBy("c", "x")
+    mine = Window.partitionBy("c", "x", "end")
     nth = F.row_number().over(mine.orderBy("often", "h"))
-    ranked = seen.select("c", "x", "h", nth.alias("nth"), F.count("*").over(mine).alias("met"))
-    hashes = materialize(ranked.join(made.drop("d"), ["c", "x"])
-                         .withColumn("place", F.col("size") - F.col("met") + F.col("nth")).filter("place <= probe_to"))
+    ranked = seen.select("c", "x", "h", (F.col("end") - F.count("*").over(mine) + nth).alias("place"))
+    hashes = materialize(ranked.join(made.drop("d", "ends"), ["c", "x"]).filter("place <= probe_to"))
     index = hashes.filter("place <= index_to").select("c", "h", "x", "n", "root", "size", "place")
     probe = hashes.filter("far").select("c", "h", *[F.col(v).alias(f"{v}2") for v in ("x", "n", "root", "size", "place")])
     # the first hash that two classes share is at most this far down in both

@@ -169,3 +169,31 @@ def test_partner_that_shares_only_frequent_runs(spark):
             rows.append((len(rows), " ".join(words)))
     rnd.shuffle(rows)
     assert run(spark, rows, percent=80) == brute(rows, 3, 80)
+
+
+def test_differences_leave_out_what_no_place_needs(spark, monkeypatch):
+    # classes that share little with their centre, each linked with one other
+    rng = np.random.default_rng(7)
+    pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2)))
+    centre, at = pool[:100], 100
+    sets, star = [(b"c", centre)], []
+    for i in range(6):
+        own, at = pool[at:at + 200], at + 200
+        for j in range(2):
+            edited, at = np.concatenate((own[:195], pool[at:at + 5])), at + 5
+            name = f"x{i}{j}".encode()
+            sets.append((name, np.concatenate((centre[:20], edited))))
+            star.append((b"c", name, name, True))
+    sets = spark.createDataFrame([(n, np.sort(s).tobytes()) for n, s in sets], "cls binary, hashes binary")
+    stored, real = [], near_dup.materialize
+
+    def spy(df):
+        out = real(df)
+        if "d" in out.columns:
+            stored.append(out.selectExpr("sum(size(d))", "sum(size)").first())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", spy)
+    got = near_dup._by_differences(spark.createDataFrame(star, "c binary, x binary, root binary, far boolean"), sets, 85)
+    assert {(bytes(r.a), bytes(r.b)) for r in got.collect()} >= {(f"x{i}0".encode(), f"x{i}1".encode()) for i in range(6)}
+    assert [tuple(r) for r in stored] == [(12 * 200, 12 * 280)]
