@@ -9,13 +9,14 @@ with equal token sets form a class; the work is on classes.
    links with centres, closed by connected components, are the groups. A list of
    any length costs one pair per member, never all its pairs.
 2. Matrix. The distinct (token, group) rows are the token unions of the groups;
-   those of groups that a query meets are stored.
+   those of groups of several members that a query meets are stored.
 3. Bound. A class q and a member m with at most as many tokens need
    ``need = p (|q| + |m|) / (100 + p)`` common tokens. Tokens are ordered by the
    number of classes that have them, rarest first, then by hash. Then the first
    token that q and m share is among the first |q| - p |q| / 100 + 1 of q and the
    first |m| - 2 p |m| / (100 + p) + 1 of m; equal ones of these lead from a class
-   to other groups. A group stays a candidate of q if their overlap in the matrix
+   to other groups, if the tokens behind them in both can make up ``need``. A
+   group of several members stays a candidate of q if their overlap in the matrix
    can reach ``need`` for the group's smallest member that fits.
 4. Open. Only members of those groups that meet q in such a token, at places
    that leave enough common tokens behind them, are compared on whole sets.
@@ -213,17 +214,20 @@ def _across(sets: DataFrame, band: DataFrame, percent: int) -> DataFrame:
     least = _up(n * percent, 100)  # tokens of the smallest partner, and common ones with it
     first = _first_tokens(tokens, percent)
     index = first.filter("indexed")
-    # the groups that have a token among the first of some member
-    listed = materialize(index.groupBy("t", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    met = first.join(listed, "t").filter((F.col("g") != F.col("h")) & (F.col("low") <= n) & (F.col("high") >= least))
-    met = materialize(met.select("q", "h", "n").distinct())
-
-    matrix = materialize(tokens.select(F.col("g").alias("h"), "t").join(met.select("h").distinct(), "h", "left_semi").distinct())
-    smallest = materialize(index.groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low")))
-    both = met.select("q", "h").join(tokens.select("q", "t"), "q").join(matrix, ["h", "t"])
-    found = materialize(both.groupBy("q", "h").agg(F.count(F.lit(1)).alias("found")).join(met, ["q", "h"]))
-    opened = materialize(found.join(smallest, "h").filter(
-        F.col("found") >= _need(n, F.greatest("low", least), percent)).select("q", "h"))
+    # the groups that have a token among the first of some member, and the most tokens that such a member has behind it
+    listed = materialize(index.groupBy("t", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(n - place).alias("rest")))
+    met = first.join(listed, "t").filter((F.col("g") != F.col("h")) & (F.col("low") <= n) & (F.col("high") >= least)
+                                         & (F.least(n - place, F.col("rest")) + 1 >= _need(n, F.greatest("low", least), percent)))
+    about = materialize(index.groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low"), (F.min("q") == F.max("q")).alias("alone")))
+    met = materialize(met.select("q", "h", "n").distinct().join(about, "h"))
+
+    # a group of one member is its own best bound: it is compared at once
+    several = met.filter(~F.col("alone"))
+    matrix = materialize(tokens.select(F.col("g").alias("h"), "t").join(several.select("h").distinct(), "h", "left_semi").distinct())
+    both = several.select("q", "h").join(tokens.select("q", "t"), "q").join(matrix, ["h", "t"])
+    found = materialize(both.groupBy("q", "h").agg(F.count(F.lit(1)).alias("found")).join(several, ["q", "h"]))
+    opened = found.filter(F.col("found") >= _need(n, F.greatest("low", least), percent)).select("q", "h")
+    opened = materialize(opened.union(met.filter("alone").select("q", "h")))
 
     asked = opened.join(first.drop("g", "indexed"), "q")
     members = index.select("t", F.col("g").alias("h"), F.col("q").alias("m"), F.col("n").alias("nm"), F.col("place").alias("place_m"))

@@ -233,3 +233,20 @@ def test_clusters_edges(spark):
 def test_centroid_digest(spark):
     got = spark.createDataFrame([([1, -2, 3],)], "c array<bigint>").select(clustering.centroid_digest(F.col("c"))).first()[0]
     assert got == hashlib.sha256(b"1,-2,3").hexdigest()
+
+
+def test_join_compares_single_members_without_a_matrix(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.sample([f"w{k}" for k in range(300)], 60))) for i in range(40)]
+    stored, real = [], ngram_join.materialize
+
+    def spy(df):
+        out = real(df)
+        if set(out.columns) == {"h", "t"}:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", spy)
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOC), words=1, percent=90)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(i, i) for i, _ in rows]
+    assert stored == [0]
