@@ -73,6 +73,11 @@ def _plan_input(spark, sf_dir):
     return common.media(spark, sf_dir).select("full_path", "size_bytes", "kind", "date_taken", "camera", "lens")
 
 
+def _multi_input(spark, sf_dir):
+    """The same, and what the targets ask for."""
+    return common.media(spark, sf_dir).select("full_path", "size_bytes", "kind", "date_taken", "camera", "lens", "filetype")
+
+
 def _existing(spark, sf_dir, opts=DEFAULT):
     """Pre-existing destinations: planned destinations of every 20th-byte file."""
     return _plan(spark, sf_dir, opts).where(F.col("size_bytes") % 20 == 0).select(
@@ -236,7 +241,7 @@ SELECT target_id, full_path, destination,
             THEN 'copied' ELSE 'skipped' END AS status
 FROM t""", LAYOUT_SQL + ",\n" + _multi_sql()))
 def organize_multi(spark, sf_dir):
-    m = organize.organize_multi(common.media(spark, sf_dir), TARGETS)
+    m = organize.organize_multi(_multi_input(spark, sf_dir), TARGETS)
     return m.select("target_id", "full_path", "destination", "status")
 
 
@@ -249,7 +254,7 @@ FROM t LEFT JOIN (SELECT DISTINCT destination FROM t WHERE size_bytes % 20 = 0)
 """, LAYOUT_SQL + ",\n" + _multi_sql()))
 def organize_multi_existing(spark, sf_dir):
     """Against what already lies in each target: every 20th-byte file's place."""
-    media = common.media(spark, sf_dir)
+    media = _multi_input(spark, sf_dir)
     there = organize.organize_multi(media.where(F.col("size_bytes") % 20 == 0), TARGETS)
     m = organize.organize_multi(media, TARGETS, existing=there.select(F.col("destination").alias("path")))
     return m.select("target_id", "full_path", "destination", "status")
