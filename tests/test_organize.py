@@ -272,3 +272,26 @@ def test_rename_a_million_style_folder(spark):
     rnd.shuffle(names)
     files = [(i, "/o/x", n) for i, n in enumerate(names)]
     assert run(spark, files, {"/o/x/IMG_7.jpg"}, "rename") == sequential(files, {"/o/x/IMG_7.jpg"}, "rename")
+
+
+def _stored_columns(spark, df):
+    return {c for d in {os.path.dirname(f) for f in df.inputFiles()} for c in spark.read.parquet(d).columns}
+
+
+@pytest.mark.parametrize("policy", ["skip", "rename"])
+def test_plan_stores_no_unused_fields(spark, policy):
+    """Layout fields are given with the manifest but not stored in the plan."""
+    m = organize.plan_organize(media(spark), "/out", organize.LayoutOptions(on_exist=policy, structure=("Year", "Lens")))
+    assert not any(c.startswith("lay_") or c == "has_layout" for c in _stored_columns(spark, m))
+    want = organize.layout_fields(media(spark)).select("full_path", *organize.FIELD_COLUMNS.values(), "has_layout")
+    assert m.select(*want.columns).exceptAll(want).isEmpty() and m.count() == want.count() and "_sid" not in m.columns
+    multi = organize.organize_multi(media(spark), [organize.Target("/a"), organize.Target("/b", options=organize.LayoutOptions(on_exist="skip"))])
+    assert not any(c.startswith("lay_") for c in _stored_columns(spark, multi)) and multi.count() == 2 * want.count()
+
+
+def test_multi_targets_store_what_they_use(spark):
+    from conftest import SF001
+    from medialake.plans import common, q_organize
+    catalog_columns = set(common.media(spark, SF001).columns)
+    stored = _stored_columns(spark, q_organize.organize_multi(spark, SF001)) & catalog_columns
+    assert stored == {"full_path", "size_bytes", "kind", "date_taken", "camera", "lens", "filetype"}
