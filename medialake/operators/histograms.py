@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from medialake.functions import numbers, ticks
 from medialake.functions.scalars import with_scalars
 from medialake.operators.ranking import exact_quantiles
-from medialake.session import materialize
+from medialake.session import stored as materialize
 
 # Per-setting parser of the chart path.
 PARSERS: dict[str, Callable[[Column], Column]] = {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from medialake.functions import dates, numbers
 from medialake.functions.scalars import with_scalars
 from medialake.operators.ranking import rank_within
-from medialake.session import materialize
+from medialake.session import stored as materialize
 
 # Labels of the kind counts, in display order.
 KIND_LABELS = {"image": "Images", "video": "Videos", "other": "Others"}
