@@ -1,11 +1,9 @@
 """Catalog merge: add + refresh, never prune (M1-M3, M6).
 
 Rows are keyed by the normalized ``full_path``. On a repeated key the last row
-wins: new rows over existing ones, later new rows over earlier ones. Only the
-new rows are deduplicated (``lookup.keep_last``, a map-side combined
-aggregate); a catalog is unique by key already, so its rows pass through an
-anti-join on the narrow keys of the new ones and are never sorted. New rows
-with a NULL path collapse to one.
+wins: new rows over existing ones, later new rows over earlier ones. That is one
+keep-last over both (``lookup.keep_last``), so a key is there once whether the
+existing rows repeated it or the new ones. Rows with a NULL path collapse to one.
 """
 
 from __future__ import annotations
@@ -33,9 +31,9 @@ def upsert(existing: Optional[DataFrame], new: Optional[DataFrame], kind: str,
     """Merge ``new`` rows of one kind into ``existing`` (M2).
 
     ``order`` names columns of ``new`` giving its row order (later wins);
-    without it, ties among new rows are broken by content. The result has
-    the kind's canonical columns (M3: order fixed, stray dropped, missing
-    added).
+    without it, ties among new rows are broken by content, as are those among
+    existing rows, by what they have of ``order`` first. The result has the
+    kind's canonical columns (M3: order fixed, stray dropped, missing added).
     """
     schema = schemas.BY_KIND[kind]
     if existing is None and new is None:
@@ -48,13 +46,10 @@ def upsert(existing: Optional[DataFrame], new: Optional[DataFrame], kind: str,
                                             paths.normalize_path(F.col("full_path"), case_insensitive)))
 
     extra = [c for c in order if c not in schema.fieldNames()]
-    last = keep_last(keyed(schemas.conform(new, schema, keep=tuple(extra))), ["_key"], order)
-    if existing is None:
-        return schemas.conform(last, schema)
-    # existing rows are unique by key already: only those that a new row replaces are left out
-    replaced = last.select(F.col("_key").alias("_gone"))
-    stays = keyed(schemas.conform(existing, schema)).join(replaced, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
-    return schemas.conform(stays.unionByName(last.drop(*extra)), schema)
+    rows = keyed(schemas.conform(new, schema, keep=tuple(extra))).withColumn("_new", F.lit(1))
+    if existing is not None:
+        rows = rows.unionByName(keyed(schemas.conform(existing, schema)).withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    return schemas.conform(keep_last(rows, ["_key"], ["_new", *order]), schema)
 
 
 def upsert_catalog(existing: dict[str, Optional[DataFrame]], new: dict[str, Optional[DataFrame]],
