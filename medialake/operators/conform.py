@@ -38,6 +38,11 @@ def kind_of(filetype_col) -> Column:
             .otherwise(F.lit("other")))
 
 
+def path_key(tags: DataFrame) -> Column:
+    """The ``norm_key`` that raw tags get, before anything else is worked out."""
+    return paths.normalize_path(clean_text(tags["SourceFile"]))
+
+
 def _with_raw_columns(tags: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Missing raw tags become typed NULL columns (no schema inference)."""
     return schemas.conform(tags, schemas.RAW_TAGS, keep=tuple(carry))

@@ -7,8 +7,8 @@ that reports and dashboards then read. Queries read that table, so column
 pruning, predicate pushdown and ``kind`` partition pruning apply, and the
 conform expressions run once instead of once per query. Its rows are written
 where they are conformed, neither shuffled nor sorted. The first lookup by path
-writes them once more, bucketed by the normalized path key, so that lookups
-move only the other side.
+writes them bucketed by the normalized path key, from the catalog if it is there
+already, so that lookups move only the other side.
 """
 
 from __future__ import annotations
@@ -53,7 +53,14 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows, from the buckets of their path key: for joins on it."""
-    name = _once(_BY_KEY, spark, sf_dir, lambda path: buckets.write_bucketed(media(spark, sf_dir), path, "norm_key", ["kind"]))
+    def write(path):
+        if (spark.sparkContext.applicationId, os.path.abspath(sf_dir)) in _CATALOGS:
+            return buckets.write_bucketed(media(spark, sf_dir), path, "norm_key", ["kind"])
+        tags = fixture.raw_tags(spark, sf_dir)  # narrower than media rows: dealt before they are conformed
+        rows = conform.conform_media(tags.repartition(buckets.default_buckets(spark), conform.path_key(tags)))
+        return buckets.write_bucketed(rows.select(*conform.MEDIA_COLUMNS), path, "norm_key", ["kind"], dealt=True)
+
+    name = _once(_BY_KEY, spark, sf_dir, write)
     return spark.table(name).select(*conform.MEDIA_COLUMNS)
 
 

@@ -18,6 +18,8 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialake.session import CODEC, cleared
+
 
 def _name() -> str:
     return f"medialake_{uuid.uuid4().hex}"
@@ -28,14 +30,18 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def write_bucketed(df: DataFrame, path: str, key: str, partition_by: Sequence[str] = (),
-                   buckets: Optional[int] = None) -> str:
+                   buckets: Optional[int] = None, dealt: bool = False) -> str:
     """Write ``df`` under ``path`` in buckets of ``key``; returns the name of
     the session's table. A NULL key is a value like any other (one bucket). A
-    hot key fills one bucket: for tables unique by key, as a catalog is."""
+    hot key fills one bucket: for tables unique by key, as a catalog is.
+    ``dealt`` says that the rows come from a ``repartition`` of this number by
+    an expression of the key's value: they are not shuffled again."""
     n = buckets or default_buckets(df.sparkSession)
     name = _name()
-    w = df.repartition(n, F.col(key)).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path)
-    (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(name)
+    rows = df if dealt else df.repartition(n, F.col(key))
+    w = rows.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).option("compression", CODEC)
+    with cleared(df.sparkSession):
+        (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(name)
     return name
 
 
