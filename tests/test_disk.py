@@ -1,0 +1,96 @@
+"""What steps leave on disk: shuffle files, intermediate tables, second copies."""
+
+from __future__ import annotations
+
+import glob
+import os
+
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from medialake.operators import lookup, organize
+from medialake.plans import common, jobs, q_sources
+from medialake.session import scratch_path, settled, stored
+from medialake.sources import catalog, fixture
+
+
+def _shuffles(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+
+def _tables(spark):
+    return set(glob.glob(f"{os.path.dirname(scratch_path(spark, 'x'))}/stored-*".removeprefix("file:")))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = _shuffles(spark)
+    out = stored(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count())
+    assert out.count() == 700 and all("zstd" in f for f in out.inputFiles())
+    assert not {f for f in _shuffles(spark) - before if os.path.getsize(f) > 2000}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_settled_deletes_what_it_stored_on_the_way(spark):
+    before = _tables(spark)
+    outer = []
+
+    def build():
+        inner = settled(lambda: stored(spark.range(10)).join(stored(spark.range(5)), "id"))
+        outer.append(len(_tables(spark) - before))
+        return inner.withColumn("x", F.lit(1))
+
+    out = settled(build)
+    assert outer == [1] and len(_tables(spark) - before) == 1
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_the_join_deals_lineitem_where_part_is_large(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    want = fixture.media_raw(spark, SF001)
+    spark.conf.set(name, "-1")
+    try:
+        got = fixture.media_raw(spark, SF001)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("REPARTITION_BY_NUM") == 1  # events
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_lookup_table_needs_no_shared_catalog(spark, monkeypatch):
+    monkeypatch.setattr(common, "_CATALOGS", {})
+    monkeypatch.setattr(common, "_BY_KEY", {})
+    by_key = common.media_by_key(spark, SF001)
+    assert not common._CATALOGS
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(by_key.where("kind = 'image'").inputFiles()) <= n  # one file a bucket
+    ids = by_key.select(F.expr(f"pmod(hash(norm_key), {n})").alias("b"), F.regexp_extract(F.input_file_name(), r"_(\d{5})\.c", 1).cast("int").alias("f"))
+    assert ids.where("b <> f").isEmpty()
+    media = common.media(spark, SF001)
+    assert media.count() == by_key.count() and media.exceptAll(by_key).isEmpty()
+
+
+def test_tag_dumps_are_compressed_and_not_shuffled_as_text(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(q_sources, "scratch_path", lambda s, name: paths.append(scratch_path(s, name)) or paths[-1])
+    assert q_sources.read_tags(spark, SF001).count() == fixture.raw_tags(spark, SF001).count()
+    files = glob.glob(f"{paths[0]}/part-*".removeprefix("file:"))
+    assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_an_import_stores_the_manifest_once(spark, tmp, monkeypatch):
+    kept, cat = [], os.path.join(tmp, "cat")
+    write = lookup.materialize
+    raw = spark.createDataFrame([(f"/m/{i}/a{i % 3}.jpg", 10 + i) for i in range(9)], "SourceFile string, FileSize long")
+    lst = raw.select(F.col("SourceFile").alias("path"), F.col("FileSize").alias("length"), F.lit("2024-01-01").cast("date").alias("modification_date"))
+    monkeypatch.setattr(lookup, "materialize", lambda df: kept.append(df.columns) or write(df))
+    before = _tables(spark)
+    done = jobs.run_organize(spark, lst, "/out", organize.LayoutOptions(on_exist="skip"), tag_records=raw,
+                             existing=spark.createDataFrame([], "path string"), catalog_root=cat, copy=False)
+    assert sum("full_path" in c for c in kept) == 1  # the metadata, before it is joined
+    assert not any("full_path" in spark.read.parquet(p).columns and "destination" not in spark.read.parquet(p).columns for p in _tables(spark) - before)
+    rows = catalog.read_catalog(spark, cat)["image"].collect()
+    assert sorted((r["full_path"], r["size_bytes"]) for r in rows) == [(f"/out/Photos/No Info/a{i}.jpg", 16 + i) for i in range(3)]
+    assert done["report"].first()["copied"] == 3
