@@ -11,7 +11,7 @@ from conftest import SF001
 from medialake.operators import lookup, organize
 from medialake.plans import common, jobs, q_sources
 from medialake.session import scratch_path, settled, stored
-from medialake.sources import catalog, fixture
+from medialake.sources import catalog, files, fixture
 
 
 def _shuffles(spark):
@@ -94,3 +94,15 @@ def test_an_import_stores_the_manifest_once(spark, tmp, monkeypatch):
     rows = catalog.read_catalog(spark, cat)["image"].collect()
     assert sorted((r["full_path"], r["size_bytes"]) for r in rows) == [(f"/out/Photos/No Info/a{i}.jpg", 16 + i) for i in range(3)]
     assert done["report"].first()["copied"] == 3
+
+
+def test_files_of_the_tree_have_no_blocks(spark, tmp):
+    for size in (0, 1, 63):
+        path = os.path.join(tmp, "a", f"{size}.jpg")
+        files.write_blank(path, size)
+        assert os.stat(path).st_size == size and os.stat(path).st_blocks == 0
+    assert files.copy_new(path, os.path.join(tmp, "b", "x")) == "copied"
+    root = q_sources.written_tree(spark, SF001).removeprefix("file:")
+    found = [os.stat(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names]
+    assert len(found) == fixture.media_listing(spark, SF001).select("path").distinct().count()
+    assert not any(s.st_blocks for s in found) and any(s.st_size for s in found)
