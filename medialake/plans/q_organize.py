@@ -193,7 +193,8 @@ FROM (SELECT *, regexp_extract(f, '^\\.*[^.].*(\\.[^.]*)$', 1) AS e
 @query("organized_rows", with_media(RECORDS_SQL.split("\n", 1)[1], _ctes(DEFAULT) + ",\n" + RECORDS_SQL.split("\n", 1)[0]))
 def organized_rows(spark, sf_dir):
     opts = organize.LayoutOptions(on_exist="skip")
-    m = organize.plan_organize(common.media(spark, sf_dir), ROOT, opts, existing=_existing(spark, sf_dir))
+    media = common.media(spark, sf_dir).select(*_plan_input(spark, sf_dir).columns, "size_mb")  # and what the records ask for
+    m = organize.plan_organize(media, ROOT, opts, existing=_existing(spark, sf_dir))
     recs = organize.organized_rows(m)
     out = None
     for kind, df in recs.items():
